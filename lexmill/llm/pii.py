@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import starts_of
+from .common import let, starts_of
 
 #: Kind: pattern. The first four are the base, in the order of ties.
 KINDS = {
@@ -51,26 +51,30 @@ def digits_of(s: Column) -> Column:
 
 def luhn(digits: Column) -> Column:
     """Whether a string of digits passes the Luhn sum."""
-    n = F.length(digits)
 
-    def term(i):
-        v = F.substring(digits, n - i, F.lit(1)).cast("int")
+    def term(s, i):
+        v = F.substring(s, F.length(s) - i, F.lit(1)).cast("int")
         d = F.when(i % 2 == 1, v * 2).otherwise(v)
         return F.when(d > 9, d - 9).otherwise(d)
 
-    return F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0), lambda s, i: s + term(i)) % 10 == 0
+    def passes(s):
+        return F.aggregate(F.sequence(F.lit(0), F.length(s) - 1), F.lit(0), lambda t, i: t + term(s, i)) % 10 == 0
+
+    return let(digits, passes)
 
 
 def mod97(code: Column) -> Column:
     """Whether an IBAN's remainder by 97 is 1; letters count 10 to 35."""
     plain = F.regexp_replace(code, " ", "")
-    turned = F.concat(F.substring(plain, F.lit(5), F.length(plain)), F.substring(plain, 1, 4))
 
-    def step(rest, i):
-        c = F.ascii(F.substring(turned, i, F.lit(1)))
+    def step(s, rest, i):
+        c = F.ascii(F.substring(s, i, F.lit(1)))
         return F.when(c >= 65, (rest * 100 + c - 55) % 97).otherwise((rest * 10 + c - 48) % 97)
 
-    return F.aggregate(F.sequence(F.lit(1), F.length(turned)), F.lit(0), step) == 1
+    def passes(s):
+        return F.aggregate(F.sequence(F.lit(1), F.length(s)), F.lit(0), lambda rest, i: step(s, rest, i)) == 1
+
+    return let(F.concat(F.substring(plain, F.lit(5), F.length(plain)), F.substring(plain, 1, 4)), passes)
 
 
 def confirmed(kind: str, s: Column) -> Column:
@@ -107,21 +111,21 @@ def proposed(text: Column, pattern: str, need: str | None = None) -> Column:
 def placed(text: Column, pattern: str, matches: Column) -> Column:
     """The matches with their offsets: what lies before, between and after them comes
     from splitting by the same pattern."""
-    lengths = F.zip_with(
+    parts = F.zip_with(
         F.slice(F.split(text, pattern, -1), F.lit(1), F.size(matches)),
         matches,
-        lambda gap, m: F.struct(F.length(gap).cast("bigint").alias("gap"), F.length(m).cast("bigint").alias("len")),
-    )
-    before = starts_of(F.transform(lengths, lambda x: x["gap"] + x["len"]))
-    spans = F.transform(
-        F.arrays_zip(lengths.alias("x"), before.alias("b"), matches.alias("s")),
-        lambda z: F.struct(
-            (z["b"] + z["x"]["gap"]).alias("start"),
-            (z["b"] + z["x"]["gap"] + z["x"]["len"]).alias("stop"),
-            z["s"].alias("s"),
-        ),
+        lambda gap, m: F.struct(F.length(gap).cast("bigint").alias("gap"), F.length(m).cast("bigint").alias("len"), m.alias("s")),
     )
-    return F.when(F.size(matches) > 0, spans).otherwise(F.array().cast("array<struct<start:bigint,stop:bigint,s:string>>"))
+
+    def spans(p):
+        before = starts_of(F.transform(p, lambda x: x["gap"] + x["len"]))
+        return F.zip_with(
+            p,
+            before,
+            lambda x, b: F.struct((b + x["gap"]).alias("start"), (b + x["gap"] + x["len"]).alias("stop"), x["s"].alias("s")),
+        )
+
+    return F.when(F.size(matches) > 0, let(parts, spans)).otherwise(F.array().cast("array<struct<start:bigint,stop:bigint,s:string>>"))
 
 
 def joined(spans: Column) -> Column:
