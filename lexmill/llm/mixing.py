@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import SPACE, WORD, let, stored
 
 #: Words of a block, slots of an output shard.
-BLOCK = 256
+BLOCK = 128
 SHARD = 4096
 #: How often a word may be used at most.
 MOST = 3

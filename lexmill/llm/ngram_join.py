@@ -115,12 +115,12 @@ def _digest(h: np.ndarray) -> np.uint64:
 
 
 def _batch(ids: list, texts: list, n: int, percent: int) -> dict[str, list]:
-    digests, kept, words, by, sizes, sketches = [], [], [], [], [], []
-    seen = set()
+    digests, kept, words, seen = [], [], [], set()
     for i, text in zip(ids, texts, strict=True):
         h = shingles(text, n)
         if i is None or not len(h):
-            digests.append((0, i, len(h), None))
+            # It meets nothing; its place is any.
+            digests.append((xxhash.xxh3_64_intdigest(f"{i} {len(digests)}"), i, len(h), None))
             continue
         g = _digest(h)
         digests.append((int(g), i, len(h), parity(h)))
@@ -141,7 +141,6 @@ def _batch(ids: list, texts: list, n: int, percent: int) -> dict[str, list]:
     crowd = np.repeat(many >= CROWD, many)
     under = np.where(crowd, (word ^ lead.astype(np.uint64) * _B) * _C, word)
     one = start[many >= CROWD]  # a crowd's first goes under the word itself, too
-    del sizes, sketches, by
     return {
         "by": np.concatenate([np.array([g for g, *_ in digests], np.uint64), under, word[one]]).view(np.int64),
         "word": np.concatenate([np.zeros(len(digests), np.int64), word.view(np.int64), word[one].view(np.int64)]),
@@ -273,21 +272,19 @@ def near_groups(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, text: s
     grams = stored(grams, "near-sets")
     linked = stored(_linked(star, grams, percent), "near-links")
 
-    # Who is not in the leader's component is compared with the rest of the group.
+    # Who is not in the component of the word's least is compared with all who share the word.
     comp = stored(connected_components(linked), "near-components")
     of = comp.select(F.col("node").alias("id"), "component")
-    at = words.join(of, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = at.groupBy("by").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("by")
-    main = at.where("id = lead").groupBy("by").agg(F.min("component").alias("main"))
-    at = at.join(mixed, "by").join(main, "by")
-    at = stored(at.join(about.withColumnRenamed("n", "size"), "id"), "near-open")
-    stray = at.where("component <> main").select("by", F.col("id").alias("a"), F.col("component").alias("c1"), F.col("size").alias("n1"), F.col("s").alias("s1"))
-    rest = at.select("by", F.col("id").alias("b"), F.col("component").alias("c2"), F.col("main"), F.col("size").alias("n2"), F.col("s").alias("s2"))
+    at = words.select("word", "id").distinct().join(of, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    mixed = at.groupBy("word").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min_by("component", "id").alias("main"))
+    at = at.join(mixed.where("low <> high").select("word", "main"), "word").join(about.withColumnRenamed("n", "size"), "id")
+    at = stored(at, "near-open")
+    stray = at.where("component <> main").select(F.col("word").alias("w1"), F.col("id").alias("a"), F.col("component").alias("c1"), F.col("size").alias("n1"), F.col("s").alias("s1"))
+    rest = at.select("word", F.col("id").alias("b"), F.col("component").alias("c2"), F.col("main"), F.col("size").alias("n2"), F.col("s").alias("s2"))
     apart = (F.col("c1") != F.col("c2")) & ((F.col("c2") == F.col("main")) | (F.col("a") > F.col("b")))
-    pairs = stray.withColumnRenamed("by", "by1").join(rest, (F.col("by1") == F.col("by")) & apart & _possible(percent)).select("a", "b").distinct()
+    pairs = stray.join(rest, (F.col("w1") == F.col("word")) & apart & _possible(percent)).select("a", "b").distinct()
     more = _linked(stored(pairs, "near-pairs"), grams, percent)
 
-    # Words that were dealt out have several groups; their leaders are in one under the word itself.
     comp = connected_components(linked.unionByName(more).unionByName(same))
     out = sets.select(F.col("id").alias("doc_id"), F.col("n").cast("long").alias("n_shingles")).join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))

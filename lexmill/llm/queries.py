@@ -5,12 +5,14 @@ from __future__ import annotations
 from .common import table
 from .exact_dedup import exact_dedup
 from .mixing import mix_report
+from .ngram_join import near_groups
 from .pii import pii_report
 from .secrets import secret_report
 
 QUERIES = {
     "op3_pii": lambda spark, d: pii_report(table(spark, d, "documents")),
     "op6_mixing": lambda spark, d: mix_report(table(spark, d, "documents")),
+    "op8_ngram_join": lambda spark, d: near_groups(table(spark, d, "documents"), n=4, percent=85),
     "op9_secrets": lambda spark, d: secret_report(table(spark, d, "documents")),
     "op10_exact_dedup": lambda spark, d: exact_dedup(table(spark, d, "documents")),
 }
