@@ -5,6 +5,7 @@ from __future__ import annotations
 from .common import table
 from .decontam import contaminated
 from .exact_dedup import exact_dedup
+from .langid import language_report
 from .mixing import mix_report
 from .ngram_join import near_groups
 from .pii import pii_report
@@ -14,6 +15,7 @@ from .url_rules import judge_urls
 QUERIES = {
     "op1_decontamination": lambda spark, d: contaminated(table(spark, d, "documents"), table(spark, d, "benchmark")),
     "op3_pii": lambda spark, d: pii_report(table(spark, d, "documents")),
+    "op4_language_id": lambda spark, d: language_report(table(spark, d, "documents")),
     "op5_url_rules": lambda spark, d: judge_urls(table(spark, d, "pages")),
     "op6_mixing": lambda spark, d: mix_report(table(spark, d, "documents")),
     "op8_ngram_join": lambda spark, d: near_groups(table(spark, d, "documents"), n=4, percent=85),
