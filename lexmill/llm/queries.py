@@ -6,6 +6,7 @@ from .common import table
 from .decontam import contaminated
 from .exact_dedup import exact_dedup
 from .langid import language_report
+from .lm import score_texts
 from .mixing import mix_report
 from .ngram_join import near_groups
 from .pii import pii_report
@@ -18,6 +19,7 @@ QUERIES = {
     "op4_language_id": lambda spark, d: language_report(table(spark, d, "documents")),
     "op5_url_rules": lambda spark, d: judge_urls(table(spark, d, "pages")),
     "op6_mixing": lambda spark, d: mix_report(table(spark, d, "documents")),
+    "op7_lm_scoring": lambda spark, d: score_texts(table(spark, d, "documents")),
     "op8_ngram_join": lambda spark, d: near_groups(table(spark, d, "documents"), n=4, percent=85),
     "op9_secrets": lambda spark, d: secret_report(table(spark, d, "documents")),
     "op10_exact_dedup": lambda spark, d: exact_dedup(table(spark, d, "documents")),
