@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .chat import collapse_and_render
 from .common import table
 from .decontam import contaminated
 from .exact_dedup import exact_dedup
@@ -15,6 +16,7 @@ from .url_rules import judge_urls
 
 QUERIES = {
     "op1_decontamination": lambda spark, d: contaminated(table(spark, d, "documents"), table(spark, d, "benchmark")),
+    "op2_chat_collapse": lambda spark, d: collapse_and_render(table(spark, d, "conversations")),
     "op3_pii": lambda spark, d: pii_report(table(spark, d, "documents")),
     "op4_language_id": lambda spark, d: language_report(table(spark, d, "documents")),
     "op5_url_rules": lambda spark, d: judge_urls(table(spark, d, "pages")),
@@ -26,6 +28,18 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op2_chat_collapse": """
+        WITH c AS (
+            SELECT conv_id, list((role, text) ORDER BY turn, role, text) AS said, count(*) AS n FROM conversations GROUP BY conv_id
+        ), one AS (
+            SELECT min(conv_id) AS conv_id, said, n, count(*) AS copies FROM c GROUP BY said, n
+        ), kept AS (
+            SELECT * FROM one WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.n > one.n AND c.said[1] = one.said[1] AND c.said[:one.n] = one.said)
+        )
+        SELECT k.conv_id, CAST(0 AS BIGINT) AS part, k.n AS n_turns, k.copies AS n_copies,
+            string_agg('<|' || coalesce(t.role, '') || '|>' || chr(10) || coalesce(t.text, '') || chr(10) || '<|end|>' || chr(10), '' ORDER BY t.turn, t.role, t.text) AS text
+        FROM kept k JOIN conversations t USING (conv_id) GROUP BY k.conv_id, k.n, k.copies
+    """,
     "op10_exact_dedup": """
         WITH t AS (
             SELECT doc_id, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g') AS n FROM documents
