@@ -77,7 +77,7 @@ def laid(rows: DataFrame, sized: DataFrame, parts: int = PARTS) -> DataFrame:
     inside = Window.partitionBy("skey", "part").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.where("size > 0").withColumn("part", part)
     rows = rows.withColumn("__inner", F.coalesce(F.sum("size").over(inside), F.lit(0)).cast("bigint"))
-    rows = rows.join(by_part, ["skey", "part"]).withColumn("at", F.col("__before") + F.col("__inner"))
+    rows = rows.join(by_part.hint("merge"), ["skey", "part"]).withColumn("at", F.col("__before") + F.col("__inner"))
     return rows.drop("part", "__before", "__inner")
 
 
@@ -95,7 +95,11 @@ def permuted(i: Column, n: Column, key: Column, rounds: int = 32) -> Column:
 
 
 def slots(plan: DataFrame, block: int = BLOCK, shard: int = SHARD, most: int = MOST, seed: int = SEED) -> DataFrame:
-    """The mix: one row per slot with (shard, slot, skey, epoch, block)."""
+    """The mix: one row per slot with (shard, slot, skey, epoch, block).
+
+    Spark takes the rows that a sequence makes for as few as it is made from; joins with
+    slots ask for a merge, or all slots would be broadcast.
+    """
     plan = plan.where("source_size > 0").withColumn("blocks", F.ceil(F.col("source_size") / block).cast("bigint"))
     # A block holds source_size / blocks words on average.
     quota = F.round(F.col("target") * F.col("blocks") / F.col("source_size")).cast("bigint")
@@ -160,7 +164,7 @@ def mix(
     whole = F.array_sort(F.collect_list(F.struct("at", "doc_id", "n", "piece")))
     whole = cuts.groupBy("skey", "block").agg(F.min("source").alias("source"), whole.alias("all"))
     plan = targets(sized, weights, most)
-    out = slots(plan, block, shard, most, seed).join(whole, ["skey", "block"])
+    out = slots(plan, block, shard, most, seed).hint("merge").join(whole, ["skey", "block"])
     return out.select(
         "shard",
         "slot",
@@ -182,6 +186,6 @@ def mix_report(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), block: int
     rows = laid(sized.drop("source"), sized)
     start, stop = span(F.col("block"), block)
     cuts = rows.withColumn("block", F.explode(blocks_of(block))).withColumn("n", stop - start)
-    taken = cuts.join(uses, ["skey", "block"], "left").groupBy("skey", "doc_id", "at", "size").agg(F.sum(F.col("n") * F.coalesce("uses", F.lit(0))).alias("taken"))
+    taken = cuts.join(uses.hint("merge"), ["skey", "block"], "left").groupBy("skey", "doc_id", "at", "size").agg(F.sum(F.col("n") * F.coalesce("uses", F.lit(0))).alias("taken"))
     every = taken.drop("at").unionByName(sized.where("size = 0").select("skey", "doc_id", "size", F.lit(0).cast("bigint").alias("taken")))
     return every.join(plan.drop("place", "weight"), "skey").select("doc_id", "size", "source_size", "target", "taken")
