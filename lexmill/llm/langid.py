@@ -18,6 +18,7 @@ texts are used whole; repeated rows are predicted each; with no labelled rows ev
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,6 +34,8 @@ PER_LANGUAGE, LANGUAGES = 400, 64
 #: Pieces taken evenly from the whole of each sampled text, beside the whole, and their bytes.
 PIECES, PIECE = 6, 72
 EPOCHS, BATCH, RATE, SEED = 8, 32, 0.5, 4
+#: Steps that are taken at least: small samples are gone through more often.
+STEPS = 1500
 #: Share of correctly predicted texts of the calibration part that may be rejected, and the highest score at which any is.
 REJECT, HIGHEST = 0.001, 0.4
 
@@ -102,8 +105,9 @@ def fit(examples: list, languages: list[str]) -> Model:
     bias = np.zeros(k, np.float32)
     seen_e = np.full((BUCKETS, 1), 1e-4, np.float32)  # AdaGrad's sums
     seen_o = np.full(out.shape, 1e-4, np.float32)
-    for epoch in range(EPOCHS):
-        rate = RATE * (1 - epoch / EPOCHS)
+    epochs = max(EPOCHS, math.ceil(STEPS * BATCH / max(1, len(train))))
+    for epoch in range(epochs):
+        rate = RATE * (1 - epoch / epochs)
         order = rng.permutation(len(train))
         for i in range(0, len(order), BATCH):
             batch = [train[j] for j in order[i : i + BATCH]]
