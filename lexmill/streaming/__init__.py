@@ -1 +1 @@
-"""streaming of the engine."""
+"""Changes as streams: debounced rescans, and the registry of open documents."""
