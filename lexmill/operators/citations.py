@@ -269,7 +269,8 @@ def find_citations(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     """doc_id, kind, key, start, stop, match_text, short and flags of all citations."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = spotted(rows)
-    full = anchored(rows).unionByName(unanchored(rows))
+    # References are joined to the full citations in several ways: these are found once.
+    full = anchored(rows).unionByName(unanchored(rows)).persist(StorageLevel.DISK_ONLY)
     every = full.unionByName(statutes(rows)).unionByName(rules(rows)).unionByName(instructions(rows))
     return without_overlaps(every.unionByName(supras(rows, full)).unionByName(short_forms(rows, full)))
 
