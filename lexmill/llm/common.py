@@ -5,8 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
+
+from lexmill.functions.arrays import let, starts_of  # noqa: F401
 
 #: ASCII white space, the only separators of words.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -38,36 +39,3 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def let(value: Column, use) -> Column:
-    """use(value), with value computed once: inside a lambda, whatever stands outside
-    it is computed again for each element."""
-    return F.get(F.transform(F.array(value), lambda v: use(v)), F.lit(0))
-
-
-def starts_of(lengths: Column, step: int = 256) -> Column:
-    """Running sums before each element of an array of longs, 0 first.
-
-    Chunks of `step` elements are summed first, so that an array of n elements
-    takes about n * step / 2 additions and not n * n / 2.
-    """
-
-    def total(a):
-        return F.aggregate(a, F.lit(0).cast("bigint"), lambda s, x: s + x)
-
-    def chunk(i):
-        return F.floor(i / step).cast("int")
-
-    def of(a):
-        each = F.sequence(F.lit(0), chunk(F.size(a) - 1))
-        sums = F.transform(each, lambda c: total(F.slice(a, c * step + 1, F.lit(step))))
-        return let(sums, lambda p: let(F.transform(each, lambda c: total(F.slice(p, F.lit(1), c))), lambda before: within(a, before)))
-
-    def within(a, before):
-        return F.transform(
-            F.sequence(F.lit(0), F.size(a) - 1),
-            lambda i: F.get(before, chunk(i)) + total(F.slice(a, chunk(i) * step + 1, i % step)),
-        )
-
-    return F.when(F.size(lengths) > 0, let(lengths, of)).otherwise(F.array().cast("array<bigint>"))
