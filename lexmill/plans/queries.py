@@ -14,6 +14,8 @@ from ..functions import resolve as rs
 from ..operators import citations as ct
 from ..operators import naming as nm
 from ..operators import ordered as od
+from ..operators import titles as tl
+from ..sources import web
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -200,9 +202,40 @@ def part_volumes(spark, d):
     return table(spark, d, "part").select("p_partkey", nm.part_volume(text).alias("part_vol"))
 
 
-QUERIES = {f.__name__: f for f in (authorities, resolved, page_names, site_globs, text_checks, escaped, encoded_names, carried, debounced, paragraph_runs, printed_pages, kept_spans, first_of_part, as_of_markers, clear_spans, open_entries, newest, page_offsets, stamped, ranges, ladder, part_volumes)}
+def titles(spark, d):
+    """Printed titles written from orders, and what they name. A notice of motion that is
+    also the motion loses its lead, and with it the owner."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    owner = F.concat(pick(["Plaintiff", "DEFENDANT", "Receiver", "Creditco"], c % 4), F.lit("'s "))
+    name = pick(FIRST, c % 8)
+    raw = (
+        F.when(k % 6 == 0, F.concat(owner, F.lit("Notice of Motion and Motion to "), pick(["Strike", "COMPEL", "quash"], c % 3), F.lit(" Responses in This Action")))
+        .when(k % 6 == 1, F.concat(owner, F.lit("OPPOSITION TO DEMURRER")))
+        .when(k % 6 == 2, F.concat(F.lit("Declaration of Jane "), F.upper(name), F.lit(" in Support of Motion to Strike")))
+        .when(k % 6 == 3, F.concat(owner, F.lit("Reply to Opposition to Petition for Writ")))
+        .when(k % 6 == 4, F.concat(owner, F.lit("Demurrer to SAC Case No. 12STCV345")))
+        .otherwise("[PROPOSED] ORDER RE MOTION")
+    )
+    rows = tl.parsed(table(spark, d, "orders").select("o_orderkey", raw.alias("raw")))
+    return rows.select("o_orderkey", "canonical", "target", "party_label", tl.short_form(F.col("canonical")).alias("short_form"))
+
+
+def page_blocks(spark, d):
+    """Blocks of text of all web pages; SQL has no reader of HTML."""
+    return web.blocks(table(spark, d, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (authorities, resolved, page_names, site_globs, text_checks, escaped, encoded_names, carried, debounced, paragraph_runs, printed_pages, kept_spans, first_of_part, as_of_markers, clear_spans, open_entries, newest, page_offsets, stamped, ranges, ladder, part_volumes, titles, page_blocks)}
 
 ORACLE = {
+    "titles": """
+        SELECT o_orderkey,
+            CASE o_orderkey % 6 WHEN 0 THEN 'Motion' WHEN 1 THEN 'Opposition' WHEN 2 THEN n || ' Decl. ISO Mot.' WHEN 3 THEN 'Reply' WHEN 4 THEN 'Demurrer' ELSE 'Proposed Order' END AS canonical,
+            CASE o_orderkey % 6 WHEN 0 THEN 'Mot. to ' || ['Strike','Compel','Quash'][1 + o_custkey % 3] || ' Responses' WHEN 1 THEN 'Demurrer' WHEN 3 THEN 'Opp. to Pet.' WHEN 4 THEN 'SAC' END AS target,
+            CASE WHEN o_orderkey % 6 NOT IN (0, 2, 5) THEN ['Plaintiff','Defendant','Receiver','Creditco'][1 + o_custkey % 4] END AS party_label,
+            CASE o_orderkey % 6 WHEN 0 THEN 'Mot.' WHEN 1 THEN 'Opp.' WHEN 2 THEN n || ' Decl.' WHEN 3 THEN 'Reply' WHEN 4 THEN 'Demurrer' ELSE 'Order' END AS short_form
+        FROM (SELECT *, ['Aguilar','Barton','Chen','Delgado','Evans','Foster','Garcia','Hughes'][1 + o_custkey % 8] AS n FROM orders)
+    """,
     "authorities": f"SELECT doc_id, kind, key, count(*) AS n_cites FROM ({CITED}) GROUP BY ALL",
     "resolved": f"""
         WITH c AS (SELECT DISTINCT kind, key FROM ({CITED})), p AS (SELECT DISTINCT 'CACI No. ' || (100 + p_partkey % 3900) AS k, p_partkey % 3900 AS n FROM part WHERE p_partkey % 10 = 0),
