@@ -39,3 +39,10 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def renamed(docs: DataFrame, *wanted: str) -> tuple[DataFrame, list[str], list[str]]:
+    """`docs` with columns c0, c1, ..., those names, and the names of the wanted columns:
+    whatever columns a caller has, none clashes with one that an operator adds."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    return docs.toDF(*names), names, [names[docs.columns.index(w)] for w in wanted]

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, stored
+from .common import let, renamed, stored
 
 #: The tokens that a mask looks at (1) and ignores (0).
 MASKS = ("1111111", "110110101", "1010110011")
@@ -110,4 +110,5 @@ def contaminated(
 def clean(docs: DataFrame, tests: DataFrame, text: str = "text", doc_id: str = "doc_id", **kinds) -> DataFrame:
     """The rows of `docs` in which no test text is found, with all their columns."""
     found = contaminated(docs, tests, text, doc_id, **kinds).select(F.col("doc_id").alias("__found")).distinct()
-    return docs.join(found, F.col(doc_id) == F.col("__found"), "left_anti")
+    plain, names, (i,) = renamed(docs, doc_id)
+    return plain.join(found, F.col(i) == F.col("__found"), "left_anti").select(*names).toDF(*docs.columns)

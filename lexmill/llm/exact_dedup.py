@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, stored
+from .common import SPACE, renamed, stored
 
 #: Bits of a key that the directory can use: it never has more than 65,536 entries.
 MAX_DEPTH = 16
@@ -123,4 +123,5 @@ def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", cap
 
 def first_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", capacity: int = 1_000_000) -> DataFrame:
     """The rows of `docs` that stay, with all their columns."""
-    return look_up(docs, build_index(docs, text, doc_id, capacity), text, doc_id).where("__kept").select(*docs.columns)
+    plain, names, (t, i) = renamed(docs, text, doc_id)
+    return look_up(plain, build_index(plain, t, i, capacity), t, i).where("__kept").select(*names).toDF(*docs.columns)

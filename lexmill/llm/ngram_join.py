@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import renamed, stored
 from .components import connected_components
 
 #: Words of an n-gram and least similarity in per cent, unless a caller has its own.
@@ -294,4 +294,5 @@ def first_of_groups(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, tex
     """The rows of `docs` whose doc_id is their component's, and those without a doc_id."""
     groups = near_groups(docs, n, percent, text, doc_id)
     gone = groups.where("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col(doc_id) == F.col("__gone"), "left_anti")
+    plain, names, (i,) = renamed(docs, doc_id)
+    return plain.join(gone, F.col(i) == F.col("__gone"), "left_anti").select(*names).toDF(*docs.columns)

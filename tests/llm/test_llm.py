@@ -391,7 +391,8 @@ def test_dedup_odd(odd_docs, empty_docs):
         ids = [r.doc_id for r in g if r.doc_id is not None]
         assert {r.keep_id for r in g} == {min(ids, default=None)} and {r.group_size for r in g} == {len(g)} and sum(r.kept for r in g) == 1
     kept = exact_dedup.first_copies(odd_docs)
-    assert kept.columns == odd_docs.columns and kept.count() == len(groups)
+    assert kept.columns == odd_docs.columns and {tuple(r)[5:] for r in kept.collect()} == {("x", 1, "k")}
+    assert kept.count() == len(groups)
     assert exact_dedup.exact_dedup(empty_docs).count() == 0
 
 
