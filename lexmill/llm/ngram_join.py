@@ -260,10 +260,10 @@ def near_groups(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, text: s
     left = about.select(F.col("id").alias("a"), F.col("n").alias("n1"), F.col("s").alias("s1"))
     right = about.select(F.col("id").alias("b"), F.col("n").alias("n2"), F.col("s").alias("s2"))
 
-    # Each member with the leaders of its groups, and of those the one it meets most often.
+    # Of the leaders of its groups, each member is compared with the one it meets most often.
     met = words.where("id <> lead").groupBy(F.col("id").alias("a"), F.col("lead").alias("b")).agg(F.count(F.lit(1)).alias("times"))
-    met = met.join(left, "a").join(right, "b").where(_possible(percent))
     star = met.groupBy("a").agg(F.max_by("b", F.struct("times", -F.col("b"))).alias("b"))
+    star = star.join(left, "a").join(right, "b").where(_possible(percent)).select("a", "b")
     wanted = words.select("id").distinct()
     wanted = stored(wanted, "near-ids")
     few = wanted.limit(FEW + 1).count() <= FEW
