@@ -1,20 +1,24 @@
 """LM scoring: a log-bilinear model trained by noise-contrastive estimation.
 
 The model predicts a token from the two before it: the context is the sum of their
-embeddings, each weighed by a vector of its position, and a token's score is the context's
-product with the token's own embedding, plus a bias. The output vocabulary is the `VOCABULARY` most
-frequent words, the end of a text, and one class for all other words, within which a
-word has its share of their counts (with 0.5 added to each, and one unseen word); so the
-probabilities of all words sum to 1. Inputs beyond the vocabulary are told apart by a hash
-of their last bytes.
+embeddings, each weighed by a vector of its position. The output vocabulary follows the
+counts of all training documents: every word above a count, chosen so that there are at
+most `WIDE` times the square root of the tokens; the end of a text; and for all rarer words
+a quarter as many buckets, by a hash of a word's last bytes. Each of these has an embedding
+of its own as input and as output. Outputs are dealt to classes of about the square root of
+their number: a class's score is the context's product with the class's embedding, plus a
+bias, and an output's score inside its class likewise; both are normalised exactly. Inside a
+bucket a word has its share of the bucket's counts (with 0.5 added to each, and one unseen
+word); so the probabilities of all words sum to 1.
 
 Counts cover all training documents. Training makes one pass over all of them: each
 partition starts from the same parameters and takes its documents in turn, and the
-parameters are averaged, weighted by tokens. Scores are normalised: products of context and
-output matrices, in batches, over the whole output vocabulary.
+parameters are averaged, an embedding's by how often each partition used it, the rest by
+tokens. A partition gives only the embeddings that it used, so what is gathered grows with
+the input, and the model with the square root of it.
 
-The `KNOWN` most frequent words' counts are sent to the tasks (a table of fixed size); the
-counts of all other words are joined to the documents that hold them, shuffled by word.
+The vocabulary's counts are sent to the tasks; the counts of all other words are joined to
+the documents that hold them, shuffled by word.
 
 Cases: a null or blank text is one token, its end; very long texts are scored whole, in
 batches; with no training documents every token is unknown; rows that repeat a doc_id and
@@ -28,7 +32,7 @@ import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from itertools import repeat
 
 import numpy as np
@@ -38,9 +42,10 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-VOCABULARY, DIM, ENDINGS = 512, 16, 512
-KNOWN = 65_536
-NOISE, STEP, RATE, SEED = 64, 2048, 0.1, 7
+WIDE, DIM = 8, 16
+#: Noise classes of a step, and noise words inside a token's class.
+NOISE, INSIDE = 64, 4
+STEP, RATE, SEED = 2048, 0.1, 7
 #: Documents that a task scores or trains on at a time.
 DOCS = 200
 
@@ -66,63 +71,71 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(_counted, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def ending(word: bytes) -> int:
-    return zlib.crc32(word[-3:]) % ENDINGS
+def bucket(word: bytes, buckets: int) -> int:
+    return zlib.crc32(word[-3:]) % buckets
+
+
+def bucket_of(word: Column, buckets: int) -> Column:
+    return F.crc32(F.substring(word, -3, 3)) % buckets
 
 
 @dataclass
 class Vocabulary:
-    """What tasks know of the counts. Output ids: word's place, then `other`, then `end`;
-    input ids: the same, then endings, then the start."""
+    """What tasks know of the counts. Ids: a word's place, then buckets, then the end of a
+    text; the start of one is an input only."""
 
-    words: list[bytes]  # the known, most frequent first
+    words: list[bytes]  # every word above a count, most frequent first
     of: np.ndarray  # their counts
     size: int
     total: int
     distinct: int
     texts: int
+    #: Of each bucket: its words' counts, and how many words.
+    rest: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
+    kinds: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
 
     def __post_init__(self):
         self.place = {w: i for i, w in enumerate(self.words)}
-        self.other, self.end = self.size, self.size + 1
-        self.start = self.size + 2 + ENDINGS
+        self.buckets = len(self.rest)
+        self.end = self.size + self.buckets
+        self.width = math.isqrt(self.end) + 1  # outputs in a class
+        self.classes = -(-(self.end + 1) // self.width)
+        self.start = self.classes * self.width
         self.floor = math.log10(0.5)
         self.base = math.log10(self.total + 0.5 * (self.distinct + 1))
-        rest = self.total - self.texts - int(self.of[: self.size].sum())
-        kinds = self.distinct - (self.texts > 0) - self.size
-        self.rest = math.log10(rest + 0.5 * (max(kinds, 0) + 1))
-        # By place, and for what is not known at the last place.
-        self.count = np.r_[self.of, 0]
-        self.out = np.r_[np.minimum(np.arange(len(self.words)), self.other), self.other]
-        ends = [i if i < self.size else self.size + 2 + ending(w) for i, w in enumerate(self.words)]
-        self.inp = np.array([*ends, 0], np.int64)
+        self.inside = np.log10(self.rest + 0.5 * (self.kinds + 1))
+        # By id; a bucket's words have counts of their own.
+        self.count = np.r_[self.of, np.zeros(self.buckets, np.int64), self.texts]
 
     def counts(self) -> np.ndarray:
-        c = np.zeros(self.size + 2)
-        c[: self.size] = self.of[: self.size]
-        c[self.end] = self.texts
-        c[self.other] = max(self.total - c.sum(), 0)
-        return c + 0.5
+        """By class and place in it; 0 where a class has no output."""
+        c = np.zeros(self.start)
+        c[: self.end + 1] = np.r_[self.of, self.rest, self.texts] + 0.5
+        return c.reshape(self.classes, self.width)
 
 
 def look_up(words: list[bytes], v: Vocabulary):
-    """Output ids, input ids, counts (0: not known), and the words beyond the known."""
-    at = np.fromiter(map(v.place.get, words, repeat(len(v.words))), np.int64, len(words))
-    inp = v.inp[at]
-    beyond = np.flatnonzero(at == len(v.words))
+    """Ids, counts (0: not known), and the words beyond the known."""
+    at = np.fromiter(map(v.place.get, words, repeat(-1)), np.int64, len(words))
+    beyond = np.flatnonzero(at < 0)
     far = [words[i] for i in beyond]
-    inp[beyond] = np.fromiter(map(ending, far), np.int64, len(far)) + v.size + 2
-    return np.r_[v.out[at], v.end], np.r_[inp, v.end], np.r_[v.count[at], v.texts], far
+    at[beyond] = np.fromiter(map(bucket, far, repeat(v.buckets)), np.int64, len(far)) + v.size
+    at = np.r_[at, v.end]
+    return at, v.count[at], far
 
 
 def initial(v: Vocabulary) -> dict[str, np.ndarray]:
+    """q: inputs; w: positions; u, a: classes; t, b: outputs inside their class."""
     rng = np.random.default_rng(SEED)
     c = v.counts()
+    of = c.sum(1)
     return {
         "q": rng.normal(0, 0.1, (v.start + 1, DIM)).astype(np.float32),
         "w": np.ones((2, DIM), np.float32),
-        "t": rng.normal(0, 0.1, (v.size + 2, DIM)).astype(np.float32),
-        "b": np.log(c / c.sum()).astype(np.float32),
+        "u": rng.normal(0, 0.1, (v.classes, DIM)).astype(np.float32),
+        "a": np.log(of / of.sum()).astype(np.float32),
+        "t": rng.normal(0, 0.1, (v.start, DIM)).astype(np.float32),
+        "b": np.log(np.where(c > 0, c, 1e-30) / of[:, None]).ravel().astype(np.float32),
     }
 
 
@@ -132,108 +145,162 @@ def contexts(inp: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     return last, np.r_[v.start, last[:-1]]
 
 
-def _step(p, seen, noise_log, rng, cdf, c1, c2, target):
-    """One step of noise-contrastive estimation with AdaGrad; the noise is shared."""
-    drawn = np.searchsorted(cdf, rng.random(NOISE)).clip(0, len(cdf) - 1)
-    q1, q2 = p["q"][c1], p["q"][c2]
-    r = q1 * p["w"][0] + q2 * p["w"][1]
-    t = p["t"][target]
-    d_pos = 1 / (1 + np.exp(np.clip((r * t).sum(1) + p["b"][target] - noise_log[target], -30, 30)))
-    d_neg = -1 / (1 + np.exp(-np.clip(r @ p["t"][drawn].T + p["b"][drawn] - noise_log[drawn], -30, 30)))
-    g_r = d_pos[:, None] * t + d_neg @ p["t"][drawn]
-    n = len(target)
-
-    def gathered(at, rows, size):
-        return np.stack([np.bincount(at, rows[:, k], size) for k in range(DIM)], 1)
-
-    g = {
-        "t": gathered(target, d_pos[:, None] * r, len(p["t"])),
-        "b": np.bincount(target, d_pos, len(p["b"])),
-        "q": gathered(c1, g_r * p["w"][0], len(p["q"])) + gathered(c2, g_r * p["w"][1], len(p["q"])),
-        "w": np.stack([(g_r * q1).sum(0), (g_r * q2).sum(0)]) / n * 8,
-    }
-    np.add.at(g["t"], drawn, d_neg.T @ r)
-    np.add.at(g["b"], drawn, d_neg.sum(0))
-    for k, x in g.items():
-        seen[k] += x * x
-        p[k] += (RATE * x / np.sqrt(seen[k])).astype(np.float32)
+def _gathered(at: np.ndarray, rows: np.ndarray):
+    """Different ids, and the sums of their rows."""
+    order = np.argsort(at, kind="stable")
+    first = np.flatnonzero(np.r_[True, np.diff(at[order]) != 0])
+    return at[order[first]], np.add.reduceat(rows[order], first, axis=0)
+
+
+def _pull(x: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """What NCE adds to a score that is `of` (1 of data, 0 of noise)."""
+    return of - 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def _trained(v: Vocabulary):
+def _step(p, seen, v, rng, cdf, noise_log, sizes, c1, c2, target):
+    """One step of noise-contrastive estimation with AdaGrad: of the class against noise that
+    all tokens share, of the output against others of its class."""
+    n, k = len(target), target // v.width
+    drawn = np.searchsorted(cdf, rng.random(NOISE)).clip(0, v.classes - 1)
+    near = k[:, None] * v.width + (rng.random((n, INSIDE), np.float32) * sizes[k][:, None]).astype(np.int64).clip(0, sizes[k][:, None] - 1)
+    inside_log = np.log(INSIDE / sizes[k]).astype(np.float32)
+    q1, q2 = p["q"][c1], p["q"][c2]
+    r = q1 * p["w"][0] + q2 * p["w"][1]
+    u, d, t, o = p["u"][k], p["u"][drawn], p["t"][target], p["t"][near]
+    u_pos = _pull((r * u).sum(1) + p["a"][k] - noise_log[k], 1)
+    u_neg = _pull(r @ d.T + p["a"][drawn] - noise_log[drawn], 0)
+    t_pos = _pull((r * t).sum(1) + p["b"][target] - inside_log, 1)
+    t_neg = _pull((o @ r[:, :, None])[:, :, 0] + p["b"][near] - inside_log[:, None], 0)
+    g_r = u_pos[:, None] * u + u_neg @ d + t_pos[:, None] * t + (t_neg[:, None, :] @ o)[:, 0]
+    with_one = np.c_[r, np.ones(n, np.float32)]
+    at, g = _gathered(np.r_[target, near.ravel()], np.concatenate([t_pos[:, None] * with_one, (t_neg[:, :, None] * with_one[:, None]).reshape(-1, DIM + 1)]))
+    at_c, g_c = _gathered(np.r_[k, drawn], np.concatenate([u_pos[:, None] * with_one, u_neg.T @ with_one]))
+    at_q, g_q = _gathered(np.r_[c1, c2], np.concatenate([g_r * p["w"][0], g_r * p["w"][1]]))
+    every = slice(None)
+    g_w = np.stack([(g_r * q1).sum(0), (g_r * q2).sum(0)]) / n * 8
+    for name, i, x in (("t", at, g[:, :DIM]), ("b", at, g[:, DIM]), ("u", at_c, g_c[:, :DIM]), ("a", at_c, g_c[:, DIM]), ("q", at_q, g_q), ("w", every, g_w)):
+        seen[name][i] += x * x
+        p[name][i] += RATE * x / np.sqrt(seen[name][i])
+
+
+#: A row of parameters: an id's q, t and b, a class's u and a, or w.
+ROW = 2 * DIM + 1
+
+
+def _rows(p, v: Vocabulary) -> np.ndarray:
+    out = np.zeros((v.start + 1 + v.classes + 1, ROW), np.float32)
+    ids = v.start + 1
+    out[:ids, :DIM] = p["q"]
+    out[: v.start, DIM : 2 * DIM], out[: v.start, -1] = p["t"], p["b"]
+    out[ids:-1, :DIM], out[ids:-1, -1] = p["u"], p["a"]
+    out[-1, :-1] = p["w"].ravel()
+    return out
+
+
+def _parameters(rows: np.ndarray, v: Vocabulary) -> dict[str, np.ndarray]:
+    ids = v.start + 1
+    p = {"q": rows[:ids, :DIM], "t": rows[: v.start, DIM : 2 * DIM], "b": rows[: v.start, -1], "u": rows[ids:-1, :DIM], "a": rows[ids:-1, -1], "w": rows[-1, :-1].reshape(2, DIM)}
+    return {k: np.ascontiguousarray(x) for k, x in p.items()}
+
+
+def _trained(known):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = known.value
         p, c = initial(v), v.counts()
-        seen = {k: np.full(x.shape, 1e-2) for k, x in p.items()}
-        cdf = np.cumsum(c / c.sum())
-        noise_log = np.log(NOISE * c / c.sum())
+        seen = {k: np.full(x.shape, 1e-2, np.float32) for k, x in p.items()}
+        share, sizes = c.sum(1) / c.sum(), (c > 0).sum(1)
+        cdf, noise_log = np.cumsum(share), np.log(NOISE * share).astype(np.float32)
         rng, n = np.random.default_rng(SEED), 0
+        uses = np.zeros(v.start + 1)
         for b in batches:
             for at in range(0, b.num_rows, DOCS):
                 held = []
                 for t in b.column(0).slice(at, DOCS).to_pylist():
-                    out, inp, *_ = look_up(words_of(t), v)
-                    held.append((out, *contexts(inp, v)))
+                    ids, *_ = look_up(words_of(t), v)
+                    held.append((ids, *contexts(ids, v)))
                 target, c1, c2 = (np.concatenate(x) for x in zip(*held, strict=True))
                 order = rng.permutation(len(target))
                 for i in range(0, len(order), STEP):
                     o = order[i : i + STEP]
-                    _step(p, seen, noise_log, rng, cdf, c1[o], c2[o], target[o])
+                    _step(p, seen, v, rng, cdf, noise_log, sizes, c1[o], c2[o], target[o])
+                for ids in (target, c1, c2):
+                    np.add.at(uses, ids, 1)
                 n += len(target)
         if n:
-            flat = np.concatenate([p[k].ravel() for k in ("q", "w", "t", "b")]).astype(np.float64)
-            at = pa.array(np.arange(len(flat)), pa.int32())
-            yield pa.RecordBatch.from_arrays([at, pa.array(flat * n), pa.array(np.full(len(flat), n), pa.int64())], ["at", "x", "n"])
+            weight = np.r_[uses, np.full(v.classes + 1, n)]
+            rows = _rows(p, v)
+            used = np.flatnonzero(weight)
+            for i in range(0, len(used), 10_000):
+                at = used[i : i + 10_000]
+                part = np.ascontiguousarray(rows[at].T)
+                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(weight[at]), *map(pa.array, part)], ["at", "n", *(f"x{k}" for k in range(ROW))])
 
     return run
 
 
-def train(texts: DataFrame, v: Vocabulary) -> dict[str, np.ndarray]:
+def train(texts: DataFrame, v: Vocabulary, known=None) -> dict[str, np.ndarray]:
     """The parameters' averages over all partitions of a column `text`."""
-    p = initial(v)
-    mean = texts.mapInArrow(_trained(v), "at int, x double, n long").groupBy("at").agg((F.sum("x") / F.sum("n")).alias("x")).toArrow()
+    known = known or texts.sparkSession.sparkContext.broadcast(v)
+    fields = [f"x{k}" for k in range(ROW)]
+    rows = texts.mapInArrow(_trained(known), "at int, n double, " + ", ".join(f"{x} float" for x in fields))
+    mean = rows.groupBy("at").agg(*[(F.sum(F.col(x) * F.col("n")) / F.sum("n")).cast("float").alias(x) for x in fields]).toArrow()
+    out = _rows(initial(v), v)
     if mean.num_rows:
-        flat = np.zeros(sum(x.size for x in p.values()))
-        flat[mean.column("at").to_numpy()] = mean.column("x").to_numpy()
-        done = 0
-        for k in ("q", "w", "t", "b"):
-            p[k] = flat[done : done + p[k].size].reshape(p[k].shape).astype(np.float32)
-            done += p[k].size
-    return p
+        at = mean.column("at").to_numpy()
+        for k, x in enumerate(fields):
+            out[at, k] = mean.column(x).to_numpy()
+    return _parameters(out, v)
+
+
+def _norm(r: np.ndarray, t: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Logarithms of the sums of exponentials of r's scores."""
+    out = np.empty(len(r), np.float32)
+    for i in range(0, len(r), STEP):
+        z = r[i : i + STEP] @ t.T
+        z += b
+        top = z.max(1)
+        z -= top[:, None]
+        out[i : i + STEP] = top + np.log(np.exp(z, out=z).sum(1))
+    return out
 
 
 def log_probabilities(p, c1: np.ndarray, c2: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """Normalised log10 probabilities; equal contexts are normalised once."""
+    """Normalised log10 probabilities; equal contexts are normalised once, over the classes
+    and for each class that they meet."""
+    classes = len(p["u"])
+    width = len(p["t"]) // classes
     pair, where = np.unique(c1 * len(p["q"]) + c2, return_inverse=True)
     r = p["q"][pair // len(p["q"])] * p["w"][0] + p["q"][pair % len(p["q"])] * p["w"][1]
-    norm = np.empty(len(pair))
-    for i in range(0, len(pair), STEP):
-        z = r[i : i + STEP] @ p["t"].T + p["b"]
-        top = z.max(1)
-        norm[i : i + STEP] = top + np.log(np.exp(z - top[:, None]).sum(1))
-    score = (r[where] * p["t"][target]).sum(1) + p["b"][target]
-    return (score - norm[where]) / math.log(10)
+    k = target // width
+    met, inside = np.unique(k * len(pair) + where, return_inverse=True)
+    norm = np.empty(len(met), np.float32)
+    cut = np.searchsorted(met, np.arange(classes + 1) * len(pair))
+    for i in np.flatnonzero(np.diff(cut)):
+        own = slice(cut[i], cut[i + 1])
+        outs = slice(i * width, (i + 1) * width)
+        norm[own] = _norm(r[met[own] - i * len(pair)], p["t"][outs], p["b"][outs])
+    of_class = _norm(r, p["u"], p["a"])
+    score = (r[where] * (p["u"][k] + p["t"][target])).sum(1) + p["a"][k] + p["b"][target]
+    return (score - of_class[where] - norm[inside]).astype(np.float64) / math.log(10)
 
 
 _FAR = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
 
 
-def _scored(v: Vocabulary, shared):
+def _scored(known, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = shared.value
+        v, p = known.value, shared.value
         for b in batches:
             for at in range(0, b.num_rows, DOCS):
                 part = b.slice(at, DOCS)
                 held, rows = [], []
                 for i, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    out, inp, log, far = look_up(words_of(t), v)
-                    held.append((out, *contexts(inp, v)))
-                    counts = Counter(far)
-                    is_far = len(far)
-                    lg = np.log10(log + 0.5)
+                    ids, count, far = look_up(words_of(t), v)
+                    held.append((ids, *contexts(ids, v)))
                     # A far word's own count comes later; here it is left out.
-                    base = float(lg.sum()) - is_far * v.floor - len(out) * v.base
-                    near_other = (out == v.other) & (log > 0)
-                    inside = float(lg[near_other].sum()) - int((out == v.other).sum()) * v.rest
-                    rows.append((i, len(out), int((log > 0).sum()), base, inside, [{"word": w, "n": n} for w, n in counts.items()]))
+                    base = float(np.log10(count + 0.5).sum()) - len(far) * v.floor - len(ids) * v.base
+                    rare = ids[(ids >= v.size) & (ids < v.end)] - v.size
+                    rows.append((i, len(ids), int((count > 0).sum()), base, -float(v.inside[rare].sum()), [{"word": w, "n": n} for w, n in Counter(far).items()]))
                 target, c1, c2 = (np.concatenate(x) for x in zip(*held, strict=True))
                 lp = log_probabilities(p, c1, c2, target)
                 ends = np.cumsum([len(h[0]) for h in held])
@@ -254,6 +321,25 @@ def _scored(v: Vocabulary, shared):
     return run
 
 
+def vocabulary(counts: DataFrame, words: int, distinct: int, n_texts: int) -> Vocabulary:
+    """Every word above a count, and the sums of the buckets of all others."""
+    most, least, size = WIDE * math.isqrt(words + n_texts), 1, 0
+    # There are at most about sqrt(2 * words) different counts.
+    for r in sorted(counts.groupBy("c").count().collect(), key=lambda r: -r["c"]):
+        if size + r["count"] > most:
+            least = r["c"] + 1
+            break
+        size += r["count"]
+    top = counts.where(F.col("c") >= least).toArrow()
+    top = sorted(zip(top.column("word").to_pylist(), top.column("c").to_pylist(), strict=True), key=lambda x: (-x[1], x[0]))
+    buckets = max(1, len(top) // 4)
+    rest, kinds = np.zeros((2, buckets), np.int64)
+    far = counts.where(F.col("c") < least).groupBy(bucket_of(F.col("word"), buckets).cast("int").alias("at")).agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("n")).toArrow()
+    at = far.column("at").to_numpy()
+    rest[at], kinds[at] = far.column("c").to_numpy(), far.column("n").to_numpy()
+    return Vocabulary([w for w, _ in top], np.array([c for _, c in top], np.int64), len(top), words + n_texts, distinct + (n_texts > 0), n_texts, rest, kinds)
+
+
 def score_texts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
@@ -262,11 +348,10 @@ def score_texts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     counts = stored(word_counts(learn), "lm-counts")
     words, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     n_texts = learn.count()
-    top = counts.orderBy(F.desc("c"), "word").limit(KNOWN).collect()
-    of = np.array([r["c"] for r in top], np.int64)
-    v = Vocabulary([bytes(r["word"]) for r in top], of, min(VOCABULARY, len(top)), words + n_texts, distinct + (n_texts > 0), n_texts)
-    shared = spark.sparkContext.broadcast(train(learn, v))
-    scored = rows.mapInArrow(_scored(v, shared), "doc_id long, n_tokens long, n_known long, base double, score double, far array<struct<word:binary,n:bigint>>")
+    v = vocabulary(counts, words, distinct, n_texts)
+    known = spark.sparkContext.broadcast(v)
+    shared = spark.sparkContext.broadcast(train(learn, v, known))
+    scored = rows.mapInArrow(_scored(known, shared), "doc_id long, n_tokens long, n_known long, base double, score double, far array<struct<word:binary,n:bigint>>")
     scored = stored(scored.withColumn("row", F.monotonically_increasing_id()), "lm-scores")
     # Words beyond the known ones: their counts are joined by word, a document's pieces summed.
     far = scored.select("row", F.inline("far")).join(counts, "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))

@@ -317,6 +317,29 @@ def test_lm_is_normalised():
     assert abs((10 ** lm.log_probabilities(p, c, c + 1, np.arange(v.size + 2))).sum() - 1) < 1e-5
 
 
+def test_lm_vocabulary_follows_the_counts(spark):
+    """More than 512 words in a fixed order: context tells apart those beyond the 512 most frequent, too."""
+    import numpy as np
+
+    words = [f"w{i:04d}" for i in range(1500)]
+    train_ids = [i for i in range(500) if zlib.crc32(str(i).encode()) % 5 != 1][:240]
+    d = spark.createDataFrame([(i, " ".join(words[600 + 3 * (i % 300) :][:600])) for i in train_ids] + [(10_000, "zz q")], "doc_id long, text string").coalesce(1)
+    counts = lm.word_counts(d.select("text"))
+    n, kinds = sum(r.c for r in counts.collect()), counts.count()
+    v = lm.vocabulary(counts, n, kinds, d.count())
+    assert v.size > 512 and v.of.sum() + v.rest.sum() + v.texts == v.total and v.size + v.kinds.sum() == kinds
+    far = {bytes(r.word): r.c for r in counts.collect()}.keys() - set(v.words)
+    assert all(v.kinds[lm.bucket(w, v.buckets)] > 0 for w in far)
+    p = lm.train(d.select("text"), v)
+    held = np.array([v.place[w.encode()] for w in words[900:1200]])
+    c1, c2 = lm.contexts(held, v)
+    after = lm.log_probabilities(p, c1, c2, held)[2:].mean()
+    shuffled = lm.log_probabilities(p, c1[2:], c2[2:], np.roll(held[2:], 57)).mean()
+    assert after > shuffled + 0.5
+    every = np.arange(v.end + 1)
+    assert abs((10 ** lm.log_probabilities(p, every * 0 + held[1], every * 0 + held[0], every)).sum() - 1) < 1e-4
+
+
 # --- 8, n-gram join ---
 
 
