@@ -4,7 +4,7 @@ A text's subwords are all runs of 2, 3 and 4 bytes of its lower-cased UTF-8 form
 everything in ASCII but letters is one separator; each is hashed to a bucket with an
 embedding. The mean embedding of all subwords of the whole text goes through a linear
 softmax. Embeddings and softmax are trained together by stochastic gradient descent in
-numpy, on a bounded sample of labelled documents. On a part of the sample that is not
+numpy, on a bounded sample of the documents of every label. On a part of the sample that is not
 trained on, a temperature calibrates the scores, and the score below which a prediction is
 rejected is set so that no more than `REJECT` of correctly predicted texts are.
 
@@ -29,15 +29,15 @@ from pyspark.sql import functions as F
 
 BUCKETS = 1 << 13
 DIM = 8
-#: Labelled documents used for each language, and languages used, at most.
-PER_LANGUAGE, LANGUAGES = 400, 64
+#: Labelled documents used for each language, at most.
+PER_LANGUAGE = 400
 #: Pieces taken evenly from the whole of each sampled text, beside the whole, and their bytes.
 PIECES, PIECE = 6, 72
 EPOCHS, BATCH, RATE, SEED = 8, 32, 0.5, 4
 #: Steps that are taken at least: small samples are gone through more often.
 STEPS = 1500
-#: Share of correctly predicted texts of the calibration part that may be rejected, and the highest score at which any is.
-REJECT, HIGHEST = 0.001, 0.4
+#: Share of correctly predicted texts of the calibration part that may be rejected.
+REJECT = 0.001
 
 _CLEAN = bytes(c if chr(c).isalpha() and c < 128 or c >= 128 else 32 for c in range(256))
 
@@ -137,7 +137,7 @@ def fit(examples: list, languages: list[str]) -> Model:
         q = scores(heat)
         right = q.argmax(1) == truth
         if right.any():
-            least = min(HIGHEST, float(np.quantile(q.max(1)[right], REJECT)))
+            least = float(np.quantile(q.max(1)[right], REJECT))
     return Model(tuple(languages), (emb @ out / heat).astype(np.float32), (bias / heat).astype(np.float32), least)
 
 
@@ -150,14 +150,13 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str =
     by a hash of doc_id."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
     rows = rows.where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL").where(~held_out(F.col("doc_id")))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    languages = sorted(r["lang"] for r in counts)
-    number = {r["lang"]: r["count"] for r in counts}
+    number = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    languages = sorted(number)
     if not languages:
         return Model((), np.zeros((BUCKETS, 0), np.float32), np.zeros(0, np.float32), 0.0)
     draw = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 30)) / float(1 << 30)
-    share = F.create_map(*[F.lit(x) for k in languages for x in (k, min(1.0, PER_LANGUAGE / number[k]))])
-    drawn = rows.where(F.col("lang").isin(languages)).where(draw < F.element_at(share, F.col("lang")))
+    shares = docs.sparkSession.createDataFrame([(k, min(1.0, PER_LANGUAGE / number[k])) for k in languages], "lang string, share double")
+    drawn = rows.join(F.broadcast(shares), "lang").where(draw < F.col("share"))
     drawn = drawn.orderBy(F.xxhash64("doc_id", F.lit(SEED))).limit(2 * PER_LANGUAGE * len(languages))
     drawn = drawn.select("lang", (F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(5)) == 0).alias("part"), "text")
     got = drawn.mapInPandas(_examples, "lang string, part boolean, at array<int>, share array<float>").toArrow()
@@ -166,6 +165,9 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str =
     columns = (got.column("lang").to_pylist(), got.column("part").to_pylist(), got.column("at"), got.column("share"))
     for k, part, at, share in zip(*columns, strict=True):
         examples[part].append((place[k], at.values.to_numpy(), share.values.to_numpy()))
+    # A label that fell to the calibration part alone is learned from there.
+    learned = {e[0] for e in examples[0]}
+    examples[0].extend(e for e in examples[1] if e[0] not in learned)
     return fit(examples, languages)
 
 

@@ -211,6 +211,21 @@ def test_languages(docs, odd_docs, empty_docs):
     assert kept.columns == odd_docs.columns and {0, 1, 2, 10}.isdisjoint({r.doc_id for r in kept.collect()})
 
 
+def test_unlearned_languages_are_rejected(docs):
+    """The calibrated score alone decides: with fewer languages learned, texts of another aren't kept."""
+    model = langid.train(docs.where("lang <> 'de'"))
+    assert "de" not in model.languages
+    rows = langid.predict(docs.select("doc_id", "lang", "text"), model).collect()
+    other, clean = [r for r in rows if r.lang == "de"], [r for r in rows if r.lang != "de"]
+    assert sum(r.rejected for r in other) >= 0.9 * len(other) and sum(r.rejected for r in clean) <= 0.02 * len(clean)
+
+
+def test_every_label_is_learned(spark):
+    rows = [(100 * k + i, f"l{k:02d}", f"qa{chr(97 + k % 26)}{chr(97 + k // 26)} zo{chr(97 + k // 26)}{chr(97 + k % 26)} " * 3) for k in range(70) for i in range(12)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, lang string, text string"))
+    assert len(model.languages) == 70
+
+
 # --- 5, URLs ---
 
 
