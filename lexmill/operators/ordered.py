@@ -38,17 +38,48 @@ def printed_offset(rows: DataFrame, doc: str, slot: str, page: str, number: str)
     return seen.groupBy(doc).agg(best.alias("best")).select(doc, "best.*")
 
 
-def greedy_spans(rows: DataFrame, by: list, start: str, stop: str, tie: str) -> DataFrame:
-    """Keeps a span that starts at or after the end of the last that was kept."""
-    every = rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(start, tie, stop))).alias("all"))
-    zero = F.struct(F.lit(None).cast(rows.schema[stop].dataType).alias("end"), F.filter("all", lambda x: F.lit(False)).alias("kept"))
-    kept = F.aggregate(
-        "all",
-        zero,
-        lambda s, x: F.when(s["end"].isNull() | (x[start] >= s["end"]), F.struct(x[stop].alias("end"), F.concat(s["kept"], F.array(x)).alias("kept"))).otherwise(s),
-        lambda s: s["kept"],
-    )
-    return every.select(*by, F.inline(kept))
+def cut(df: DataFrame) -> DataFrame:
+    """`df` computed once, its lineage ended: in the checkpoint folder where there is one."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
+
+
+def greedy_spans(rows: DataFrame, by: list, start: str, stop: str, tie: str, stretch: int = 100_000) -> DataFrame:
+    """Keeps a span that starts at or after the end of the last that was kept.
+
+    Each span's successor (the next that can be kept after it) is found inside ranges of
+    about `stretch` spans, so that no task holds a whole key; what is kept is then marked
+    from each key's first span by doubling the successors."""
+    spans = cut(rows.select(*by, start, tie, stop).withColumn("__id", F.monotonically_increasing_id()))
+    parts = spans.count() // stretch
+    cuts = spans.agg(F.percentile_approx(start, [i / (parts + 1) for i in range(1, parts + 1)])).first()[0] if parts else None
+    cuts = F.array(*[F.lit(c).cast(rows.schema[start].dataType) for c in sorted(set(cuts or ()))])
+
+    # Spans, and after them in order what looks for a successor: beyond the span itself, or
+    # before all that start where it ends.
+    at_once = F.coalesce(F.col(stop) <= F.col(start), F.col(stop).isNull())
+    place = [F.when(at_once, F.col(c)).alias(f"__{n}") for n, c in (("tie", tie), ("stop", stop), ("row", "__id"))]
+    seek = spans.select(*by, F.when(at_once, F.col(start)).otherwise(F.col(stop)).alias("__at"), F.when(at_once, 1).otherwise(0).alias("__after"), *place, F.lit(1).alias("__seeks"), F.col("__id").alias("__from"), F.lit(None).cast("bigint").alias("__to"))
+    there = spans.select(*by, F.col(start).alias("__at"), F.lit(1).alias("__after"), F.col(tie).alias("__tie"), F.col(stop).alias("__stop"), F.col("__id").alias("__row"), F.lit(0).alias("__seeks"), F.lit(None).cast("bigint").alias("__from"), F.col("__id").alias("__to"))
+    order = ["__at", "__after", "__tie", "__stop", "__row", "__seeks"]
+    both = there.unionByName(seek).withColumn("__part", F.when(F.col("__at").isNull(), -1).otherwise(F.size(F.filter(cuts, lambda c: c <= F.col("__at")))))
+    heads = both.groupBy(*by, "__part").agg(F.min_by("__to", F.when(F.col("__to").isNotNull(), F.struct(*order))).alias("__head"))
+    w = Window.partitionBy(*by).orderBy("__part").rowsBetween(1, Window.unboundedFollowing)
+    heads = heads.withColumn("__later", F.first("__head", ignorenulls=True).over(w)).select(*[F.col(c).alias(f"__by{i}") for i, c in enumerate(by)], F.col("__part").alias("__p"), "__head", "__later")
+    w = Window.partitionBy(*by, "__part").orderBy(*[F.col(c).desc() for c in order]).rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("__next", F.last("__to", ignorenulls=True).over(w)).where("__seeks = 1")
+    same = F.col("__part") == F.col("__p")
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"__by{i}"))
+    jumps = cut(found.join(heads, same, "left").select(F.col("__from").alias("a"), F.coalesce("__next", "__later").alias("b")).where("b IS NOT NULL"))
+    kept = spans.groupBy(*by).agg(F.min(F.struct(start, tie, stop, "__id")).alias("one")).select(F.col("one.__id").alias("a"))
+    kept = cut(kept)
+    while True:
+        more = cut(kept.join(jumps, "a").select(F.col("b").alias("a")))
+        if more.isEmpty():
+            break
+        kept = cut(kept.unionByName(more))
+        jumps = cut(jumps.join(jumps.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").select("a", F.col("c").alias("b")))
+    return spans.join(kept.withColumnRenamed("a", "__id"), "__id", "left_semi").select(*by, start, tie, stop)
 
 
 def as_of(rows: DataFrame, markers: DataFrame, by: str, at: str, value: str, name: str) -> DataFrame:
