@@ -17,7 +17,8 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
 
     Each round joins every node's neighbours to its smallest one: first the larger
     neighbours, then the smaller. Minima are aggregated before they are shuffled, and a
-    node with very many links is one side of a join that Spark can split. Rounds end when
+    node with very many links is one side of a join that Spark can split (nothing is made
+    distinct between the shuffle and the join, which would keep it whole). Rounds end when
     the links no longer change; their number grows as the logarithm of the longest path.
     Links to a null or to the node itself are none.
     """
@@ -28,7 +29,7 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
         # Large star: with m the least of u and its neighbours, link each larger neighbour to m.
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         # Small star: link u and its smaller neighbours to the least of them.
         small = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(small, "u")

@@ -4,25 +4,32 @@ A document's set is its distinct word n-grams, hashed to 64 bits. Sets of simila
 share a scheme: with d the greatest symmetric difference that two linked sets of the
 scheme can have, the hash space is cut into m = d + 1 + e bands, and each band's word is
 the XOR of the hashes in it, so the words that differ between two sets are at most their
-symmetric difference. Linked sets have e + 1 equal words at least. Each set drops the e
-words with the fewest n-grams: of two linked sets' equal words the one with the most is
-then kept by both, and the set is joined by what it keeps. A second sketch of 512 parity
-bits, whose Hamming distance is a lower bound too, rejects most pairs before the n-grams
-are compared.
-
-Pairs are not all listed. In each group with an equal word, members are first compared
-with one leader; components of what is linked are formed; only members that are not in
-their leader's component are then compared with the rest of the group, across components.
-No link between components can be missed, so components are exact.
-
-A word that many documents of one batch share would gather in one task; there, only the
-batch's first goes under the word and the others go under the word and that first one.
-Equal sets are joined by a digest of the set and are represented by one of them.
+symmetric difference. Linked sets have e + 1 equal words at least. All words have one
+order, from rare to common (ties by their value; words of empty bands last), and each set
+drops its e last: of two linked sets' equal words the first is then kept by both, and a
+passage that many documents share costs them only dropped words. A second sketch of 512
+parity bits, whose Hamming distance is a lower bound too, rejects most pairs before the
+n-grams are compared.
+
+Sets are compared in rounds. In each, every word names one of the sets that keep it, by a
+hash that changes with the round; a set is compared with the one that most of its words
+name, of those in another component, so a round has at most one pair for each set. Copies
+of one text run together in few rounds, however many they are. After `ROUNDS`, or when a
+round finds no link, the sets outside the largest component of a word's group are compared
+with all others of the group outside their own component: the exact end, in which nothing
+is left out. There, sizes and parity bits are tested inside the join, and only pairs that
+they can't refute are made.
+
+How common a word is, is counted by its group. A word that many sets of one batch share
+would gather in one task: there, only the batch's first goes to the word's group, with the
+number of all, and the others take the count by a join that Spark can split.
 
 Cases: a null or blank text has an empty set, is linked with nothing, and is its own
-component; a text of fewer than n words is one n-gram; rows that repeat a doc_id are one
-node with the links of each; a null doc_id has no links and a null component; an empty
-table gives an empty result; other columns, whatever their names, are not read.
+component; a text of fewer than n words is one n-gram; very long texts are used whole, and
+a set has words in proportion to its size; equal sets are one node, found by a digest; rows
+that repeat a doc_id, with equal texts or others, are in one component with the links of
+each; a null doc_id has no links and a null component; an empty table gives an empty
+result; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -32,7 +39,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import renamed, stored
@@ -44,13 +51,22 @@ WORDS, PERCENT = 5, 80
 EXTRA = 0.25
 #: Bits of the second sketch.
 BITS = 512
-#: Members in one batch from which on a word is dealt out.
+#: Sets in one batch from which on a word is dealt out.
 CROWD = 8
+#: Rows of a word's group that are held to count them; beyond, it is as common as any.
+HELD = 20_000
+#: Different sets that a task remembers, so as to pass over equal ones.
+SEEN = 1_000_000
+#: Rounds of one pair for each set before the exact end.
+ROUNDS = 5
 #: Documents for which a broadcast of ids is used (8 MB); beyond it the join is shuffled.
 FEW = 1_000_000
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xC2B2AE3D27D4EB4F)
-_MEMBERS = "word long, id long, by long, n int, sketch array<long>"
+#: A set has id, n and sketch. A word has cut, twice the number of its set's words to drop
+#: plus which of the set's two schemes it is of, and weight: how many sets of its batch the
+#: row stands for, or 0 if another row stands for it.
+_MEMBERS = "by long, word long, node long, id long, n int, cut int, weight int, sketch array<long>"
 
 
 def shingles(text: str | None, n: int) -> np.ndarray:
@@ -88,8 +104,9 @@ def schemes(n: int, percent: int) -> Iterator[tuple[int, int]]:
             yield s, most_apart(top + top * 100 // percent, percent)
 
 
-def band_words(h: np.ndarray, scheme: int, d: int, extra: float = EXTRA) -> np.ndarray:
-    """The d + 1 words that a set keeps in a scheme, each mixed with its band and scheme."""
+def band_words(h: np.ndarray, scheme: int, d: int, extra: float = EXTRA) -> tuple[np.ndarray, int]:
+    """A set's words in a scheme, each mixed with its band and scheme, and how many of them
+    to drop beside those of empty bands."""
     m = d + 1 + int(extra * (d + 1))
     band = ((h * _B) >> np.uint64(33)) % np.uint64(m)
     order = np.argsort(band, kind="stable")
@@ -97,11 +114,12 @@ def band_words(h: np.ndarray, scheme: int, d: int, extra: float = EXTRA) -> np.n
     first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
     mixed = h[order] * _A
     mixed ^= mixed >> np.uint64(29)
-    words = np.zeros(m, np.uint64)
-    words[at[first]] = np.bitwise_xor.reduceat(mixed, first)
-    kept = np.argsort(-np.bincount(at, minlength=m), kind="stable")[: d + 1]
-    out = (words[kept] ^ np.uint64(scheme * 1000003 + 7)) * _A + (kept.astype(np.uint64) + np.uint64(1)) * _C
-    return out ^ (out >> np.uint64(31))
+    words, kept = np.bitwise_xor.reduceat(mixed, first), at[first]
+    if len(kept) <= d:  # words of empty bands are needed, too: the first ones
+        empty = np.setdiff1d(np.arange(m), kept)[: d + 1 - len(kept)]
+        words, kept = np.r_[words, np.zeros(len(empty), np.uint64)], np.r_[kept, empty]
+    out = (words ^ np.uint64(scheme * 1000003 + 7)) * _A + (kept.astype(np.uint64) + np.uint64(1)) * _C
+    return out ^ (out >> np.uint64(31)), len(out) - d - 1
 
 
 def parity(h: np.ndarray) -> np.ndarray:
@@ -114,104 +132,149 @@ def _digest(h: np.ndarray) -> np.uint64:
     return np.uint64(xxhash.xxh3_64_intdigest(h.tobytes(), 1))
 
 
-def _batch(ids: list, texts: list, n: int, percent: int) -> dict[str, list]:
-    digests, kept, words, seen = [], [], [], set()
+def _batch(ids: list, texts: list, n: int, percent: int, seen: set[int]) -> dict[str, list]:
+    nodes, sizes, sketches = [], [], []
+    words, who, cuts = [], [], []
     for i, text in zip(ids, texts, strict=True):
         h = shingles(text, n)
-        if i is None or not len(h):
-            # It meets nothing; its place is any.
-            digests.append((xxhash.xxh3_64_intdigest(f"{i} {len(digests)}"), i, len(h), None))
-            continue
-        g = _digest(h)
-        digests.append((int(g), i, len(h), parity(h)))
-        if g in seen:  # an equal set of this batch stands for it
+        g = int(_digest(h))
+        nodes.append(g)
+        sizes.append(len(h))
+        sketches.append(parity(h) if len(h) else None)
+        if i is None or not len(h) or g in seen:
             continue
+        if len(seen) >= SEEN:
+            seen.clear()
         seen.add(g)
-        for scheme, d in schemes(len(h), percent):
-            w = band_words(h, scheme, d)
+        for way, (scheme, d) in enumerate(schemes(len(h), percent)):
+            w, drop = band_words(h, scheme, d)
             words.append(w)
-            kept.append(np.full(len(w), i, np.int64))
+            who.append(np.full(len(w), g, np.uint64))
+            cuts.append(np.full(len(w), 2 * drop + way, np.int32))
     word = np.concatenate(words) if words else np.empty(0, np.uint64)
-    who = np.concatenate(kept) if kept else np.empty(0, np.int64)
+    who = np.concatenate(who) if who else np.empty(0, np.uint64)
+    cut = np.concatenate(cuts) if cuts else np.empty(0, np.int32)
     order = np.argsort(word, kind="stable")
-    word, who = word[order], who[order]
+    word, who, cut = word[order], who[order], cut[order]
     start = np.flatnonzero(np.r_[True, word[1:] != word[:-1]]) if len(word) else np.empty(0, np.int64)
     many = np.diff(np.r_[start, len(word)])
-    lead = np.repeat(who[start], many)
-    crowd = np.repeat(many >= CROWD, many)
-    under = np.where(crowd, (word ^ lead.astype(np.uint64) * _B) * _C, word)
-    one = start[many >= CROWD]  # a crowd's first goes under the word itself, too
+    weight = np.ones(len(word), np.int32)
+    weight[np.repeat(many >= CROWD, many)] = 0
+    weight[start] = np.where(many >= CROWD, many, 1)
+    # A set, and a word that another row stands for, may go anywhere.
+    by = np.where(weight > 0, word, (who * _B) ^ (word * _C))
+    node = np.array(nodes, np.uint64)
+    k, w = len(node), len(word)
     return {
-        "by": np.concatenate([np.array([g for g, *_ in digests], np.uint64), under, word[one]]).view(np.int64),
-        "word": np.concatenate([np.zeros(len(digests), np.int64), word.view(np.int64), word[one].view(np.int64)]),
-        "id": [i for _, i, *_ in digests] + who.tolist() + who[one].tolist(),
-        "n": [x[2] for x in digests] + [None] * (len(word) + len(one)),
-        "sketch": [x[3] for x in digests] + [None] * (len(word) + len(one)),
+        "by": np.concatenate([(node + np.arange(k, dtype=np.uint64)) * _C, by]).view(np.int64),
+        "word": pa.array(np.concatenate([np.zeros(k, np.int64), word.view(np.int64)]), mask=np.arange(k + w) < k),
+        "node": np.concatenate([node, who]).view(np.int64),
+        "id": ids + [None] * w,
+        "n": pa.array(np.r_[np.array(sizes, np.int32), np.zeros(w, np.int32)], mask=np.arange(k + w) >= k),
+        "cut": np.r_[np.zeros(k, np.int32), cut],
+        "weight": np.r_[np.zeros(k, np.int32), weight],
+        "sketch": sketches + [None] * w,
     }
 
 
-_ARROW = pa.schema([("word", pa.int64()), ("id", pa.int64()), ("by", pa.int64()), ("n", pa.int32()), ("sketch", pa.list_(pa.int64()))])
+_ARROW = pa.schema([("by", pa.int64()), ("word", pa.int64()), ("node", pa.int64()), ("id", pa.int64()), ("n", pa.int32()), ("cut", pa.int32()), ("weight", pa.int32()), ("sketch", pa.list_(pa.int64()))])
 
 
 def _members(n: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for b in batches:
             for at in range(0, b.num_rows, 1000):
                 part = b.slice(at, 1000)
-                got = _batch(part.column(0).to_pylist(), part.column(1).to_pylist(), n, percent)
+                got = _batch(part.column(0).to_pylist(), part.column(1).to_pylist(), n, percent, seen)
                 yield pa.RecordBatch.from_pydict(got, schema=_ARROW)
 
     return run
 
 
-_FOUND = "by long, word long, id long, n int, sketch array<long>, lead long"
+#: common: how many sets share a word, HELD at most; null where a join has to tell.
+_FOUND = "word long, node long, id long, n int, cut int, weight int, common int, sketch array<long>"
 
 
 def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (by, whole, id): the set rows, and the word rows whose group has
-    another member, each with its group's first id. A group may go over batches, so the
-    last row of each batch waits for the next."""
-    import pyarrow.compute as pc
-
-    held, lead_by, lead = None, None, None
-    last = None
-
-    def told(t: pa.Table, following: int | None):
-        nonlocal lead_by, lead, last
-        by = t.column("by").to_numpy()
-        ids = pc.fill_null(t.column("id"), -1).to_numpy()
-        new = np.r_[last is None or by[0] != last, by[1:] != by[:-1]]
-        first = np.where(new, np.arange(len(by)), -1)
-        first = np.maximum.accumulate(first)
-        leads = np.where(first >= 0, ids[np.maximum(first, 0)], lead if lead is not None else 0)
-        same_next = np.r_[by[1:] == by[:-1], following is not None and by[-1] == following]
-        is_set = t.column("n").is_valid().to_numpy()
-        keep = is_set | ~new | same_next
-        lead, last = int(leads[-1]), int(by[-1])
-        out = t.append_column("lead", pa.array(leads, pa.int64())).filter(pa.array(keep))
-        return out.select(["by", "word", "id", "n", "sketch", "lead"])
+    """Of rows sorted by (by, weight > 0, node): all sets, and the words that more than one
+    set has. A group may go over batches, so the last of each batch waits for the next."""
+    held: list[np.ndarray] | None = None  # word, node, cut, weight
+    over: int | None = None  # the word of a group too large to hold
+
+    def counted(word, node, cut, weight):
+        """Complete groups, without repeated sets."""
+        new = np.r_[True, (word[1:] != word[:-1])] if len(word) else np.empty(0, bool)
+        fresh = new | np.r_[True, node[1:] != node[:-1]] if len(word) else new
+        word, node, cut, weight, new = (x[fresh] for x in (word, node, cut, weight, new))
+        start = np.flatnonzero(new)
+        if not len(start):
+            return None
+        many = np.diff(np.r_[start, len(word)])
+        common = np.repeat(np.minimum(np.add.reduceat(weight, start), HELD), many)
+        shared = common > 1
+        return told(*(x[shared] for x in (word, node, cut, weight, common)))
+
+    def told(word, node, cut, weight, common):
+        k = len(word)
+        none = pa.nulls(k, pa.int64())
+        cols = [pa.array(word), pa.array(node), none, pa.nulls(k, pa.int32()), pa.array(cut), pa.array(weight), pa.array(common.astype(np.int32)), pa.nulls(k, pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays(cols, names=_NAMES)
 
     for b in batches:
-        if not b.num_rows:
+        weight = b.column("weight").to_numpy()
+        main = weight > 0
+        if not main.all():
+            rest = b.filter(pa.array(~main))
+            yield pa.RecordBatch.from_arrays([*(rest.column(c) for c in _NAMES[:6]), pa.nulls(rest.num_rows, pa.int32()), rest.column("sketch")], names=_NAMES)
+        if not main.any():
             continue
-        t = pa.Table.from_batches([b])
+        rows = [b.column(c).fill_null(0).to_numpy()[main] for c in ("word", "node", "cut", "weight")]
+        if over is not None:
+            same = rows[0] == over
+            if same.any():
+                first = [x[same] for x in rows]
+                yield told(*first, np.full(len(first[0]), HELD))
+                rows = [x[~same] for x in rows]
+            if not len(rows[0]):
+                continue
+            over = None
         if held is not None:
-            yield from told(held, t.column("by")[0].as_py()).to_batches()
-        held = t
-    if held is not None:
-        yield from told(held, None).to_batches()
+            rows = [np.concatenate(x) for x in zip(held, rows, strict=True)]
+        last = np.searchsorted(rows[0] == rows[0][-1], True)
+        out = counted(*(x[:last] for x in rows))
+        if out is not None and out.num_rows:
+            yield out
+        held = [x[last:] for x in rows]
+        if len(held[0]) > HELD:
+            yield told(*held, np.full(len(held[0]), HELD))
+            over, held = int(held[0][0]), None
+    if held is not None and len(held[0]):
+        out = counted(*held)
+        if out is not None and out.num_rows:
+            yield out
 
 
-_SETS = pa.schema([("id", pa.int64()), ("grams", pa.list_(pa.int64()))])
+_NAMES = ["word", "node", "id", "n", "cut", "weight", "common", "sketch"]
+
+_SETS = pa.schema([("node", pa.int64()), ("grams", pa.list_(pa.int64()))])
 
 
 def _sets(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for b in batches:
             for at in range(0, b.num_rows, 200):
-                part = b.slice(at, 200)
-                grams = [shingles(t, n).view(np.int64) for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(grams, pa.list_(pa.int64()))], schema=_SETS)
+                new = {}
+                for t in b.column(1).slice(at, 200).to_pylist():
+                    h = shingles(t, n)
+                    g = int(_digest(h))
+                    if g not in seen:
+                        new[g] = h.view(np.int64)
+                        seen.add(g)
+                if len(seen) >= SEEN:
+                    seen.clear()
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(list(new), np.uint64).view(np.int64)), pa.array(list(new.values()), pa.list_(pa.int64()))], schema=_SETS)
 
     return run
 
@@ -233,61 +296,102 @@ def _possible(percent: int):
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose n-grams are similar enough."""
-    one = sets.select(F.col("id").alias("a"), F.col("grams").alias("g1"))
-    two = sets.select(F.col("id").alias("b"), F.col("grams").alias("g2"))
+    one = sets.select(F.col("node").alias("a"), F.col("grams").alias("g1"))
+    two = sets.select(F.col("node").alias("b"), F.col("grams").alias("g2"))
     both = F.size(F.array_intersect("g1", "g2"))
     ok = both * (100 + percent) >= (F.size("g1") + F.size("g2")) * percent
     return pairs.join(one, "a").join(two, "b").where(ok).select("a", "b")
 
 
+def _kept_words(found: DataFrame) -> DataFrame:
+    """(word, node): of the words that a set shares, all but the most common."""
+    words = found.where("n IS NULL").select("word", "node", "cut", "weight", "common")
+    crowds = words.where("weight > 1").groupBy("word").agg(F.max("common").alias("common"))
+    dealt = words.where("weight = 0").drop("common").join(crowds, "word")
+    every = words.where("weight > 0").select("word", "node", "cut", "common").unionByName(dealt.select("word", "node", "cut", "common"))
+    # Rows may repeat; equal ones have one rank.
+    order = Window.partitionBy("node", "cut").orderBy(F.col("common").desc(), F.col("word").desc())
+    return every.withColumn("rank", F.dense_rank().over(order)).where(F.col("rank") > F.floor(F.col("cut") / 2)).select("word", "node").distinct()
+
+
+def _in_components(words: DataFrame, links: DataFrame) -> DataFrame:
+    """`words` with each node's component by `links`."""
+    comp = connected_components(links).select("node", "component")
+    return words.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+
+def _links(words: DataFrame, about: DataFrame, grams: DataFrame, percent: int) -> DataFrame:
+    """Links that have the components of all links: `words` says which nodes may be linked."""
+    left = about.select(F.col("node").alias("a"), F.col("n").alias("n1"), F.col("s").alias("s1"))
+    right = about.select(F.col("node").alias("b"), F.col("n").alias("n2"), F.col("s").alias("s2"))
+    at = words.withColumn("component", F.col("node"))
+    links = tried = None
+    for number in range(ROUNDS):
+        named = at.groupBy("word").agg(
+            F.min_by(F.struct(F.col("node").alias("b"), F.col("component").alias("other")), F.xxhash64("node", F.lit(number))).alias("named"),
+            F.min("component").alias("low"),
+            F.max("component").alias("high"),
+        )
+        named = named.where("low <> high").select("word", "named.*")
+        met = at.join(named, "word").where("component <> other").groupBy(F.col("node").alias("a"), "b").agg(F.count(F.lit(1)).alias("times"))
+        if tried is not None:
+            met = met.join(tried, ["a", "b"], "left_anti")
+        star = met.groupBy("a").agg(F.max_by("b", F.struct("times", "b")).alias("b"))
+        star = stored(star, "near-star")
+        found = stored(_linked(star.join(left, "a").join(right, "b").where(_possible(percent)).select("a", "b"), grams, percent), "near-links")
+        tried = star if tried is None else tried.unionByName(star)
+        links = found if links is None else links.unionByName(found)
+        if number and found.isEmpty():
+            break
+        at = _in_components(words, links)
+        # Groups of one component are done.
+        spread = at.groupBy("word").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("word")
+        at = stored(at.join(spread, "word"), "near-open")
+        if at.isEmpty():
+            return links
+    each = at.groupBy("word", "component").agg(F.count(F.lit(1)).alias("k"))
+    main = each.groupBy("word").agg(F.max_by("component", F.struct("k", "component")).alias("main"))
+    at = stored(at.join(main, "word").join(about, "node"), "near-open")
+    stray = at.where("component <> main").select(F.col("word").alias("w1"), F.col("node").alias("a"), F.col("component").alias("c1"), F.col("n").alias("n1"), F.col("s").alias("s1"))
+    rest = at.select("word", F.col("node").alias("b"), F.col("component").alias("c2"), "main", F.col("n").alias("n2"), F.col("s").alias("s2"))
+    apart = (F.col("c1") != F.col("c2")) & ((F.col("c2") == F.col("main")) | (F.col("a") > F.col("b")))
+    pairs = stray.join(rest, (F.col("w1") == F.col("word")) & apart & _possible(percent)).select("a", "b").distinct()
+    pairs = pairs.join(tried, ["a", "b"], "left_anti")
+    return links.unionByName(_linked(stored(pairs, "near-pairs"), grams, percent))
+
+
 def near_groups(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row per row of `docs`: doc_id, n_shingles, component_id."""
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
     members = rows.mapInArrow(_members(n, percent), _MEMBERS)
-    # A set's row comes before a word's; ids ascend, so a group's leader is its least.
-    members = members.repartition("by").sortWithinPartitions("by", F.col("n").isNull(), "id")
-    found = stored(members.select("word", "id", "by", "n", "sketch").mapInArrow(_grouped, _FOUND), "near-members")
-    sets = found.where("n IS NOT NULL")
+    members = members.repartition("by").sortWithinPartitions("by", F.col("weight") > 0, "node")
+    found = stored(members.mapInArrow(_grouped, _FOUND), "near-members")
+    sets = found.where("n IS NOT NULL").select("id", "node", "n", "sketch")
     known = sets.where("id IS NOT NULL AND n > 0")
 
-    # Equal sets are one class; its least id stands for it.
-    same = known.where("id <> lead").select(F.col("id").alias("a"), F.col("lead").alias("b"))
-    stands = known.groupBy("id").agg(F.min("lead").alias("rep"), F.min_by("n", "lead").alias("n"), F.min_by("sketch", "lead").alias("s"))
-    words = found.where("n IS NULL").select("word", "by", "id").join(stands.select("id", "rep"), "id").groupBy("by", "word", F.col("rep").alias("id")).agg(F.lit(1).alias("one")).drop("one")
-    leads = words.groupBy("by").agg(F.min("id").alias("lead"), F.count(F.lit(1)).alias("size")).where("size > 1").drop("size")
-    words = stored(words.join(leads, "by"), "near-words")
-    about = stands.where("id = rep").select("id", "n", "s")
-    left = about.select(F.col("id").alias("a"), F.col("n").alias("n1"), F.col("s").alias("s1"))
-    right = about.select(F.col("id").alias("b"), F.col("n").alias("n2"), F.col("s").alias("s2"))
-
-    # Of the leaders of its groups, each member is compared with the one it meets most often.
-    met = words.where("id <> lead").groupBy(F.col("id").alias("a"), F.col("lead").alias("b")).agg(F.count(F.lit(1)).alias("times"))
-    star = met.groupBy("a").agg(F.max_by("b", F.struct("times", -F.col("b"))).alias("b"))
-    star = star.join(left, "a").join(right, "b").where(_possible(percent)).select("a", "b")
-    wanted = words.select("id").distinct()
-    wanted = stored(wanted, "near-ids")
+    words = stored(_kept_words(found), "near-words")
+    wanted = stored(words.select("node").distinct(), "near-nodes")
     few = wanted.limit(FEW + 1).count() <= FEW
-    grams = rows.join(F.broadcast(wanted) if few else wanted, "id").select("id", "text").mapInArrow(_sets(n), "id long, grams array<long>")
-    # A doc_id that is repeated has a set for each of its rows; any of them can be linked.
+    about = known.join(F.broadcast(wanted) if few else wanted, "node").groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("s"))
+    about = stored(about, "near-about")
+    ids = about.select("id").distinct()
+    # A doc_id that is repeated has the sets of each of its rows; those not wanted meet no pair.
+    grams = rows.join(F.broadcast(ids) if few else ids, "id").select("id", "text").mapInArrow(_sets(n), "node long, grams array<long>")
     grams = stored(grams, "near-sets")
-    linked = stored(_linked(star, grams, percent), "near-links")
-
-    # Who is not in the component of the word's least is compared with all who share the word.
-    comp = stored(connected_components(linked), "near-components")
-    of = comp.select(F.col("node").alias("id"), "component")
-    at = words.select("word", "id").distinct().join(of, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = at.groupBy("word").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min_by("component", "id").alias("main"))
-    at = at.join(mixed.where("low <> high").select("word", "main"), "word").join(about.withColumnRenamed("n", "size"), "id")
-    at = stored(at, "near-open")
-    stray = at.where("component <> main").select(F.col("word").alias("w1"), F.col("id").alias("a"), F.col("component").alias("c1"), F.col("size").alias("n1"), F.col("s").alias("s1"))
-    rest = at.select("word", F.col("id").alias("b"), F.col("component").alias("c2"), F.col("main"), F.col("size").alias("n2"), F.col("s").alias("s2"))
-    apart = (F.col("c1") != F.col("c2")) & ((F.col("c2") == F.col("main")) | (F.col("a") > F.col("b")))
-    pairs = stray.join(rest, (F.col("w1") == F.col("word")) & apart & _possible(percent)).select("a", "b").distinct()
-    more = _linked(stored(pairs, "near-pairs"), grams, percent)
-
-    comp = connected_components(linked.unionByName(more).unionByName(same))
-    out = sets.select(F.col("id").alias("doc_id"), F.col("n").cast("long").alias("n_shingles")).join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    links = _links(words, about, grams, percent)
+
+    # Rows of one doc_id are one: their sets are tied.
+    tied = known.groupBy("id").agg(F.min("node").alias("b"), F.max("node").alias("high")).where("b <> high").select("id", "b")
+    links = links.unionByName(known.select("id", F.col("node").alias("a")).join(tied, "id").select("a", "b").where("a <> b"))
+    comp = stored(connected_components(links), "near-components")
+    nodes = known.groupBy("node").agg(F.min("id").alias("id")).join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    first = nodes.groupBy("component").agg(F.min("id").alias("component_id"))
+    of = nodes.join(first, "component").select(F.col("node").alias("of"), "component_id")
+    # A row without a node of its own meets nothing, wherever it goes.
+    has = F.col("id").isNotNull() & (F.col("n") > 0)
+    out = sets.withColumn("has", has).withColumn("at", F.when(has, F.col("node")).otherwise(F.xxhash64("id", "node")))
+    out = out.join(of, (F.col("at") == F.col("of")) & F.col("has"), "left")
+    return out.select(F.col("id").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
 
 
 def first_of_groups(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

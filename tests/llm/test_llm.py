@@ -401,6 +401,75 @@ def test_near_groups_of_many_copies(spark):
     assert got == brute_groups(texts, 5, 80)
 
 
+def test_near_groups_of_repeated_ids(spark):
+    """A doc_id with two texts is in one component with the links of both."""
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    c = " ".join(f"c{i}" for i in range(60))
+    for rows, want in (
+        ([(1, a), (5, a), (5, b), (7, b + " z")], {1: 1, 5: 1, 7: 1}),
+        ([(5, a), (5, b), (7, b + " z")], {5: 5, 7: 5}),
+        ([(3, a), (5, b), (5, a), (5, c), (9, b + " y"), (2, c + " x"), (8, "q r s t u v")], {2: 2, 3: 2, 5: 2, 9: 2, 8: 8}),
+    ):
+        got = ngram_join.near_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+        assert len(got) == len(rows) and {r.doc_id: r.component_id for r in got} == want
+
+
+def test_near_groups_of_a_common_passage(spark, monkeypatch):
+    """A passage in all documents, and a large group of copies around the threshold, with
+    many rounds and with one before the exact end."""
+    import random
+
+    rng = random.Random(3)
+    passage = [f"p{i}" for i in range(40)]
+    base = [f"w{i}" for i in range(120)]
+    texts = {i: " ".join(passage + [f"u{i}_{j}" for j in range(rng.randrange(8, 60))]) for i in range(150)}
+    texts |= {200 + i: " ".join(w if rng.random() > 0.02 else f"x{rng.randrange(50)}" for w in base) for i in range(150)}
+    d = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
+    want = brute_groups(texts, 5, 80)
+    for rounds in (ngram_join.ROUNDS, 1):
+        monkeypatch.setattr(ngram_join, "ROUNDS", rounds)
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.near_groups(d).collect()}
+        assert got == want
+
+
+@pytest.mark.parametrize("crowd,held", [(8, 20_000), (3, 20_000), (3, 5), (1_000, 4)])
+def test_words_are_counted(monkeypatch, crowd, held):
+    """A word's rows say alike how common it is, in one batch or many, dealt out or not."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(ngram_join, "CROWD", crowd)
+    monkeypatch.setattr(ngram_join, "HELD", held)
+    texts = [f"a b c d e f g h i j k l m n o p {'q' * (i % 7)} {i % 3}" for i in range(40)] + [" ".join(f"z{i}_{j}" for j in range(12)) for i in range(3)]
+    rows, nodes = [], {}
+    for part in range(3):
+        own = texts[part * 15 : part * 15 + 15]
+        got = pa.RecordBatch.from_pydict(ngram_join._batch(list(range(len(own))), own, 5, 80, set()), schema=ngram_join._ARROW).to_pylist()
+        rows += got
+    for r in rows:
+        if r["n"] is None:
+            nodes.setdefault(r["word"], set()).add(r["node"])
+    rows.sort(key=lambda r: (r["by"], r["weight"] > 0, r["node"]))
+    for size in (4, 1_000):
+        batches = [pa.RecordBatch.from_pylist(rows[i : i + size], schema=ngram_join._ARROW) for i in range(0, len(rows), size)]
+        out = [r for b in ngram_join._grouped(iter(batches)) for r in b.to_pylist()]
+        assert sum(r["n"] is not None for r in out) == len(texts)
+        common, seen = {}, {}
+        for r in out:
+            if r["n"] is None:
+                seen.setdefault(r["word"], set()).add(r["node"])
+                if r["common"]:
+                    assert common.setdefault(r["word"], r["common"]) == r["common"] <= held
+        assert common.keys() == seen.keys() == {w for w, of in nodes.items() if len(of) > 1}
+        assert all(seen[w] == nodes[w] for w in seen)
+
+
+def test_near_groups_by_shuffle(spark, docs, texts, monkeypatch):
+    """More documents than are broadcast."""
+    monkeypatch.setattr(ngram_join, "FEW", 0)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.near_groups(docs, 4, 85).collect()}
+    assert got == brute_groups(texts, 4, 85)
+
+
 def test_near_groups_odd(odd_docs, empty_docs):
     rows = ngram_join.near_groups(odd_docs).collect()
     assert len(rows) == odd_docs.count()
