@@ -14,11 +14,12 @@ n-grams are compared.
 Sets are compared in rounds. In each, every word names one of the sets that keep it, by a
 hash that changes with the round; a set is compared with the one that most of its words
 name, of those in another component, so a round has at most one pair for each set. Copies
-of one text run together in few rounds, however many they are. After `ROUNDS`, or when a
-round finds no link, the sets outside the largest component of a word's group are compared
-with all others of the group outside their own component: the exact end, in which nothing
-is left out. There, sizes and parity bits are tested inside the join, and only pairs that
-they can't refute are made.
+of one text run together in few rounds, however many they are. When a round links fewer
+than `FRUITFUL` of the sets that it compares, the sets outside the largest component of a
+word's group are compared with all others of the group outside their own component: the
+exact end, in which nothing is left out. There, sizes and parity bits are tested inside the
+join, and only pairs that they can't refute are made, under the first of their words (each
+row knows its set's `EARLY` first, which tell all but a few repeats).
 
 How common a word is, is counted by its group. A word that many sets of one batch share
 would gather in one task: there, only the batch's first goes to the word's group, with the
@@ -57,8 +58,11 @@ CROWD = 8
 HELD = 20_000
 #: Different sets that a task remembers, so as to pass over equal ones.
 SEEN = 1_000_000
-#: Rounds of one pair for each set before the exact end.
-ROUNDS = 5
+#: Rounds of one pair for each set before the exact end, and the share of its sets that a
+#: round must link to be followed by another.
+ROUNDS, FRUITFUL = 8, 1 / 16
+#: Words that a row of the exact end knows of its set.
+EARLY = 8
 #: Documents for which a broadcast of ids is used (8 MB); beyond it the join is shuffled.
 FEW = 1_000_000
 
@@ -336,26 +340,31 @@ def _links(words: DataFrame, about: DataFrame, grams: DataFrame, percent: int) -
         met = at.join(named, "word").where("component <> other").groupBy(F.col("node").alias("a"), "b").agg(F.count(F.lit(1)).alias("times"))
         if tried is not None:
             met = met.join(tried, ["a", "b"], "left_anti")
-        star = met.groupBy("a").agg(F.max_by("b", F.struct("times", "b")).alias("b"))
-        star = stored(star, "near-star")
+        star = stored(met.groupBy("a").agg(F.max_by("b", F.struct("times", "b")).alias("b")), "near-star")
         found = stored(_linked(star.join(left, "a").join(right, "b").where(_possible(percent)).select("a", "b"), grams, percent), "near-links")
-        tried = star if tried is None else tried.unionByName(star)
+        both = star.unionByName(star.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        tried = both if tried is None else tried.unionByName(both)
         links = found if links is None else links.unionByName(found)
-        if number and found.isEmpty():
+        fruitful = found.count() > star.count() * FRUITFUL
+        if number and not fruitful:
             break
         at = _in_components(words, links)
         # Groups of one component are done.
         spread = at.groupBy("word").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("word")
         at = stored(at.join(spread, "word"), "near-open")
-        if at.isEmpty():
-            return links
+        if not fruitful or at.isEmpty():
+            break
     each = at.groupBy("word", "component").agg(F.count(F.lit(1)).alias("k"))
     main = each.groupBy("word").agg(F.max_by("component", F.struct("k", "component")).alias("main"))
-    at = stored(at.join(main, "word").join(about, "node"), "near-open")
-    stray = at.where("component <> main").select(F.col("word").alias("w1"), F.col("node").alias("a"), F.col("component").alias("c1"), F.col("n").alias("n1"), F.col("s").alias("s1"))
-    rest = at.select("word", F.col("node").alias("b"), F.col("component").alias("c2"), "main", F.col("n").alias("n2"), F.col("s").alias("s2"))
+    # Pairs are made under the first of their equal words, as far as the rows can tell.
+    place = F.row_number().over(Window.partitionBy("node").orderBy("word"))
+    early = at.withColumn("place", place).where(F.col("place") <= EARLY).groupBy("node").agg(F.sort_array(F.collect_list("word")).alias("early"))
+    at = stored(at.join(main, "word").join(about.join(early, "node"), "node"), "near-ends")
+    stray = at.where("component <> main").select(F.col("word").alias("w1"), F.col("node").alias("a"), F.col("component").alias("c1"), F.col("n").alias("n1"), F.col("s").alias("s1"), F.col("early").alias("e1"))
+    rest = at.select("word", F.col("node").alias("b"), F.col("component").alias("c2"), "main", F.col("n").alias("n2"), F.col("s").alias("s2"), F.col("early").alias("e2"))
     apart = (F.col("c1") != F.col("c2")) & ((F.col("c2") == F.col("main")) | (F.col("a") > F.col("b")))
-    pairs = stray.join(rest, (F.col("w1") == F.col("word")) & apart & _possible(percent)).select("a", "b").distinct()
+    first = F.coalesce(F.array_min(F.array_intersect("e1", "e2")) >= F.col("w1"), F.lit(True))
+    pairs = stray.join(rest, (F.col("w1") == F.col("word")) & apart & _possible(percent) & first).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = pairs.join(tried, ["a", "b"], "left_anti")
     return links.unionByName(_linked(stored(pairs, "near-pairs"), grams, percent))
 
