@@ -11,11 +11,12 @@ bias, and an output's score inside its class likewise; both are normalised exact
 bucket a word has its share of the bucket's counts (with 0.5 added to each, and one unseen
 word); so the probabilities of all words sum to 1.
 
-Counts cover all training documents. Training makes one pass over all of them: each
-partition starts from the same parameters and takes its documents in turn, and the
-parameters are averaged, an embedding's by how often each partition used it, the rest by
-tokens. A partition gives only the embeddings that it used, so what is gathered grows with
-the input, and the model with the square root of it.
+Counts cover all training documents. Training makes one pass over all of them: documents
+are dealt to trainers by a hash, one trainer for each `TRAINER` tokens, so that scores don't
+depend on how files are split. Each trainer starts from the same parameters and takes its
+documents in the hash's order, and the parameters are averaged, an embedding's by how often
+each trainer used it, the rest by tokens. A trainer gives only the embeddings that it used,
+so what is gathered grows with the input, and the model with the square root of it.
 
 The vocabulary's counts are sent to the tasks; the counts of all other words are joined to
 the documents that hold them, shuffled by word.
@@ -42,12 +43,14 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-WIDE, DIM = 8, 16
+WIDE, DIM = 3, 16
 #: Noise classes of a step, and noise words inside a token's class.
-NOISE, INSIDE = 64, 4
-STEP, RATE, SEED = 2048, 0.1, 7
+NOISE, INSIDE = 32, 2
+#: Tokens that a trainer goes through, about.
+TRAINER = 8_000_000
+STEP, RATE, SEED = 4096, 0.1, 7
 #: Documents that a task scores or trains on at a time.
-DOCS = 200
+DOCS = 400
 
 
 def held_out(doc_id: Column) -> Column:
@@ -147,14 +150,19 @@ def contexts(inp: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
 
 def _gathered(at: np.ndarray, rows: np.ndarray):
     """Different ids, and the sums of their rows."""
-    order = np.argsort(at, kind="stable")
-    first = np.flatnonzero(np.r_[True, np.diff(at[order]) != 0])
-    return at[order[first]], np.add.reduceat(rows[order], first, axis=0)
+    order = np.argsort(at)
+    ranked = at[order]
+    new = np.empty(len(at), bool)
+    new[:1] = True
+    np.not_equal(ranked[1:], ranked[:-1], out=new[1:])
+    first = np.flatnonzero(new)
+    return ranked[first], np.add.reduceat(rows[order], first, axis=0)
 
 
 def _pull(x: np.ndarray, of: np.ndarray) -> np.ndarray:
     """What NCE adds to a score that is `of` (1 of data, 0 of noise)."""
-    return of - 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    np.clip(x, -30, 30, out=x)
+    return np.float32(of) - np.float32(1) / (np.float32(1) + np.exp(-x))
 
 
 def _step(p, seen, v, rng, cdf, noise_log, sizes, c1, c2, target):
@@ -171,16 +179,23 @@ def _step(p, seen, v, rng, cdf, noise_log, sizes, c1, c2, target):
     u_neg = _pull(r @ d.T + p["a"][drawn] - noise_log[drawn], 0)
     t_pos = _pull((r * t).sum(1) + p["b"][target] - inside_log, 1)
     t_neg = _pull((o @ r[:, :, None])[:, :, 0] + p["b"][near] - inside_log[:, None], 0)
-    g_r = u_pos[:, None] * u + u_neg @ d + t_pos[:, None] * t + (t_neg[:, None, :] @ o)[:, 0]
-    with_one = np.c_[r, np.ones(n, np.float32)]
-    at, g = _gathered(np.r_[target, near.ravel()], np.concatenate([t_pos[:, None] * with_one, (t_neg[:, :, None] * with_one[:, None]).reshape(-1, DIM + 1)]))
-    at_c, g_c = _gathered(np.r_[k, drawn], np.concatenate([u_pos[:, None] * with_one, u_neg.T @ with_one]))
-    at_q, g_q = _gathered(np.r_[c1, c2], np.concatenate([g_r * p["w"][0], g_r * p["w"][1]]))
+    g_r = u_pos[:, None] * u
+    g_r += u_neg @ d
+    g_r += t_pos[:, None] * t
+    g_r += (t_neg[:, None, :] @ o)[:, 0]
+    with_one = np.empty((n, DIM + 1), np.float32)
+    with_one[:, :DIM], with_one[:, DIM] = r, 1
+    rows = np.empty((n, 1 + INSIDE, DIM + 1), np.float32)
+    np.multiply(with_one[:, None], np.concatenate([t_pos[:, None], t_neg], axis=1)[:, :, None], out=rows)
+    at, g = _gathered(np.concatenate([target[:, None], near], axis=1).ravel(), rows.reshape(-1, DIM + 1))
+    at_c, g_c = _gathered(np.concatenate([k, drawn]), np.concatenate([u_pos[:, None] * with_one, u_neg.T @ with_one]))
+    at_q, g_q = _gathered(np.concatenate([c1, c2]), np.concatenate([g_r * p["w"][0], g_r * p["w"][1]]))
     every = slice(None)
     g_w = np.stack([(g_r * q1).sum(0), (g_r * q2).sum(0)]) / n * 8
     for name, i, x in (("t", at, g[:, :DIM]), ("b", at, g[:, DIM]), ("u", at_c, g_c[:, :DIM]), ("a", at_c, g_c[:, DIM]), ("q", at_q, g_q), ("w", every, g_w)):
-        seen[name][i] += x * x
-        p[name][i] += RATE * x / np.sqrt(seen[name][i])
+        sums = seen[name][i] + x * x
+        seen[name][i] = sums
+        p[name][i] += RATE * x / np.sqrt(sums)
 
 
 #: A row of parameters: an id's q, t and b, a class's u and a, or w.
@@ -224,7 +239,7 @@ def _trained(known):
                     o = order[i : i + STEP]
                     _step(p, seen, v, rng, cdf, noise_log, sizes, c1[o], c2[o], target[o])
                 for ids in (target, c1, c2):
-                    np.add.at(uses, ids, 1)
+                    uses += np.bincount(ids, minlength=len(uses))
                 n += len(target)
         if n:
             weight = np.r_[uses, np.full(v.classes + 1, n)]
@@ -239,10 +254,11 @@ def _trained(known):
 
 
 def train(texts: DataFrame, v: Vocabulary, known=None) -> dict[str, np.ndarray]:
-    """The parameters' averages over all partitions of a column `text`."""
+    """The parameters' averages over all trainers of a column `text`."""
     known = known or texts.sparkSession.sparkContext.broadcast(v)
     fields = [f"x{k}" for k in range(ROW)]
-    rows = texts.mapInArrow(_trained(known), "at int, n double, " + ", ".join(f"{x} float" for x in fields))
+    dealt = texts.select("text", F.xxhash64("text", F.lit(SEED)).alias("at")).repartition(1 + v.total // TRAINER, "at").sortWithinPartitions("at", "text")
+    rows = dealt.select("text").mapInArrow(_trained(known), "at int, n double, " + ", ".join(f"{x} float" for x in fields))
     mean = rows.groupBy("at").agg(*[(F.sum(F.col(x) * F.col("n")) / F.sum("n")).cast("float").alias(x) for x in fields]).toArrow()
     out = _rows(initial(v), v)
     if mean.num_rows:
@@ -255,12 +271,20 @@ def train(texts: DataFrame, v: Vocabulary, known=None) -> dict[str, np.ndarray]:
 def _norm(r: np.ndarray, t: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Logarithms of the sums of exponentials of r's scores."""
     out = np.empty(len(r), np.float32)
+    # No score is above the product of the norms and the greatest bias; that is taken off
+    # inside the product, unless it is so far above that the sum might vanish.
+    high = np.sqrt((r * r).sum(1) * (t * t).sum(1).max()) + b.max()
+    outputs = np.vstack([t.T, b, np.ones(len(b), np.float32)])
     for i in range(0, len(r), STEP):
-        z = r[i : i + STEP] @ t.T
-        z += b
+        x = np.c_[r[i : i + STEP], np.ones(len(r[i : i + STEP]), np.float32), -high[i : i + STEP]]
+        z = x @ outputs
+        with np.errstate(divide="ignore"):
+            out[i : i + STEP] = high[i : i + STEP] + np.log(np.exp(z, out=z).sum(1))
+    far = np.flatnonzero(~(out > high - 60))
+    for i in range(0, len(far), STEP):
+        z = r[far[i : i + STEP]] @ t.T + b
         top = z.max(1)
-        z -= top[:, None]
-        out[i : i + STEP] = top + np.log(np.exp(z, out=z).sum(1))
+        out[far[i : i + STEP]] = top + np.log(np.exp(z - top[:, None]).sum(1))
     return out
 
 

@@ -110,8 +110,40 @@ def test_decontamination_tolerates_substitutions(spark):
     rows = [(1, "start " + " ".join(changed) + " end"), (2, " ".join(words[:12])), (3, "nothing here"), (None, " ".join(words))]
     d = spark.createDataFrame(rows, "doc_id long, text string")
     t = spark.createDataFrame([(7, " ".join(words)), (8, "w1 w2"), (9, None), (None, " ".join(words))], "item_id long, text string")
-    assert {(r.doc_id, r.item_id) for r in decontam.contaminated(d, t).collect()} == {(1, 7)}
-    assert {r.doc_id for r in decontam.clean(d, t).collect()} == {2, 3, None}
+    assert {(r.doc_id, r.item_id) for r in decontam.contaminated(d, t).collect()} == {(1, 7), (1, 8), (2, 8)}
+    assert {r.doc_id for r in decontam.clean(d, t).collect()} == {3}
+    assert decontam.contaminated(d, t.where("item_id > 99")).count() == 0 == decontam.contaminated(d.where("doc_id > 99"), t).count()
+    assert decontam.clean(d, t.where("item_id > 99")).count() == 4
+
+
+@pytest.mark.parametrize("few", [500_000, 0])
+def test_decontamination_misses_nothing(spark, monkeypatch, few):
+    """Test texts of 1 to 16 tokens with all ways of up to three substitutions, broadcast and shuffled."""
+    from itertools import combinations
+
+    monkeypatch.setattr(decontam, "FEW", few)
+    tests = {n: [f"t{n}x{i}" for i in range(n)] for n in (*range(1, 14), 16)}
+    docs = {}
+    for n, words in tests.items():
+        for k in range(4 if n < 10 else 3):
+            for gone in combinations(range(n), k):
+                docs[len(docs)] = n, ["head", *(("y" if i in gone else w) for i, w in enumerate(words)), "tail"], gone
+    want = set()
+    for d, (n, _, gone) in docs.items():
+        least = min(13, n)
+        if any(least - sum(a <= i < a + least for i in gone) >= 0.8 * least for a in range(n - least + 1)):
+            want.add((d, n))
+    d = spark.createDataFrame([(i, " ".join(w)) for i, (_, w, _) in docs.items()], "doc_id long, text string")
+    t = spark.createDataFrame([(n, " ".join(w)) for n, w in tests.items()], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontam.contaminated(d, t).collect()} == want
+
+
+def test_decontamination_odd(odd_docs, empty_docs, spark):
+    tests = spark.createDataFrame([(1, "hello world"), (2, None), (None, "alpha beta gamma")], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontam.contaminated(odd_docs, tests).collect()} == {(3, 1), (4, 1), (5, 1)}
+    kept = decontam.clean(odd_docs, tests)
+    assert kept.columns == odd_docs.columns and {r.doc_id for r in kept.collect()}.isdisjoint({3, 4, 5, 6, 7, 8})
+    assert decontam.clean(empty_docs, tests).count() == 0
 
 
 # --- 2, chat ---
@@ -323,6 +355,14 @@ def test_lm(docs, odd_docs, empty_docs):
     assert lm.score_texts(empty_docs).count() == 0
 
 
+def test_lm_beats_its_base_wherever_files_are_split(docs):
+    one = {r.doc_id: r for r in lm.score_texts(docs).collect()}
+    two = {r.doc_id: r for r in lm.score_texts(docs.repartition(7)).collect()}
+    held = [r for r in one.values() if r.held_out]
+    assert sum(r.score for r in held) > sum(r.base_score for r in held)
+    assert all(abs(one[i].score - two[i].score) <= 1e-4 * abs(one[i].score) for i in one)
+
+
 def test_lm_is_normalised():
     import numpy as np
 
