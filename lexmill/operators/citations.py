@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import tables as t
 from ..functions.arrays import found
-from ..functions.names import name_start_of, unwrapped_of
+from ..functions.names import name_start, unwrapped
 
 FLAGS = ("is_supra", "is_short_form", "wl_only", "lexis_only", "slip_only")
 COLUMNS = ("doc_id", "kind", "key", "start", "stop", "match_text", "short", *FLAGS, "rank", "seq")
@@ -49,7 +49,7 @@ def spotted(docs: DataFrame) -> DataFrame:
     """doc_id, the surroundings of each `v.`, and each detector's matches with `said`, what
     the original text has there. It is kept, as every detector reads it, and holds no
     texts but what lies around a `v.`."""
-    rows = docs.withColumn("norm", unwrapped_of("text"))
+    rows = docs.withColumn("norm", unwrapped(F.col("text")))
     rows = rows.withColumn("anchors", found(F.col("norm"), t.java(r"(?<=\s)v\.(?=\s)")))
     every = [F.transform(found(F.col("norm"), t.java(p), n), said_too(n)).alias(name) for name, (p, n) in PATTERNS.items()]
     return rows.select("doc_id", F.transform("anchors", around).alias("around"), *every).persist(StorageLevel.DISK_ONLY)
@@ -110,7 +110,7 @@ def anchored(docs: DataFrame) -> DataFrame:
     """Full citations with a `v.`: the name walks back from it; of the citation forms after
     it, within reach and before the next `v.`, the earliest decides."""
     rows = docs.select("doc_id", F.inline("around"))
-    rows = rows.withColumn("at", name_start_of("left")).where("at IS NOT NULL")
+    rows = rows.withColumn("at", name_start(F.col("left"))).where("at IS NOT NULL")
     for form, pattern in t.TAILS.items():
         whole = t.java(rf"(?s)^(.{{0,{t.TAIL_REACH}}}?)(?-s:({pattern}))")
         rows = rows.withColumn(form, F.when(F.col("rest").rlike(whole), F.struct(*[F.regexp_extract("rest", whole, k).alias(f"g{k}") for k in range(7 if form in ("csm", "bb", "flat") else 6 if form != "slip" else 5)])))

@@ -5,6 +5,7 @@ import pytest
 from lexmill.functions.names import name_start, unwrapped
 from lexmill.operators import citations as ct
 
+# Texts and what must be found in them.
 PENILLA = "Penilla v. Westmont Corp. (2016) 3 Cal.App.5th 205, 209"
 NGUYEN = "Nguyen v. Applied Medical Resources Corp. (2016) 4 Cal.App.5th 232"
 WHITLEY = "Conservatorship of Whitley (2010) 50 Cal.4th 1206"
@@ -84,14 +85,50 @@ def test_flags(cites):
     assert [c.slip_only for c in cites[[t for t in KEYS if t.startswith("Lee v.")][0]]] == [True]
 
 
-def test_names_on_the_left():
-    assert name_start("See ") is None
-    assert "x in Smith ".find("Smith") == name_start("x in Smith ")
-    assert name_start("Juan Carlos Meneses, et al. ") == 0
-    assert name_start("") is None
+def each(spark, use, texts):
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i long, x string")
+    return [r.y for r in rows.select("i", use(F.col("x")).alias("y")).orderBy("i").collect()]
+
+
+#: Left of a `v.`: what the name is, or None.
+LEFT = {
+    "See ": None,
+    "x in Smith ": "Smith",
+    "Juan Carlos Meneses, et al. ": "Juan Carlos Meneses, et al. ",
+    "": None,
+    "   ": None,
+    None: None,
+    "so held. (Id. at p. 250.) Nguyen ": "Nguyen",
+    "one line\nSmith ": "Smith",
+    "one line Smith\n ": None,
+    "Jones   Smith  & Co. ": "Smith  & Co. ",
+    "held. In re Smith ": "In re Smith",
+    "in Local 12 ": "Local 12",
+    "and Studio 1220 Inc. ": "Studio 1220 Inc. ",
+    "Studio 1220, Inc. ": "Inc. ",
+    "the ARGUMENT Smith ": "Smith",
+    "Cases Smith ": "Smith",
+    "by Baker LLP ": "Baker LLP",
+    "by Baker LLP Smith ": "Smith",
+    "ex rel. Doe ": "ex rel. Doe",
+    "(Estate ": "Estate",
+    "in fact. Smith ": "Smith",
+    "ended there.” Smith ": "Smith",
+    "what? Smith ": "Smith",
+    "the smith ": None,
+}
+
+
+def test_names_on_the_left(spark):
+    got = each(spark, name_start, list(LEFT))
+    for (left, want), at in zip(LEFT.items(), got, strict=True):
+        assert (None if at is None else left[at:].rstrip()) == (None if want is None else want.rstrip()), left
 
 
-def test_line_ends():
-    assert unwrapped("one two three four five six seven eight\nnine") == "one two three four five six seven eight nine"
-    assert unwrapped("Cases\nSmith v. Jones") == "Cases\nSmith v. Jones"
-    assert unwrapped("a long enough line that is not any heading\n\nb") == "a long enough line that is not any heading\n\nb"
+def test_line_ends(spark):
+    kept = ["Cases\nSmith v. Jones", "a long enough line that is not any heading\n\nb", "x\f\ny", "Heading\nAnother\n", "", None]
+    joined = ["one two three four five six seven eight\nnine", "see Smith v. Jones\nhere", "at 12 Cal\nHeading\nis none"]
+    assert each(spark, unwrapped, kept) == kept
+    assert each(spark, unwrapped, joined) == [x.replace("\n", " ") for x in joined]
