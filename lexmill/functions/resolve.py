@@ -109,3 +109,25 @@ def resolve(cites: DataFrame, curated: DataFrame, provider: str = "westlaw") ->
     lexis = F.when(F.col("wl_only"), F.lit(False)).when(F.col("lexis_only"), F.lit(True)).otherwise(F.lit(provider == "lexis"))
     rows = rows.withColumn("link", F.coalesce(chosen(lexis), built_url(F.col("kind"), F.col("key"), F.col("slip_only"), lexis)))
     return rows.drop("__section", "__s", "__k", "westlaw_url", "lexis_url", "fallback_url", "url")
+
+
+# What of a citation is searched for when the whole is not found, in this order.
+_SECTION = r"\d+(?:\.\d+)?[a-z]?(?:\([a-z0-9]+\))*"
+DISTINCTIVE = (
+    rf"§§?\s*{_SECTION}(?:\s*,\s*{_SECTION})?",
+    rf"sections?\s+{_SECTION}",
+    r"\d{1,4}\s+(?:Cal|U\.S|F|S\.\s*Ct|L\.\s*Ed|P|A|N\.[YEW]|S\.[EW]|So)\.?(?:\s*(?:App|Rptr|Supp|2d|3d|4th|5th))*\.?\s*\d{1,5}",
+    r"\d{4}\s+(?:WL|U\.S\.\s*Dist\.\s*LEXIS)\s+\d{4,8}",
+    r"rules?\s+\d+(?:\.\d+)*(?:\([a-z0-9]+\))*",
+    rf"\d+\s+U\.\s*S\.\s*C\.[^a-z]*§§?\s*{_SECTION}",
+)
+
+
+def distinctive(cite: Column) -> Column:
+    """The part of a citation that is least likely to be found by chance; null where there is none."""
+    return F.coalesce(*[F.regexp_substr(cite, F.lit(t.java(f"(?i){p}"))) for p in DISTINCTIVE])
+
+
+def opened_file(url: Column, frame: Column, bypass: str) -> Column:
+    """Whether a local PDF that is opened in the top frame is shown by the viewer."""
+    return (frame == 0) & url.rlike(r"(?i)^file:\/\/.*\.pdf$") & ~F.contains(url, F.lit(bypass))

@@ -16,6 +16,7 @@ from ..operators import naming as nm
 from ..operators import ordered as od
 from ..operators import titles as tl
 from ..sources import web
+from . import record_queries
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -326,3 +327,6 @@ ORACLE = {
         SELECT p_partkey, CASE WHEN n IS NOT NULL THEN CASE WHEN vol THEN 'Vol. ' ELSE 'Part ' END || n END AS part_vol FROM p
     """,
 }
+
+QUERIES |= record_queries.QUERIES
+ORACLE |= record_queries.ORACLE
