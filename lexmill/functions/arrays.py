@@ -39,27 +39,26 @@ def starts_of(lengths: Column, step: int = 256) -> Column:
     return F.when(F.size(lengths) > 0, let(lengths, of)).otherwise(F.array().cast("array<bigint>"))
 
 
-def found(text: Column, pattern: str, groups: int = 0) -> Column:
+def found(text: Column, pattern: str, groups: int = 0, need: str | None = None) -> Column:
     """Matches of a pattern that never matches empty, in order: array of (start, stop,
     g0, ..., g<groups>), offsets in code points. What lies between matches comes from
-    splitting by the same pattern; groups that took no part are empty."""
-    names = ["gap", *[f"g{k}" for k in range(groups + 1)]]
+    splitting by the same pattern; groups come from the matches alone, and are empty where
+    they took no part. Texts without `need`, a cheaper pattern, are not searched."""
     kind = "array<struct<start:bigint,stop:bigint," + ",".join(f"g{k}:string" for k in range(groups + 1)) + ">>"
+    none = F.array().cast(kind)
 
-    def zipped(whole):
+    def spans(whole):
         gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(whole))
-        parts = [gaps, whole, *[F.regexp_extract_all(text, F.lit(pattern), F.lit(k)) for k in range(1, groups + 1)]]
-        return F.arrays_zip(*[p.alias(n) for p, n in zip(parts, names, strict=True)])
-
-    def spans(z):
-        before = starts_of(F.transform(z, lambda x: (F.length(x["gap"]) + F.length(x["g0"])).cast("bigint")))
-        return F.zip_with(z, before, placed)
+        parts = F.zip_with(gaps, whole, lambda gap, m: F.struct(F.length(gap).cast("bigint").alias("gap"), F.length(m).cast("bigint").alias("n"), m.alias("m")))
+        return let(parts, lambda z: F.zip_with(z, starts_of(F.transform(z, lambda x: x["gap"] + x["n"])), placed))
 
     def placed(x, b):
-        start = b + F.length(x["gap"])
-        fields = [start.alias("start"), (start + F.length(x["g0"])).alias("stop")]
-        return F.struct(*fields, *[x[f"g{k}"].alias(f"g{k}") for k in range(groups + 1)])
+        start = b + x["gap"]
+        fields = [start.alias("start"), (start + x["n"]).alias("stop"), x["m"].alias("g0")]
+        return F.struct(*fields, *[F.regexp_extract(x["m"], f"^(?:{pattern})$", k).alias(f"g{k}") for k in range(1, groups + 1)])
 
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    some = let(matches, lambda m: F.when(F.size(m) > 0, let(zipped(m), spans)).otherwise(F.array().cast(kind)))
-    return F.coalesce(some, F.array().cast(kind))
+    some = let(matches, lambda m: F.when(F.size(m) > 0, let(m, spans)).otherwise(none))
+    if need is not None:
+        some = F.when(text.rlike(need), some)
+    return F.coalesce(some, none)

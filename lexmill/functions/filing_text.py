@@ -8,39 +8,41 @@ from pyspark.sql import functions as F
 from . import tables as t
 
 SPACE = t.java(r"\s+")
-EDGES = t.java(r"^\s+|\s+$")
+#: White space as a class, its opposite, and its characters.
+LIGHT, DARK = f"[{t.WHITE}]", f"[^{t.WHITE}]"
+BLANKS = "".join(map(chr, [*range(9, 14), 0x20, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF]))
 PAGE_NUMBER = t.java(r"(?i)^\s*(page\s+)?\d+\s*(of\s+\d+)?\s*$")
 
 
 def trim(s: Column) -> Column:
-    return F.regexp_replace(s, EDGES, "")
+    return F.btrim(s, F.lit(BLANKS))
 
 
 def letters(s: Column) -> Column:
-    return F.regexp_replace(s, "[^A-Za-z]", "")
+    return F.regexp_replace(s, "[^A-Za-z]++", "")
 
 
 def needs_ocr(text: Column, least: int = 8) -> Column:
     """A page with fewer than `least` characters that are not white space."""
-    return F.coalesce(F.length(F.regexp_replace(text, SPACE, "")), F.lit(0)) < least
+    return ~F.coalesce(text.rlike(f"(?:{DARK}{LIGHT}*+){{{least}}}"), F.lit(False))
 
 
 def looks_like_title(text: Column) -> Column:
     s = trim(F.coalesce(text, F.lit("")))
-    return F.length(s).between(12, 200) & (F.length(letters(s)) >= 8) & ~s.rlike("[a-z]{3}") & ~s.rlike(PAGE_NUMBER)
+    return F.when(F.length(s).between(12, 200), (F.length(letters(s)) >= 8) & ~s.rlike("[a-z]{3}") & ~s.rlike(PAGE_NUMBER)).otherwise(False)
 
 
 def could_be_title_line(text: Column) -> Column:
     s = trim(F.coalesce(text, F.lit("")))
-    return (F.length(letters(s)) >= 2) & ~s.rlike("[a-z]{4}") & ~s.rlike(PAGE_NUMBER)
+    return s.rlike("[A-Za-z][^A-Za-z]*+[A-Za-z]") & ~s.rlike("[a-z]{4}") & ~s.rlike(PAGE_NUMBER)
 
 
 def gibberish(title: Column) -> Column:
     """Few letters, one very long run of them, or few vowels."""
     s = F.coalesce(title, F.lit(""))
-    dense = F.length(F.regexp_replace(s, SPACE, ""))
+    dense = F.length(F.regexp_replace(s, f"{LIGHT}++", ""))
     n = F.length(letters(s))
-    vowels = F.regexp_count(s, F.lit("[aeiouAEIOU]"))
+    vowels = F.length(F.regexp_replace(s, "[^aeiouAEIOU]++", ""))
     return F.when(dense == 0, True).otherwise((n < dense * 0.55) | s.rlike("[A-Za-z]{21}") | ((n >= 6) & (vowels < n * 0.30)))
 
 

@@ -30,18 +30,18 @@ def trimmed(s: Column) -> Column:
     return F.regexp_replace(s, t.java(r"^\s+|\s+$"), "")
 
 
-#: The detectors' patterns and their numbers of groups.
+#: The detectors' patterns, their numbers of groups, and what a text must hold for them.
 PATTERNS = {
-    "non_v": (t.NON_V_CASE, 13),
-    "cases": (t.CASES, 9),
-    "uniform": (t.UNIFORM, 1),
-    "statute": (t.STATUTE, 3),
-    "federal": (t.FEDERAL, 2),
-    "court": (t.COURT_RULE, 1),
-    "conduct": (t.CONDUCT_RULE, 1),
-    "instruction": (t.INSTRUCTION, 2),
-    "supra": (t.SUPRA, 1),
-    "short_form": (t.SHORT_FORM, 2),
+    "non_v": (t.NON_V_CASE, 13, "In [Rr][Ee]|IN RE|(?:Estate|ship|Adoption|Marriage) of"),
+    "cases": (t.CASES, 9, "Cases"),
+    "uniform": (t.UNIFORM, 1, "(?i)§|sec"),
+    "statute": (t.STATUTE, 3, "(?i)§|sec"),
+    "federal": (t.FEDERAL, 2, "(?i)§|sec"),
+    "court": (t.COURT_RULE, 1, "(?i)court"),
+    "conduct": (t.CONDUCT_RULE, 1, "(?i)conduct"),
+    "instruction": (t.INSTRUCTION, 2, "(?i)caci"),
+    "supra": (t.SUPRA, 1, "supra"),
+    "short_form": (t.SHORT_FORM, 2, r"v\."),
 }
 
 
@@ -51,7 +51,7 @@ def spotted(docs: DataFrame) -> DataFrame:
     texts but what lies around a `v.`."""
     rows = docs.withColumn("norm", unwrapped(F.col("text")))
     rows = rows.withColumn("anchors", found(F.col("norm"), t.java(r"(?<=\s)v\.(?=\s)")))
-    every = [F.transform(found(F.col("norm"), t.java(p), n), said_too(n)).alias(name) for name, (p, n) in PATTERNS.items()]
+    every = [F.transform(found(F.col("norm"), t.java(p), n, need), said_too(n)).alias(name) for name, (p, n, need) in PATTERNS.items()]
     return rows.select("doc_id", F.transform("anchors", around).alias("around"), *every).persist(StorageLevel.DISK_ONLY)
 
 
