@@ -11,10 +11,10 @@ Positions of documents within a source are sums over (source, part) first and wi
 part second, with parts by a hash of doc_id, so a source that holds a third of all rows
 is dealt over all tasks. Only the table of sources (one row each) meets in one task.
 
-Cases: a null or blank text has size 0, takes part in no block and is taken 0 times; a
-null source is a source of its own, last in order; rows that repeat a doc_id each have
-their own position and takings; an empty table gives an empty result. Other columns of
-the documents, whatever their names, are not carried.
+Cases: a null or blank text has size 0, takes part in no block and is taken 0 times; a very
+long text lies in many blocks; a null source is a source of its own, last in order; rows
+that repeat a doc_id each have their own position and takings; an empty table gives an empty
+result. Other columns of the documents, whatever their names, are not carried.
 """
 
 from __future__ import annotations
@@ -74,7 +74,7 @@ def laid(rows: DataFrame, sized: DataFrame, parts: int = PARTS) -> DataFrame:
     by_part = sized.where("size > 0").groupBy("skey", part.alias("part")).agg(F.sum("size").alias("n"))
     before = Window.partitionBy("skey").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     by_part = by_part.select("skey", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).cast("bigint").alias("__before"))
-    inside = Window.partitionBy("skey", "part").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("skey", "part").orderBy("doc_id", "size", *(["text"] if "text" in rows.columns else [])).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.where("size > 0").withColumn("part", part)
     rows = rows.withColumn("__inner", F.coalesce(F.sum("size").over(inside), F.lit(0)).cast("bigint"))
     rows = rows.join(by_part.hint("merge"), ["skey", "part"]).withColumn("at", F.col("__before") + F.col("__inner"))
@@ -111,7 +111,9 @@ def slots(plan: DataFrame, block: int = BLOCK, shard: int = SHARD, most: int = M
     run = 4096
     kept = ["skey", "blocks", "first", "total", "quota"]
     each = F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("quota") - 1) / run))
-    runs = plan.where("quota > 0").select(*kept, F.explode(each).alias("run")).repartition("skey", "run")
+    # A number that grows with the runs, so that they are dealt over tasks and stay so.
+    tasks = 1 + (plan.agg(F.sum("quota")).first()[0] or 0) // (16 * run)
+    runs = plan.where("quota > 0").select(*kept, F.explode(each).alias("run")).repartition(tasks, "skey", "run")
     each = F.sequence(F.col("run") * run, F.least(F.col("run") * run + run, F.col("quota")) - 1)
     each = runs.select(*kept, F.explode(each).alias("k")).withColumn("epoch", F.floor(F.col("k") / F.col("blocks")))
     out = each.select(
