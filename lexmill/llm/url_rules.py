@@ -12,7 +12,8 @@ Rules are a list of the caller's, so they and their index are held by the driver
 to the tasks; nothing else is, and no URL is shuffled.
 
 Cases: a null URL, or one without `://`, has an empty host and path and is allowed; very
-long URLs are handled whole; repeated rows are judged each; other columns are kept.
+long URLs are handled whole; repeated rows are judged each; an empty table gives an empty
+result; other columns, whatever their names, are neither read nor returned.
 """
 
 from __future__ import annotations
@@ -31,7 +32,8 @@ TOKEN = "[a-z0-9]+"
 @dataclass(frozen=True)
 class Rule:
     """`name` is what is reported; `pattern` runs on `host` + `path` joined, lower-cased
-    in the host only; `tokens` are literal tokens (lower-case) that a fitting URL holds."""
+    in the host only; `tokens` are literal tokens (lower-case) that a fitting URL holds, each
+    between others' ends."""
 
     name: str
     verdict: str
@@ -47,15 +49,37 @@ def host_rule(verdict: str, name: str) -> Rule:
     return Rule(name, verdict, pattern, tuple(re.findall(TOKEN, host)), len(name))
 
 
-def word_rule(word: str) -> Rule:
-    """Blocks URLs whose host or path holds the word (hyphens join words) as a whole."""
-    return Rule(word, "block", rf"(?is)(?:.*[^a-z0-9])?{re.escape(word)}(?![a-z0-9])", tuple(re.findall(TOKEN, word)))
+def pattern_rule(text: str, verdict: str = "block") -> Rule:
+    """A rule in the notation of filter lists: `*` is anything, `^` a place without a letter
+    or digit on one side (or an end), `|` at the start or end is an anchor, `||` the start of
+    a host's label. Its tokens are those that stand between separators; a rule without such
+    a token is filed under none and runs for every URL."""
+    body = text
+    start = "(?is).*?"
+    if body.startswith("||"):
+        body, start = body[2:], r"(?is)(?:[^/]*\.)?"
+    elif body.startswith("|"):
+        body, start = body[1:], "(?is)"
+    stop = ""
+    if body.endswith("|"):
+        body, stop = body[:-1], r"\Z"
+    edge = r"(?:(?<![a-z0-9])|(?![a-z0-9]))"
+    regex = start + "".join({"*": ".*?", "^": edge}.get(c) or re.escape(c) for c in body) + stop
+    closed = ("^" if text.startswith("|") else "*") + body + ("^" if stop else "*")
+    return Rule(text, verdict, regex, tuple(re.findall(r"(?<=[^a-z0-9*])[a-z0-9]+(?=[^a-z0-9*])", closed.lower())))
 
 
 #: The given rules; a longer name wins over a shorter.
 HOST_RULES = tuple(host_rule(*r) for r in (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")))
-#: The method's own, where no given rule fits.
-WORD_RULES = tuple(word_rule(w) for w in ("cheap-pills", "casino-win", "free-bets", "spam-farm", "ads-track", "casino", "pills", "xxx", "porn", "viagra", "adserver"))
+#: The method's own, where no given rule fits: words that advertising, gambling, pills and
+#: adult sites have in their addresses.
+PATTERN_RULES = tuple(
+    pattern_rule(p)
+    for p in (
+        "^casino^", "^casinos^", "^bets^", "^betting^", "^poker^", "^jackpot^", "^pills^", "^viagra^", "^cialis^", "^xxx^", "^porn^", "^escorts^", "^spam^",
+        "^ads^", "^adserver^", "^adclick^", "^banners^", "^popunder^", "^affiliate^", "||ads.", "||track.", "^click^*^redirect^", "/wp-content/*/ads/",
+    )
+)
 
 
 def parts():
@@ -75,7 +99,7 @@ def rarest(split: DataFrame, rules: tuple[Rule, ...]) -> dict[str, list[int]]:
     counts = {r["token"]: r["count"] for r in seen.groupBy("token").count().collect()}
     index: dict[str, list[int]] = {}
     for place, rule in enumerate(rules):
-        index.setdefault(min(rule.tokens, key=lambda t: (counts.get(t, 0), t)), []).append(place)
+        index.setdefault(min(rule.tokens, key=lambda t: (counts.get(t, 0), t), default=""), []).append(place)
     return index
 
 
@@ -89,7 +113,7 @@ def judge(rules: tuple[Rule, ...], index: dict[str, list[int]], hosted: int):
 
         def one(host: str, path: str) -> int:
             url = host + path
-            places = {p for t in set(word.findall(url.lower())) & index.keys() for p in index[t]}
+            places = {p for t in {"", *word.findall(url.lower())} & index.keys() for p in index[t]}
             fits = [p for p in places if run[p].match(url)]
             given = [p for p in fits if p < hosted]
             return max(given, key=lambda p: rules[p].length) if given else min(fits, default=-1)
@@ -100,10 +124,10 @@ def judge(rules: tuple[Rule, ...], index: dict[str, list[int]], hosted: int):
     return decide
 
 
-def judge_urls(pages: DataFrame, host_rules: tuple[Rule, ...] = HOST_RULES, word_rules: tuple[Rule, ...] = WORD_RULES, url: str = "url", page_id: str = "page_id") -> DataFrame:
+def judge_urls(pages: DataFrame, host_rules: tuple[Rule, ...] = HOST_RULES, pattern_rules: tuple[Rule, ...] = PATTERN_RULES, url: str = "url", page_id: str = "page_id") -> DataFrame:
     """One row per page: page_id, host, path, rule (of the given ones, or null), pattern
     (of the method's own, or null), verdict."""
-    rules = (*host_rules, *word_rules)
+    rules = (*host_rules, *pattern_rules)
     split = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url")).select("page_id", *parts())
     index = rarest(split, rules)
     at = judge(rules, index, len(host_rules))("host", "path")
