@@ -26,6 +26,8 @@ def shared_dir(spark: SparkSession) -> str:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             return held.get()
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="lexmill-")
         spark.sparkContext.setCheckpointDir(base)
         return spark.sparkContext._jsc.sc().getCheckpointDir().get()
@@ -41,6 +43,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free(name: str, columns: list[str]) -> str:
+    """`name`, with underscores after it while a caller's column has that name."""
+    while name.lower() in (c.lower() for c in columns):
+        name += "_"
+    return name
+
+
 def renamed(docs: DataFrame, *wanted: str) -> tuple[DataFrame, list[str], list[str]]:
     """`docs` with columns c0, c1, ..., those names, and the names of the wanted columns:
     whatever columns a caller has, none clashes with one that an operator adds."""

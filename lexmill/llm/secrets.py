@@ -4,10 +4,15 @@ One model is of random strings, one of ordinary identifiers; both are trained fr
 labelled samples by counting character pairs in Spark. Each is a table of a fixed number
 of transitions, so their log ratio is a constant array in the scoring expression, and no
 row is shuffled. A token is a secret if its mean log ratio for each transition is at least
-`threshold`.
-
-Cases: a null text is empty and has no spans; offsets count code points; very long runs
-are one token; without labelled samples of a class its transitions are uniform.
+`threshold`. Tokens are runs of 16 or more characters with digits and letters, or of letters
+that change from small to capital twice; runs of one case or of digits alone are words and
+numbers more often than secrets, and only the fixed patterns find those.
+
+Cases: a null or empty text has no spans; very long texts are searched whole, and very long
+runs are one token; offsets count code points; repeated rows and rows without an id are
+searched each; an empty table gives an empty result; without labelled samples of a class its
+transitions are uniform; all columns of the caller are kept, and a new column whose name is
+taken gets underscores after it.
 """
 
 from __future__ import annotations
@@ -18,7 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let
+from .common import free, let, renamed
 from .pii import joined, placed, proposed
 
 #: Kind: pattern. Java's engine takes each in one pass; see pii.py.
@@ -26,7 +31,7 @@ KINDS = {
     "assign": r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*+[:=]\x20*+["']?[A-Za-z0-9+/_.=-]++""",
     "access": r"AKIA[A-Z0-9]++",
     "hex": r"[0-9a-f]++",
-    "token": r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])(?=[0-9+/_=-]*+[A-Za-z])[A-Za-z0-9+/_=-]{16,}+",
+    "token": r"(?<![A-Za-z0-9+/_=-])(?:(?=[A-Za-z+/_=-]*+[0-9])(?=[0-9+/_=-]*+[A-Za-z])|(?=[A-Za-z+/_=-]*?[a-z][A-Z][A-Za-z+/_=-]*?[a-z][A-Z]))[A-Za-z0-9+/_=-]{16,}+",
 }
 BASE = ("assign", "access", "hex")
 #: What is proposed is what can be long enough: the same matches as KINDS' after the length rule.
@@ -129,7 +134,8 @@ def named(kind: str, rank: int):
 def find_secrets(docs: DataFrame, text: str = "text", samples: DataFrame | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """`docs` with secret_spans: array of (start, rank, stop, kind, value) in order."""
     model = train(default_samples(docs.sparkSession) if samples is None else samples)
-    out = docs.withColumn("__text", F.coalesce(F.col(text), F.lit("")))
+    plain, names, (t,) = renamed(docs, text)
+    out = plain.withColumn("__text", F.coalesce(F.col(t), F.lit("")))
     for kind, pattern in PROPOSE.items():
         out = out.withColumn(f"__m_{kind}", proposed(F.col("__text"), pattern))
     for rank, (kind, pattern) in enumerate(PROPOSE.items()):
@@ -137,7 +143,7 @@ def find_secrets(docs: DataFrame, text: str = "text", samples: DataFrame | None
         none = F.array().cast("array<struct<start:bigint,rank:int,stop:bigint,kind:string,value:string>>")
         out = out.withColumn(f"__s_{kind}", F.when(F.size(f"__m_{kind}") > 0, F.transform(spans, named(kind, rank))).otherwise(none))
     out = out.withColumn("secret_spans", F.array_sort(F.concat(*[F.col(f"__s_{k}") for k in KINDS])))
-    return out.drop("__text", *[f"__{a}_{k}" for k in KINDS for a in "ms"])
+    return out.select(*names, "secret_spans").toDF(*docs.columns, free("secret_spans", docs.columns))
 
 
 def secret_report(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", samples: DataFrame | None = None) -> DataFrame:
