@@ -5,8 +5,10 @@ Each pattern is written so that Java's engine neither recurses on long runs (pos
 groups loop) nor rescans them (a run is entered at its start or at the end of the match
 before, `\\G`); the matches are those of the plain patterns of `KINDS`.
 
-Cases: a null text is empty and has no spans; offsets count code points; columns other
-than those named are kept or left as the caller selects.
+Cases: a null or empty text has no spans; very long texts are searched whole; offsets count
+code points; repeated rows and rows without an id are searched each; an empty table gives an
+empty result; all columns of the caller are kept, and a new column whose name is taken gets
+underscores after it.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, starts_of
+from .common import free, let, renamed, starts_of
 
 #: Kind: pattern. The first four are the base, in the order of ties.
 KINDS = {
@@ -135,7 +137,8 @@ def joined(spans: Column) -> Column:
 
 def find_pii(docs: DataFrame, text: str = "text") -> DataFrame:
     """`docs` with pii_spans: array of (start, rank, stop, kind, value, score) in order."""
-    out = docs.withColumn("__text", F.coalesce(F.col(text), F.lit("")))
+    plain, names, (t,) = renamed(docs, text)
+    out = plain.withColumn("__text", F.coalesce(F.col(t), F.lit("")))
     for kind, pattern in KINDS.items():
         out = out.withColumn(f"__m_{kind}", proposed(F.col("__text"), pattern, NEEDS.get(kind)))
     for rank, (kind, pattern) in enumerate(KINDS.items()):
@@ -160,16 +163,17 @@ def find_pii(docs: DataFrame, text: str = "text") -> DataFrame:
     every = F.array_sort(F.concat(*[F.col(f"__s_{k}") for k in KINDS]))
     rank_of_base = len(BASE)
     out = out.withColumn("pii_spans", F.filter(every, lambda z: (z["rank"] < rank_of_base) | (z["score"] >= LEAST)))
-    return out.drop("__text", *[f"__{a}_{k}" for k in KINDS for a in "ms"])
+    return out.select(*names, "pii_spans").toDF(*docs.columns, free("pii_spans", docs.columns))
 
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """`docs` with each span of `text` replaced by its kind in angle brackets; a span
     that begins inside one replaced before it is covered by that one."""
     found = find_pii(docs, text)
+    new = found.columns[-1]
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("out"))
     done = F.aggregate(
-        F.col("pii_spans"),
+        F.col(new),
         start,
         lambda s, z: F.when(z["start"] < s["at"], F.struct(F.greatest(s["at"], z["stop"]).alias("at"), s["out"].alias("out"))).otherwise(
             F.struct(
@@ -179,7 +183,7 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
         ),
         lambda s: F.concat(F.array_join(s["out"], ""), F.substring(F.col(text), s["at"].cast("int") + 1, F.length(F.col(text)))),
     )
-    return found.withColumn(text, F.when(F.size("pii_spans") > 0, done).otherwise(F.col(text)))
+    return found.withColumn(text, F.when(F.size(new) > 0, done).otherwise(F.col(text)))
 
 
 def pii_report(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
