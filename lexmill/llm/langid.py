@@ -13,7 +13,8 @@ which is of fixed size and sent to the tasks; documents are read once and not sh
 
 Cases: a null text, or one without a letter, is `und` with score 0 and rejected; very long
 texts are used whole; repeated rows are predicted each; with no labelled rows everything is
-`und`; an empty table gives an empty result; other columns are kept and not read.
+`und`; an empty table gives an empty result; other columns are kept and not read, and a new
+column whose name is taken gets underscores after it.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import free, renamed
+
 BUCKETS = 1 << 13
 DIM = 8
 #: Labelled documents used for each language, at most.
@@ -191,7 +194,9 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         for s in batches:
             yield pd.DataFrame([one(t) for t in s], columns=["lang_pred", "score", "rejected"])
 
-    return docs.withColumn("__lang", run(F.col(text))).select(*[docs[c] for c in docs.columns], "__lang.*")
+    plain, names, (t,) = renamed(docs, text)
+    new = ("lang_pred", "score", "rejected")
+    return plain.withColumn("__lang", run(F.col(t))).select(*names, "__lang.*").toDF(*docs.columns, *[free(c, docs.columns) for c in new])
 
 
 def language_report(docs: DataFrame) -> DataFrame:
