@@ -227,6 +227,41 @@ def test_secret_model(spark):
     assert {r.v: r.x >= secrets.THRESHOLD for r in rows} == words
 
 
+def test_secret_precision_and_recall(spark, docs):
+    """On labelled samples that were not trained on, whole and cut to 16 characters; and on
+    documents, where words are left alone."""
+    from pyspark.sql import functions as F
+
+    model = secrets.train(secrets.default_samples(spark, 2000))
+    held = secrets.default_samples(spark, 4000).withColumn("n", F.monotonically_increasing_id())
+    seen = secrets.default_samples(spark, 2000).select("value")
+    held = held.join(seen, "value", "left_anti").withColumn("short", F.substring("value", 1, 16))
+    for c in ("value", "short"):
+        got = held.groupBy("secret").agg(F.avg((secrets.mean_ratio(F.col(c), model) >= secrets.THRESHOLD).cast("int")).alias("share")).collect()
+        share = {r.secret: r.share for r in got}
+        assert share[True] >= 0.98 and share[False] <= 0.005
+    rows = [(1, "key QwErTzUiOpAsDfGhJkLm now"), (2, "Geschwindigkeitsbegrenzungen INTERNATIONALIZATION getUserNameFromConfig 20240101120000123")]
+    assert {r.doc_id: r.n_token for r in secrets.secret_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {1: 1, 2: 0}
+
+
+def test_clashing_names(docs):
+    """Callers' columns stay as they are, whatever their names."""
+    from pyspark.sql import functions as F
+
+    names = ("pii_spans", "secret_spans", "lang_pred", "score", "rejected", "__text", "__lang", "__m_email", "__s_hex")
+    own = docs.limit(20).withColumns({n: F.lit(n) for n in names})
+    for out in (pii.find_pii(own), pii.redact(own), secrets.find_secrets(own), langid.predict(own, langid.train(docs))):
+        assert out.columns[: len(own.columns)] == own.columns and len(out.columns) > len(own.columns)
+        assert all(r[n] == n for r in out.collect() for n in names)
+
+
+def test_empty_tables(empty_docs, spark):
+    assert pii.pii_report(empty_docs).count() == 0 == secrets.secret_report(empty_docs).count()
+    assert mixing.mix_report(empty_docs).count() == 0 == mixing.mix(empty_docs).count()
+    assert url_rules.judge_urls(spark.read.parquet(f"{SF}/pages.parquet").where("page_id < 0")).count() == 0
+    assert chat.collapse_and_render(spark.read.parquet(f"{SF}/conversations.parquet").where("conv_id < 0")).count() == 0
+
+
 # --- 4, languages ---
 
 
@@ -279,6 +314,23 @@ def test_urls(spark):
         assert r.verdict == (max(fits)[2] if fits else "block" if r.pattern else "allow")
 
 
+def test_the_index_misses_no_rule(spark):
+    """What the index fetches decides as running every pattern on every URL does."""
+    texts = ("^ads^", "||shop.", "|a.org/x", "/img/*.png|", "*pixel*", "^a^*^b^", "track*", "end|", "^de^", "-x-")
+    rules = tuple(url_rules.pattern_rule(x) for x in texts)
+    assert [r.tokens for r in rules] == [("ads",), ("shop",), ("a", "org"), ("img", "png"), (), ("a", "b"), (), (), ("de",), ("x",)]
+    urls = [f"http://{h}/{p}" for h in ("ads.net", "my.shop.com", "a.org", "shopper.io", "x.de", "b.tracks.eu") for p in ("", "x/ads", "img/q.png", "img/a.pngx", "apixels", "a/c/b", "the-end", "q-x-y", "DE/Ads.html")]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: r.pattern for r in url_rules.judge_urls(pages, (), rules).collect()}
+    for i, u in enumerate(urls):
+        fits = [r.name for r in rules if re.match(r.pattern, u.removeprefix("http://"))]
+        assert got[i] == next(iter(fits), None), u
+    given = url_rules.judge_urls(spark.read.parquet(f"{SF}/pages.parquet")).collect()
+    for r in given:
+        fits = [x.name for x in url_rules.PATTERN_RULES if re.match(x.pattern, r.host + r.path)]
+        assert r.rule is not None or r.pattern == next(iter(fits), None)
+
+
 # --- 6, mixing ---
 
 
