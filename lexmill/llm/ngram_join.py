@@ -11,9 +11,9 @@ passage that many documents share costs them only dropped words. A second sketch
 parity bits, whose Hamming distance is a lower bound too, rejects most pairs before the
 n-grams are compared.
 
-Sets are compared in rounds. In each, every word names one of the sets that keep it, by a
-hash that changes with the round; a set is compared with the one that most of its words
-name, of those in another component, so a round has at most one pair for each set. Copies
+Sets are compared in rounds. In each, every word names two of the sets that keep it, by a
+hash that changes with the round; of those that its words name in other components, a set is
+compared with the one of the nearest sketch, so a round has at most one pair for each set. Copies
 of one text run together in few rounds, however many they are. When a round links fewer
 than `FRUITFUL` of the sets that it compares, the sets outside the largest component of a
 word's group are compared with all others of the group outside their own component: the
@@ -60,7 +60,7 @@ HELD = 20_000
 SEEN = 1_000_000
 #: Rounds of one pair for each set before the exact end, and the share of its sets that a
 #: round must link to be followed by another.
-ROUNDS, FRUITFUL = 8, 1 / 16
+ROUNDS, FRUITFUL = 4, 1 / 16
 #: Words that a row of the exact end knows of its set.
 EARLY = 8
 #: Documents for which a broadcast of ids is used (8 MB); beyond it the join is shuffled.
@@ -299,12 +299,12 @@ def _possible(percent: int):
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose n-grams are similar enough."""
+    """The pairs (a, b, and more) whose n-grams are similar enough."""
     one = sets.select(F.col("node").alias("a"), F.col("grams").alias("g1"))
     two = sets.select(F.col("node").alias("b"), F.col("grams").alias("g2"))
     both = F.size(F.array_intersect("g1", "g2"))
     ok = both * (100 + percent) >= (F.size("g1") + F.size("g2")) * percent
-    return pairs.join(one, "a").join(two, "b").where(ok).select("a", "b")
+    return pairs.join(one, "a").join(two, "b").where(ok).select(*pairs.columns)
 
 
 def _kept_words(found: DataFrame) -> DataFrame:
@@ -318,37 +318,36 @@ def _kept_words(found: DataFrame) -> DataFrame:
     return every.withColumn("rank", F.dense_rank().over(order)).where(F.col("rank") > F.floor(F.col("cut") / 2)).select("word", "node").distinct()
 
 
-def _in_components(words: DataFrame, links: DataFrame) -> DataFrame:
-    """`words` with each node's component by `links`."""
-    comp = connected_components(links).select("node", "component")
-    return words.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
+def _merged(at: DataFrame, links: DataFrame) -> DataFrame:
+    """`at` with components joined by links (ca, cb) of components."""
+    moved = connected_components(links, "ca", "cb").select(F.col("node").alias("was"), F.col("component").alias("now"))
+    return at.join(moved, at["component"] == moved["was"], "left").select("word", "node", F.coalesce("now", "component").alias("component"))
 
 
 def _links(words: DataFrame, about: DataFrame, grams: DataFrame, percent: int) -> DataFrame:
-    """Links that have the components of all links: `words` says which nodes may be linked."""
+    """Links (a, b) that have the components of all links: `words` says which nodes may be
+    linked. A component is named by one of its nodes, and each link is given as one of the
+    components that it joins, once for two components."""
     left = about.select(F.col("node").alias("a"), F.col("n").alias("n1"), F.col("s").alias("s1"))
     right = about.select(F.col("node").alias("b"), F.col("n").alias("n2"), F.col("s").alias("s2"))
     at = words.withColumn("component", F.col("node"))
     links = tried = None
     for number in range(ROUNDS):
-        named = at.groupBy("word").agg(
-            F.min_by(F.struct(F.col("node").alias("b"), F.col("component").alias("other")), F.xxhash64("node", F.lit(number))).alias("named"),
-            F.min("component").alias("low"),
-            F.max("component").alias("high"),
-        )
-        named = named.where("low <> high").select("word", "named.*")
-        met = at.join(named, "word").where("component <> other").groupBy(F.col("node").alias("a"), "b").agg(F.count(F.lit(1)).alias("times"))
+        one, drawn = F.struct(F.col("node").alias("b"), F.col("component").alias("cb")), F.xxhash64("node", F.lit(number))
+        named = at.groupBy("word").agg(F.array(F.min_by(one, drawn), F.max_by(one, drawn)).alias("named"), F.min("component").alias("low"), F.max("component").alias("high"))
+        named = named.where("low <> high").select("word", F.inline("named"))
+        met = at.join(named, "word").where("component <> cb").select(F.col("node").alias("a"), F.col("component").alias("ca"), "b", "cb").distinct()
         if tried is not None:
             met = met.join(tried, ["a", "b"], "left_anti")
-        star = stored(met.groupBy("a").agg(F.max_by("b", F.struct("times", "b")).alias("b")), "near-star")
-        found = stored(_linked(star.join(left, "a").join(right, "b").where(_possible(percent)).select("a", "b"), grams, percent), "near-links")
-        both = star.unionByName(star.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        met = met.join(left, "a").join(right, "b").where(_possible(percent))
+        star = met.groupBy("a", "ca").agg(F.min_by(F.struct("b", "cb"), F.struct(_apart("s1", "s2"), "b")).alias("best")).select("a", "ca", "best.*")
+        star = stored(star, "near-star")
+        found = stored(_linked(star, grams, percent).select("ca", "cb"), "near-links")
+        both = star.select("a", "b").unionByName(star.select(F.col("b").alias("a"), F.col("a").alias("b")))
         tried = both if tried is None else tried.unionByName(both)
         links = found if links is None else links.unionByName(found)
         fruitful = found.count() > star.count() * FRUITFUL
-        if number and not fruitful:
-            break
-        at = _in_components(words, links)
+        at = stored(_merged(at, found), "near-at")
         # Groups of one component are done.
         spread = at.groupBy("word").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("word")
         at = stored(at.join(spread, "word"), "near-open")
@@ -360,13 +359,14 @@ def _links(words: DataFrame, about: DataFrame, grams: DataFrame, percent: int) -
     place = F.row_number().over(Window.partitionBy("node").orderBy("word"))
     early = at.withColumn("place", place).where(F.col("place") <= EARLY).groupBy("node").agg(F.sort_array(F.collect_list("word")).alias("early"))
     at = stored(at.join(main, "word").join(about.join(early, "node"), "node"), "near-ends")
-    stray = at.where("component <> main").select(F.col("word").alias("w1"), F.col("node").alias("a"), F.col("component").alias("c1"), F.col("n").alias("n1"), F.col("s").alias("s1"), F.col("early").alias("e1"))
-    rest = at.select("word", F.col("node").alias("b"), F.col("component").alias("c2"), "main", F.col("n").alias("n2"), F.col("s").alias("s2"), F.col("early").alias("e2"))
-    apart = (F.col("c1") != F.col("c2")) & ((F.col("c2") == F.col("main")) | (F.col("a") > F.col("b")))
+    stray = at.where("component <> main").select(F.col("word").alias("w1"), F.struct(F.col("node").alias("node"), F.col("component").alias("c")).alias("one"), F.col("n").alias("n1"), F.col("s").alias("s1"), F.col("early").alias("e1"))
+    rest = at.select("word", F.struct(F.col("node").alias("node"), F.col("component").alias("c")).alias("two"), "main", F.col("n").alias("n2"), F.col("s").alias("s2"), F.col("early").alias("e2"))
+    apart = (F.col("one.c") != F.col("two.c")) & ((F.col("two.c") == F.col("main")) | (F.col("one.node") > F.col("two.node")))
     first = F.coalesce(F.array_min(F.array_intersect("e1", "e2")) >= F.col("w1"), F.lit(True))
-    pairs = stray.join(rest, (F.col("w1") == F.col("word")) & apart & _possible(percent) & first).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs = pairs.join(tried, ["a", "b"], "left_anti")
-    return links.unionByName(_linked(stored(pairs, "near-pairs"), grams, percent))
+    pairs = stray.join(rest, (F.col("w1") == F.col("word")) & apart & _possible(percent) & first).select(F.least("one", "two").alias("x"), F.greatest("one", "two").alias("y")).distinct()
+    pairs = pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.c").alias("ca"), F.col("y.c").alias("cb")).join(tried, ["a", "b"], "left_anti")
+    ends = _linked(stored(pairs, "near-pairs"), grams, percent).select("ca", "cb")
+    return links.unionByName(ends).select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct()
 
 
 def near_groups(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
