@@ -28,6 +28,28 @@ QUERIES = {
 }
 
 ORACLE = {
+    # Every alignment that shares a token is counted; a run of least(13, len) tokens of which
+    # k are equal is one whose k-th equal token after the first lies inside it.
+    "op1_decontamination": """
+        WITH d AS (
+            SELECT doc_id, w, len(w) AS size FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents WHERE doc_id IS NOT NULL)
+        ), t AS (
+            SELECT item_id, w, len(w) AS n, least(13, len(w)) AS run, CAST(ceil(least(13, len(w)) * 0.8) AS BIGINT) AS k
+            FROM (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM benchmark WHERE item_id IS NOT NULL)
+        ), dw AS (
+            SELECT doc_id, size, unnest(w) AS word, generate_subscripts(w, 1) AS q FROM d
+        ), tw AS (
+            SELECT item_id, n, run, k, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM t
+        ), same AS (
+            SELECT doc_id, item_id, size, n, run, k, q - p AS shift, p FROM dw JOIN tw USING (word)
+        ), laid AS (
+            SELECT *, count(*) OVER (PARTITION BY doc_id, item_id, shift) AS n_equal FROM same
+            WHERE least(shift + n, size) - greatest(shift, 0) >= run
+        ), runs AS (
+            SELECT *, lead(p, CAST(k - 1 AS INTEGER)) OVER (PARTITION BY doc_id, item_id, shift ORDER BY p) - p AS wide FROM laid WHERE n_equal >= k
+        )
+        SELECT doc_id, item_id, max(n_equal) AS n_equal, CAST(max(n) AS BIGINT) AS n_tokens FROM runs WHERE wide < run GROUP BY doc_id, item_id
+    """,
     "op2_chat_collapse": """
         WITH c AS (
             SELECT conv_id, list((role, text) ORDER BY turn, role, text) AS said, count(*) AS n FROM conversations GROUP BY conv_id
@@ -40,6 +62,55 @@ ORACLE = {
             string_agg('<|' || coalesce(t.role, '') || '|>' || chr(10) || coalesce(t.text, '') || chr(10) || '<|end|>' || chr(10), '' ORDER BY t.turn, t.role, t.text) AS text
         FROM kept k JOIN conversations t USING (conv_id) GROUP BY k.conv_id, k.n, k.copies
     """,
+    # Every rule is tried on every URL.
+    "op5_url_rules": """
+        WITH u AS (
+            SELECT page_id,
+                CASE WHEN contains(url, '://') THEN translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END AS host,
+                CASE WHEN contains(url, '://') THEN regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) ELSE '' END AS path
+            FROM pages
+        ), given(name, says, h, p) AS (
+            VALUES ('net/', 'block', 'net', '/'), ('example.net/en/', 'allow', 'example.net', '/en/'), ('example.com/de/', 'block', 'example.com', '/de/'), ('org/fr/', 'allow', 'org', '/fr/')
+        ), words AS (
+            SELECT unnest(w) AS word, generate_subscripts(w, 1) AS place FROM (SELECT ['casino', 'casinos', 'bets', 'betting', 'poker', 'jackpot', 'pills', 'viagra', 'cialis', 'xxx',
+                'porn', 'escorts', 'spam', 'ads', 'adserver', 'adclick', 'banners', 'popunder', 'affiliate'] AS w)
+        ), own(place, name, regex) AS (
+            SELECT place, '^' || word || '^', '(?is)(^|[^a-z0-9])' || word || '([^a-z0-9]|$)' FROM words
+            UNION ALL VALUES (20, '||ads.', '(?is)^([^/]*\\.)?ads\\.'), (21, '||track.', '(?is)^([^/]*\\.)?track\\.'),
+                (22, '^click^*^redirect^', '(?is)(^|[^a-z0-9])click[^a-z0-9](.*[^a-z0-9])?redirect([^a-z0-9]|$)'), (23, '/wp-content/*/ads/', '(?is)/wp-content/.*/ads/')
+        ), judged AS (
+            SELECT page_id, host, path,
+                (SELECT arg_max(name, length(name)) FROM given WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)) AS rule,
+                (SELECT arg_min(name, place) FROM own WHERE regexp_matches(host || path, regex)) AS first
+            FROM u
+        )
+        SELECT page_id, host, path, rule, CASE WHEN rule IS NULL THEN first END AS pattern,
+            CASE WHEN rule IS NOT NULL THEN (SELECT says FROM given WHERE name = rule) WHEN first IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict
+        FROM judged
+    """,
+    # All pairs that share a shingle, counted; then what each set reaches.
+    "op8_ngram_join": """
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+        ), g AS (
+            SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE [array_to_string(w[i:i+3], ' ') for i in range(1, len(w) - 2)] END)) AS s FROM w
+        ), sets AS (
+            SELECT min(doc_id) AS node, s, len(s) AS n FROM g WHERE len(s) > 0 GROUP BY s
+        ), x AS (
+            SELECT node, n, unnest(s) AS gram FROM sets
+        ), pairs AS (
+            SELECT a.node AS a, b.node AS b FROM x a JOIN x b ON a.gram = b.gram AND a.node < b.node
+            GROUP BY a.node, b.node, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+        ), edges AS (
+            SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs
+        ), reach(node, root) AS (
+            SELECT node, node FROM sets UNION SELECT e.b, r.root FROM reach r JOIN edges e ON e.a = r.node
+        ), comp AS (
+            SELECT node, min(root) AS component_id FROM reach GROUP BY node
+        )
+        SELECT g.doc_id, CAST(len(g.s) AS BIGINT) AS n_shingles, coalesce(c.component_id, g.doc_id) AS component_id
+        FROM g LEFT JOIN sets ON g.s = sets.s AND len(g.s) > 0 LEFT JOIN comp c ON c.node = sets.node
+    """,
     "op10_exact_dedup": """
         WITH t AS (
             SELECT doc_id, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g') AS n FROM documents
