@@ -136,6 +136,15 @@ def blocks_of(size: int) -> Column:
     return F.sequence(F.floor(F.col("at") / size), F.floor((F.col("at") + F.col("size") - 1) / size))
 
 
+def filled(plan: DataFrame, cuts: DataFrame, block: int, shard: int, most: int, seed: int) -> DataFrame:
+    """Slots of the mix, each with `all`, the pieces of its block in order: (at, and what
+    else `cuts` has beside skey and block)."""
+    # Every piece has a word, so a block has at most `block` of them.
+    pieces = F.struct(*[c for c in cuts.columns if c not in ("skey", "block")])
+    whole = cuts.groupBy("skey", "block").agg(F.array_sort(F.collect_list(pieces)).alias("all"))
+    return slots(plan, block, shard, most, seed).hint("merge").join(whole, ["skey", "block"])
+
+
 def mix(
     docs: DataFrame,
     text: str = "text",
@@ -161,16 +170,12 @@ def mix(
         return F.transform(blocks_of(block), piece)
 
     words = F.filter(F.split("text", SPACE), lambda w: w != "")
-    cuts = rows.select("skey", "source", "doc_id", "at", F.inline(let(words, cut)))
-    # Every piece has a word, so a block has at most `block` of them.
-    whole = F.array_sort(F.collect_list(F.struct("at", "doc_id", "n", "piece")))
-    whole = cuts.groupBy("skey", "block").agg(F.min("source").alias("source"), whole.alias("all"))
-    plan = targets(sized, weights, most)
-    out = slots(plan, block, shard, most, seed).hint("merge").join(whole, ["skey", "block"])
+    cuts = rows.select("skey", "at", "doc_id", "source", F.inline(let(words, cut)))
+    out = filled(targets(sized, weights, most), cuts, block, shard, most, seed)
     return out.select(
         "shard",
         "slot",
-        "source",
+        F.get("all.source", F.lit(0)).alias("source"),
         "epoch",
         "block",
         F.col("all.doc_id").alias("doc_ids"),
@@ -179,15 +184,19 @@ def mix(
     )
 
 
-def mix_report(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), block: int = BLOCK, most: int = MOST, seed: int = SEED) -> DataFrame:
+def mix_report(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), block: int = BLOCK, shard: int = SHARD, most: int = MOST, seed: int = SEED) -> DataFrame:
     """One row per document: doc_id, size, source_size, target of its source, and taken,
-    the words of it that the mix holds."""
+    the words of it that the mix's slots hold. The slots and their blocks are those of
+    `mix`, with pieces' sizes in place of their words."""
     sized = stored(sizes(docs), "mix-sizes")
     plan = targets(sized, weights, most)
-    uses = slots(plan, block, most=most, seed=seed).groupBy("skey", "block").agg(F.count(F.lit(1)).alias("uses"))
     rows = laid(sized.drop("source"), sized)
     start, stop = span(F.col("block"), block)
-    cuts = rows.withColumn("block", F.explode(blocks_of(block))).withColumn("n", stop - start)
-    taken = cuts.join(uses.hint("merge"), ["skey", "block"], "left").groupBy("skey", "doc_id", "at", "size").agg(F.sum(F.col("n") * F.coalesce("uses", F.lit(0))).alias("taken"))
+    cuts = rows.withColumn("block", F.explode(blocks_of(block))).select("skey", "block", "at", "doc_id", "size", (stop - start).alias("n"))
+    held = filled(plan, cuts, block, shard, most, seed).select("skey", F.inline("all"))
+    held = held.select("skey", "doc_id", "at", "size", F.col("n").alias("taken"))
+    # Documents that no slot holds have a row, too.
+    held = held.unionByName(rows.select("skey", "doc_id", "at", "size", F.lit(0).cast("bigint").alias("taken")))
+    taken = held.groupBy("skey", "doc_id", "at", "size").agg(F.sum("taken").alias("taken"))
     every = taken.drop("at").unionByName(sized.where("size = 0").select("skey", "doc_id", "size", F.lit(0).cast("bigint").alias("taken")))
     return every.join(plan.drop("place", "weight"), "skey").select("doc_id", "size", "source_size", "target", "taken")

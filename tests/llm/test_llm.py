@@ -373,6 +373,10 @@ def test_mix_texts(docs):
     assert all(len(r.text.split()) == r.n_words <= mixing.BLOCK for r in rows)
     report = mixing.mix_report(docs).collect()
     assert sum(r.n_words for r in rows) == sum(r.taken for r in report)
+    # A document's takings lie between those of slots that hold it alone and of all that hold it.
+    for r in report:
+        holding = [x for x in rows if r.doc_id in x.doc_ids]
+        assert sum(x.n_words for x in holding if x.doc_ids == [r.doc_id]) <= r.taken <= sum(x.n_words for x in holding)
     texts = {r.doc_id: " ".join(WORD.findall(r.text or "")) for r in docs.collect()}
     for r in rows[:50]:
         assert len(r.doc_ids) > 1 or r.text in texts[r.doc_ids[0]]
