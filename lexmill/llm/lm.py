@@ -276,7 +276,9 @@ def _norm(r: np.ndarray, t: np.ndarray, b: np.ndarray) -> np.ndarray:
     high = np.sqrt((r * r).sum(1) * (t * t).sum(1).max()) + b.max()
     outputs = np.vstack([t.T, b, np.ones(len(b), np.float32)])
     for i in range(0, len(r), STEP):
-        x = np.c_[r[i : i + STEP], np.ones(len(r[i : i + STEP]), np.float32), -high[i : i + STEP]]
+        part = r[i : i + STEP]
+        x = np.empty((len(part), part.shape[1] + 2), np.float32)
+        x[:, :-2], x[:, -2], x[:, -1] = part, 1, -high[i : i + STEP]
         z = x @ outputs
         with np.errstate(divide="ignore"):
             out[i : i + STEP] = high[i : i + STEP] + np.log(np.exp(z, out=z).sum(1))
@@ -308,9 +310,6 @@ def log_probabilities(p, c1: np.ndarray, c2: np.ndarray, target: np.ndarray) ->
     return (score - of_class[where] - norm[inside]).astype(np.float64) / math.log(10)
 
 
-_FAR = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
-
-
 def _scored(known, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, p = known.value, shared.value
@@ -318,18 +317,24 @@ def _scored(known, shared):
             for at in range(0, b.num_rows, DOCS):
                 part = b.slice(at, DOCS)
                 held, rows = [], []
+                far_words, far_counts, far_ends = [], [], [0]
                 for i, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     ids, count, far = look_up(words_of(t), v)
                     held.append((ids, *contexts(ids, v)))
                     # A far word's own count comes later; here it is left out.
                     base = float(np.log10(count + 0.5).sum()) - len(far) * v.floor - len(ids) * v.base
                     rare = ids[(ids >= v.size) & (ids < v.end)] - v.size
-                    rows.append((i, len(ids), int((count > 0).sum()), base, -float(v.inside[rare].sum()), [{"word": w, "n": n} for w, n in Counter(far).items()]))
+                    rows.append((i, len(ids), int((count > 0).sum()), base, -float(v.inside[rare].sum())))
+                    each = Counter(far)
+                    far_words.extend(each)
+                    far_counts.extend(each.values())
+                    far_ends.append(len(far_words))
                 target, c1, c2 = (np.concatenate(x) for x in zip(*held, strict=True))
                 lp = log_probabilities(p, c1, c2, target)
                 ends = np.cumsum([len(h[0]) for h in held])
                 own = np.add.reduceat(lp, np.r_[0, ends[:-1]])
                 cols = list(zip(*rows, strict=True))
+                beyond = pa.StructArray.from_arrays([pa.array(far_words, pa.binary()), pa.array(far_counts, pa.int64())], ["word", "n"])
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(cols[0], pa.int64()),
@@ -337,7 +342,7 @@ def _scored(known, shared):
                         pa.array(cols[2], pa.int64()),
                         pa.array(cols[3], pa.float64()),
                         pa.array(own + np.array(cols[4]), pa.float64()),
-                        pa.array(cols[5], _FAR),
+                        pa.ListArray.from_arrays(pa.array(far_ends, pa.int32()), beyond),
                     ],
                     ["doc_id", "n_tokens", "n_known", "base", "score", "far"],
                 )
