@@ -12,7 +12,7 @@ bucket a word has its share of the bucket's counts (with 0.5 added to each, and
 word); so the probabilities of all words sum to 1.
 
 Counts cover all training documents. Training makes one pass over all of them: documents
-are dealt to trainers by a hash, one trainer for each `TRAINER` tokens, so that scores don't
+are dealt to trainers by a hash of id and text, one trainer for each `TRAINER` tokens, so that scores don't
 depend on how files are split. Each trainer starts from the same parameters and takes its
 documents in the hash's order, and the parameters are averaged, an embedding's by how often
 each trainer used it, the rest by tokens. A trainer gives only the embeddings that it used,
@@ -254,10 +254,11 @@ def _trained(known):
 
 
 def train(texts: DataFrame, v: Vocabulary, known=None) -> dict[str, np.ndarray]:
-    """The parameters' averages over all trainers of a column `text`."""
+    """The parameters' averages over all trainers of a column `text`; other columns only
+    tell equal texts apart, so that many copies of one are dealt over all trainers."""
     known = known or texts.sparkSession.sparkContext.broadcast(v)
     fields = [f"x{k}" for k in range(ROW)]
-    dealt = texts.select("text", F.xxhash64("text", F.lit(SEED)).alias("at")).repartition(1 + v.total // TRAINER, "at").sortWithinPartitions("at", "text")
+    dealt = texts.select("text", F.xxhash64(*texts.columns, F.lit(SEED)).alias("at")).repartition(1 + v.total // TRAINER, "at").sortWithinPartitions("at", "text")
     rows = dealt.select("text").mapInArrow(_trained(known), "at int, n double, " + ", ".join(f"{x} float" for x in fields))
     mean = rows.groupBy("at").agg(*[(F.sum(F.col(x) * F.col("n")) / F.sum("n")).cast("float").alias(x) for x in fields]).toArrow()
     out = _rows(initial(v), v)
@@ -373,8 +374,8 @@ def score_texts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    learn = rows.where(~held_out(F.col("doc_id"))).select("text")
-    counts = stored(word_counts(learn), "lm-counts")
+    learn = rows.where(~held_out(F.col("doc_id")))
+    counts = stored(word_counts(learn.select("text")), "lm-counts")
     words, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     n_texts = learn.count()
     v = vocabulary(counts, words, distinct, n_texts)
