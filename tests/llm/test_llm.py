@@ -71,7 +71,7 @@ def test_sql(spark, name):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     got = queries.QUERIES[name](spark, SF)
     columns = sorted(got.columns)
-    quoted = ', '.join(f'"{c}"' for c in columns)
+    quoted = ", ".join(f'"{c}"' for c in columns)
     want = con.sql(f"SELECT {quoted} FROM ({queries.ORACLE[name]})").fetchall()
     assert sorted((tuple(r[c] for c in columns) for r in got.collect()), key=str) == sorted(want, key=str)
 
