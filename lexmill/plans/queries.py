@@ -16,7 +16,7 @@ from ..operators import naming as nm
 from ..operators import ordered as od
 from ..operators import titles as tl
 from ..sources import web
-from . import record_queries
+from . import name_queries, record_queries
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -328,5 +328,6 @@ ORACLE = {
     """,
 }
 
-QUERIES |= record_queries.QUERIES
-ORACLE |= record_queries.ORACLE
+for more in (record_queries, name_queries):
+    QUERIES |= more.QUERIES
+    ORACLE |= more.ORACLE

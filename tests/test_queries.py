@@ -25,7 +25,7 @@ def test_every_query_has_sql():
 def test_query(spark, con, name):
     got = q.QUERIES[name](spark, SF)
     columns = sorted(got.columns)
-    want = con.sql(f"SELECT {', '.join(columns)} FROM ({q.ORACLE[name]})").fetchall()
+    want = con.sql(f"SELECT {', '.join(f'"{c}"' for c in columns)} FROM ({q.ORACLE[name]})").fetchall()
     rows = [tuple(r[c] for c in columns) for r in got.collect()]
     assert rows
     assert sorted(rows, key=str) == sorted(want, key=str)
