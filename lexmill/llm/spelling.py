@@ -1,12 +1,13 @@
 """Spelling variant grouping by letter-parity bitmask bands.
 
-A word's mask has one bit a letter, set where the letter's count is odd. One edit flips at
-most two bits, so of three bands of a mask one at least is as it was: words are joined on
-equal bands, and on lengths that differ by one at most. A band that no edit touches has not
-only its parities but its letters, in order, as they were; the join's key holds these too,
-which keeps its groups small in a large vocabulary. What agrees in a band is compared inside
-the join's condition: by all bits of both masks, then letter by letter. A pair is made in
-the first band that agrees, and so once.
+A word's mask has one bit a letter, set where the letter's count is odd, in three bands of
+letters about equally frequent. One edit flips at most two bits, so it leaves two bands as
+they were or, where a letter of one band takes the place of another's, one band, and flips one
+bit in each of the others. Words are joined on bands that are equal so, and lengths that differ
+by one at most. A band that no edit touches keeps not only its parities but its letters in
+order; the keys hold these too, or else groups would grow with the square of the vocabulary.
+What agrees is verified letter by letter inside the join's condition, so that only true pairs
+leave it.
 
 Only different words are shuffled: occurrences are counted before that, so a word that makes
 up a third of all text costs one row a task.
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-RUN = r"[A-Za-zÀ-ÿ]+"
+LETTER = "[A-Za-zÀ-ÿ]"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BANDS = 3
 
@@ -43,39 +44,71 @@ def counted(words: DataFrame, word: str, shortest: int, fewest: int) -> DataFram
 
 def text_words(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shortest: int = 6, every: int = 199) -> DataFrame:
     """word: the runs of letters of all texts, lower-cased, some with a letter left out."""
-    runs = F.filter(F.regexp_extract_all(F.translate(F.col(text), UPPER, LOWER), F.lit(RUN), F.lit(0)), lambda r: F.length(r) >= shortest)
-    rows = docs.select(F.col(doc_id).alias("doc"), F.explode(runs).alias("run"))
+    # A run shorter than the shortest word gives none, with or without a letter less.
+    rows = docs.select(F.col(doc_id).alias("doc"), F.explode(F.regexp_extract_all(F.col(text), F.lit(f"{LETTER}{{{shortest},}}"), F.lit(0))).alias("run"))
+    rows = rows.withColumn("run", F.when(F.col("run").rlike("[A-Z]"), F.translate("run", UPPER, LOWER)).otherwise(F.col("run")))
     return rows.select(misspelt(F.col("doc"), F.col("run"), every).alias("word"))
 
 
-def banded(words: DataFrame) -> DataFrame:
-    """word, n, size, masks (one for each band) and kept, hashes of each band's letters in order."""
-    letters = F.filter(F.split("word", ""), lambda c: c != "")
+def dealt_letters(words: DataFrame) -> list[str]:
+    """The letters of all words in `BANDS` strings about equally frequent: the rest of an alphabet,
+    so a bounded number, is counted here."""
+    seen = words.select(F.explode(F.split("word", "")).alias("c")).where("c <> ''").groupBy("c").count().collect()
+    bands, load = [""] * BANDS, [0] * BANDS
+    for r in sorted(seen, key=lambda r: (-r["count"], r["c"])):
+        b = load.index(min(load))
+        bands[b] += r["c"]
+        load[b] += r["count"]
+    return bands
 
-    def band(b: int) -> Column:
-        return F.filter("letters", lambda c: F.ascii(c) % BANDS == b)
 
-    def mask(b: int) -> Column:
-        return F.aggregate(band(b), F.lit(0).cast("bigint"), lambda m, c: m.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.floor(F.ascii(c) / BANDS).cast("int") % 61)))
+def parity(letters: Column, band: str) -> Column:
+    """The band's mask: a bit for each of its letters, set where `letters` has an odd number."""
 
-    rows = words.withColumn("letters", letters)
-    masks, kept = F.array(*[mask(b) for b in range(BANDS)]), F.array(*[F.xxhash64(F.array_join(band(b), "")) for b in range(BANDS)])
-    return rows.select("word", "n", F.length("word").alias("size"), masks.alias("masks"), kept.alias("kept"))
+    def bit(c: Column) -> Column:
+        return F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.position(c, F.lit(band)) - 1) % 64)
+
+    return F.aggregate(F.filter(F.split(letters, ""), lambda c: c != ""), F.lit(0).cast("bigint"), lambda m, c: m.bitwiseXOR(bit(c)))
+
+
+def without(letters: str) -> Column:
+    return F.translate("word", letters, "")
 
 
 def near_pairs(words: DataFrame) -> DataFrame:
-    """a, b, a_n, b_n: each pair of words (word, n) one edit apart, once."""
-    rows = stored(banded(words), "spelling-bands")
-    keyed = rows.select("*", F.posexplode("kept").alias("band", "letters")).withColumn("mask", F.get("masks", F.col("band")))
-    left = keyed.select("band", "mask", "letters", F.col("size").alias("fit"), *[F.col(c).alias(f"a_{c}") for c in rows.columns])
-    # A longer word is filed under its own length and under that of words one letter shorter.
-    right = keyed.withColumn("fit", F.explode(F.array("size", F.col("size") - 1)))
-    right = right.select("band", "mask", "letters", "fit", *[F.col(c).alias(f"b_{c}") for c in rows.columns])
-    flips = F.aggregate(F.zip_with("a_masks", "b_masks", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    earlier = F.exists(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: (i < F.col("band")) & (F.get("a_kept", i) == F.get("b_kept", i)))
-    once = (F.col("b_size") > F.col("a_size")) | (F.col("a_word") < F.col("b_word"))
-    pairs = left.join(right, ["band", "mask", "letters", "fit"]).where(once & (flips <= 2) & ~earlier & (F.levenshtein("a_word", "b_word") == 1))
-    return pairs.select(F.col("a_word").alias("a"), F.col("b_word").alias("b"), "a_n", "b_n")
+    """a, b, a_n, b_n: each pair of words (word, n) one edit apart, once.
+
+    A letter that is left out, put in, or replaced by one of its band leaves two bands as they
+    were: their masks and their letters, in order. One replaced by a letter of another band
+    leaves the third as it was, with its letters in their places, and flips one bit of each of
+    the others: the letters of one are the other word's without one. A pair is of one of
+    these kinds only."""
+    bands = dealt_letters(words)
+    masks = [parity(without("".join(bands[:b] + bands[b + 1 :])), bands[b]).alias(f"m{b}") for b in range(BANDS)]
+    rows = stored(words.select("word", "n", *masks), "spelling-masks")
+
+    def keyed(kind: int, first: Column, second: Column, letters: Column, mark: str, of: DataFrame = rows) -> DataFrame:
+        return of.select(F.lit(kind).alias("kind"), first.alias("m1"), second.alias("m2"), letters.alias("letters"), F.col("word").alias(mark), F.col("n").alias(f"{mark}_n"))
+
+    def joined(left: list[DataFrame], right: list[DataFrame], more: Column) -> DataFrame:
+        a, b = left[0], right[0]
+        for x, y in zip(left[1:], right[1:], strict=True):
+            a, b = a.unionByName(x), b.unionByName(y)
+        return a.join(b, ["kind", "m1", "m2", "letters"]).where(more & (F.levenshtein("a", "b", 1) == 1)).select("a", "b", "a_n", "b_n")
+
+    others = [tuple(x for x in range(BANDS) if x != b) for b in range(BANDS)]
+    sides = [[keyed(b, F.col(f"m{c}"), F.col(f"m{d}"), without(bands[b]), mark) for b, (c, d) in enumerate(others)] for mark in ("a", "b")]
+    length = F.length("a") - F.length("b")
+    inside = joined(*sides, (length == -1) | ((length == 0) & (F.col("a") < F.col("b"))))
+    left, right = [], []
+    for b, (c, d) in enumerate(others):
+        places = F.translate("word", bands[c] + bands[d], "." * len(bands[c] + bands[d]))
+        held = without(bands[b] + bands[d])
+        fewer = F.transform(F.sequence(F.lit(1), F.length("held")), lambda i: F.concat(F.substring(F.col("held"), F.lit(1), i - 1), F.substring(F.col("held"), i + 1, F.length("held"))))
+        one_less = rows.withColumn("held", held).where("held <> ''").withColumn("fewer", F.explode(F.array_distinct(fewer)))
+        left.append(keyed(b, F.col(f"m{b}"), parity(F.col("fewer"), bands[c]), F.concat(places, F.lit(" "), F.col("fewer")), "a", one_less))
+        right.append(keyed(b, F.col(f"m{b}"), F.col(f"m{c}"), F.concat(places, F.lit(" "), held), "b"))
+    return inside.unionByName(joined(left, right, F.lit(True)))
 
 
 def rooted(forms: DataFrame) -> DataFrame:
