@@ -39,26 +39,46 @@ def starts_of(lengths: Column, step: int = 256) -> Column:
     return F.when(F.size(lengths) > 0, let(lengths, of)).otherwise(F.array().cast("array<bigint>"))
 
 
+#: Stand around matches and before their groups while a text is taken apart; a text's own are
+#: taken for another noncharacter.
+MARK, PART, OTHER = "\ufdd0", "\ufdd1", "\ufdd2"
+
+
+def unmarked(text: Column) -> Column:
+    return F.when(text.rlike(f"[{MARK}{PART}]"), F.translate(text, MARK + PART, OTHER * 2)).otherwise(text)
+
+
+def parts_of(text: Column, pattern: str, groups: int) -> Column:
+    """What the pattern's groups match, in one pass, where the pattern matches all of the text
+    from where it begins; else null. A group that takes no part is empty."""
+    said = F.regexp_replace(unmarked(text), pattern, PART + PART.join(f"${k}" for k in range(1, groups + 1)))
+    return F.when(F.contains(said, F.lit(PART)), F.split(said, PART, -1))
+
+
 def found(text: Column, pattern: str, groups: int = 0, need: str | None = None) -> Column:
     """Matches of a pattern that never matches empty, in order: array of (start, stop,
-    g0, ..., g<groups>), offsets in code points. What lies between matches comes from
-    splitting by the same pattern; groups come from the matches alone, and are empty where
-    they took no part. Texts without `need`, a cheaper pattern, are not searched."""
+    g0, ..., g<groups>), offsets in code points; groups that took no part are empty. One pass
+    marks the matches and names their groups; what lies between the marks gives the places.
+    Texts without `need`, a cheaper pattern, are not searched."""
     kind = "array<struct<start:bigint,stop:bigint," + ",".join(f"g{k}:string" for k in range(groups + 1)) + ">>"
     none = F.array().cast(kind)
+    marked = F.regexp_replace(unmarked(text), pattern, MARK + PART.join(f"${k}" for k in range(groups + 1)) + MARK)
+
+    def spans(pieces):
+        def part(i):
+            said = F.split(F.get(pieces, 2 * i + 1), PART, -1)
+            return F.struct(F.length(F.get(pieces, 2 * i)).cast("bigint").alias("gap"), said.alias("said"))
+
+        return let(F.transform(F.sequence(F.lit(0), F.floor(F.size(pieces) / 2).cast("int") - 1), part), lambda z: F.zip_with(z, starts_of(F.transform(z, whole)), placed))
 
-    def spans(whole):
-        gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(whole))
-        parts = F.zip_with(gaps, whole, lambda gap, m: F.struct(F.length(gap).cast("bigint").alias("gap"), F.length(m).cast("bigint").alias("n"), m.alias("m")))
-        return let(parts, lambda z: F.zip_with(z, starts_of(F.transform(z, lambda x: x["gap"] + x["n"])), placed))
+    def whole(x):
+        return x["gap"] + F.length(F.get(x["said"], F.lit(0)))
 
     def placed(x, b):
-        start = b + x["gap"]
-        fields = [start.alias("start"), (start + x["n"]).alias("stop"), x["m"].alias("g0")]
-        return F.struct(*fields, *[F.regexp_extract(x["m"], f"^(?:{pattern})$", k).alias(f"g{k}") for k in range(1, groups + 1)])
+        fields = [(b + x["gap"]).alias("start"), (b + whole(x)).alias("stop")]
+        return F.struct(*fields, *[F.get(x["said"], F.lit(k)).alias(f"g{k}") for k in range(groups + 1)])
 
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    some = let(matches, lambda m: F.when(F.size(m) > 0, let(m, spans)).otherwise(none))
+    some = let(F.split(marked, MARK, -1), lambda p: F.when(F.size(p) > 1, spans(p)).otherwise(none))
     if need is not None:
         some = F.when(text.rlike(need), some)
     return F.coalesce(some, none)

@@ -124,11 +124,14 @@ FIRMS = frozenset("LLP LLC LLLP PLLC PC PLC".split())
 NUMBERED = frozenset("local loc no chapter ch".split())
 TAIL_REACH = 80
 
-# The patterns of citations. \s is white space as browsers have it, \b is between ASCII words.
+#: Where an ASCII word begins or ends, before or after one of its characters.
+FROM, TO = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
+
+# The patterns of citations. \s is white space as browsers have it.
 NO_V = r"In [Rr][Ee]|IN RE|Estate of|Guardianship of|Conservatorship of|Adoption of|Marriage of"
 REPORTER = "|".join(r.replace(".", r"\.") for r in sorted(REPORTERS, key=len, reverse=True))
 PINNED = rf"(\d{{1,4}})\s+({REPORTER})\s+(\d{{1,5}})(?:,\s*\d{{1,5}}(?:[\-‒–—−]\d{{1,5}})?)?"
-YEAR = r"\((?:[^)]*?\b)?(\d{4})\)"
+YEAR = rf"\((?:[^)]*?{FROM})?(\d{{4}})\)"
 AT = r"(?:,\s*at\s+\*?\d+(?:\s+n\.\d+)?)?"
 TAILS = {
     "csm": rf"\s*{YEAR}\s+{PINNED}",
@@ -140,32 +143,37 @@ TAILS = {
 }
 BARE = rf"(\d{{1,4}})\s+({REPORTER})\s+(\d{{1,5}})"
 NON_V_CASE = (
-    rf"\b({NO_V})\s+([A-Z][A-Za-z0-9.\-'’&, ]+?)\s*(?:{YEAR}\s+{BARE}|,?\s+{BARE}\s*{YEAR}"
+    rf"{FROM}({NO_V})\s+([A-Z][A-Za-z0-9.\-'’&, ]+?)\s*(?:{YEAR}\s+{BARE}|,?\s+{BARE}\s*{YEAR}"
     rf"|[,\s][^\n]{{0,80}}?,\s+(\d{{4}})\s+WL\s+(\d{{4,8}}){AT}\s*{YEAR})"
 )
-CASES = rf"\b((?!The\b|In\b|See\b|Cf\b|But\b)[A-Z][a-z][A-Za-z]*(?:\s+[A-Z][a-z][A-Za-z]*){{1,5}}\s+Cases)\s*(?:{YEAR}\s+{BARE}|,?\s+{BARE}\s*{YEAR})"
-SUPRA = rf"\b((?:(?:{NO_V})\s+)?[A-Z][A-Za-z0-9.\-'’&]+(?:\s+v\.\s+[A-Z][A-Za-z0-9.\-'’&]+)?),\s*supra\b"
+CASES = rf"{FROM}((?!(?:The|In|See|Cf|But){TO})[A-Z][a-z][A-Za-z]*(?:\s+[A-Z][a-z][A-Za-z]*){{1,5}}\s+Cases)\s*(?:{YEAR}\s+{BARE}|,?\s+{BARE}\s*{YEAR})"
+SUPRA = rf"{FROM}((?:(?:{NO_V})\s+)?[A-Z][A-Za-z0-9.\-'’&]+(?:\s+v\.\s+[A-Z][A-Za-z0-9.\-'’&]+)?),\s*supra{TO}"
 SECTION = r"\d+(?:\.\d+)?[a-z]?(?:\([a-z0-9]+\))*"
 SIGN = r"(?:§§?|sections?|secs?\.?)\s*"
 CODE = "|".join(p for p, _ in sorted(CODES, key=lambda c: -len(c[0])))
 AND = r"\s*(?:,\s*and|,|\s+and)\s+"
-STATUTE = rf"(?i)\b(?:Cal\.\s*|California\s+)?({CODE}),?\s*{SIGN}({SECTION})((?:{AND}{SECTION})*)"
-FEDERAL = rf"(?i)\b(\d{{1,3}})\s+U\.\s*S\.\s*C\.(?:\s*App\.)?\s*{SIGN}({SECTION})"
-UNIFORM = rf"(?i)\b(?:U\.?\s*C\.?\s*C\.?|Unif(?:orm)?\.?\s*Commercial\s+Code|Commercial\s+Code|Com\.\s*Code),?\s*{SIGN}(\d+-\d+(?:\([a-z0-9]+\))*)"
-COURT_RULE = r"(?i)\b(?:Cal\.\s*Rules?\s*of\s*Court|California\s*Rules?\s*of\s*Court),?\s*rules?\s+(\d+(?:\.\d+)*)(?:\([a-z0-9]+\))*"
-CONDUCT_RULE = r"(?i)\b(?:Cal(?:ifornia)?\.?\s+)?Rules?\s+of\s+(?:Prof(?:essional)?\.?\s+)?Conduct\s+(\d+(?:\.\d+)*)(?:\([a-z0-9]+\))*"
+STATUTE = rf"(?i){FROM}(?:Cal\.\s*|California\s+)?({CODE}),?\s*{SIGN}({SECTION})((?:{AND}{SECTION})*)"
+FEDERAL = rf"(?i){FROM}(\d{{1,3}})\s+U\.\s*S\.\s*C\.(?:\s*App\.)?\s*{SIGN}({SECTION})"
+UNIFORM = rf"(?i){FROM}(?:U\.?\s*C\.?\s*C\.?|Unif(?:orm)?\.?\s*Commercial\s+Code|Commercial\s+Code|Com\.\s*Code),?\s*{SIGN}(\d+-\d+(?:\([a-z0-9]+\))*)"
+COURT_RULE = rf"(?i){FROM}(?:Cal\.\s*Rules?\s*of\s*Court|California\s*Rules?\s*of\s*Court),?\s*rules?\s+(\d+(?:\.\d+)*)(?:\([a-z0-9]+\))*"
+CONDUCT_RULE = rf"(?i){FROM}(?:Cal(?:ifornia)?\.?\s+)?Rules?\s+of\s+(?:Prof(?:essional)?\.?\s+)?Conduct\s+(\d+(?:\.\d+)*)(?:\([a-z0-9]+\))*"
 NUMBER = r"(?:VF[-\s]?)?\d{3,4}[A-Z]?"
-INSTRUCTION = rf"(?i)\bCACI\b[\s),]*(?:Nos?\.?\s*)?({NUMBER})((?:{AND}{NUMBER})*)"
+INSTRUCTION = rf"(?i){FROM}CACI{TO}[\s),]*(?:Nos?\.?\s*)?({NUMBER})((?:{AND}{NUMBER})*)"
 PARTY = r"[A-Z][A-Za-z0-9.\-'’&]*"
-SHORT_FORM = rf"\b({PARTY}(?:\s+{PARTY}){{0,3}})\s+v\.\s+({PARTY}(?:\s+{PARTY}){{0,4}}(?:,\s*(?:Inc|LLC|LLP|Ltd|Corp|Co)\.?)?)"
+SHORT_FORM = rf"{FROM}({PARTY}(?:\s+{PARTY}){{0,3}})\s+v\.\s+({PARTY}(?:\s+{PARTY}){{0,4}}(?:,\s*(?:Inc|LLC|LLP|Ltd|Corp|Co)\.?)?)"
 LEAD = r"(?i)^(?:In|See|Cf|Cf\.|Compare|Accord|But|Following|Per|Under|Like|Citing|Quoting)\s+"
 
 #: White space as browsers have it, inside a class.
 WHITE = r"\x09-\x0D\x20   -     　﻿"
 
 
+#: White space that Java's \s does not know.
+WIDE_SPACES = "\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+
+
 def java(pattern: str) -> str:
-    """A pattern of this module for Java's engine: white space and word edges spelled out."""
+    """A pattern of this module for Java's engine: white space and word edges spelled out. Texts
+    without WIDE_SPACES don't need it."""
     out, inside, i = [], False, 0
     while i < len(pattern):
         two = pattern[i : i + 2]

@@ -9,13 +9,15 @@ text as given.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import tables as t
-from ..functions.arrays import found
-from ..functions.names import name_start, unwrapped
+from ..functions.arrays import found, parts_of
+from ..functions.names import name_start, plain_spaces, unwrapped
+from ..functions.storage import stored
 
 FLAGS = ("is_supra", "is_short_form", "wl_only", "lexis_only", "slip_only")
 COLUMNS = ("doc_id", "kind", "key", "start", "stop", "match_text", "short", *FLAGS, "rank", "seq")
@@ -44,15 +46,32 @@ PATTERNS = {
     "short_form": (t.SHORT_FORM, 2, r"v\."),
 }
 
+#: What must come after a `v.` for a form of its tail.
+TAIL_NEEDS = {"csm": r"\(", "bb": r"\(", "wl": "WL", "lexis": "LEXIS", "flat": r"\(", "slip": "(?i)case"}
+
+
+def code_names() -> dict[str, str]:
+    """Every way to write a code, in small letters without spaces and full stops, and its abbreviation."""
+    out = {}
+    for pattern, short in t.CODES:
+        plain = re.sub(r"\(\?:(?:and\|&|&\|and)\)", "and", pattern)
+        plain = re.sub(r"\\s[*+]|\\\.\??| |\.\?", "", plain)
+        for form in (re.sub(r"\(\?:(\w+)\)\?", r"\1", plain), re.sub(r"\(\?:\w+\)\?", "", plain)):
+            out[form.lower()] = short
+    return out
+
+
+CODE_NAMES = code_names()
+
 
 def spotted(docs: DataFrame) -> DataFrame:
     """doc_id, the surroundings of each `v.`, and each detector's matches with `said`, what
-    the original text has there. It is kept, as every detector reads it, and holds no
-    texts but what lies around a `v.`."""
-    rows = docs.withColumn("norm", unwrapped(F.col("text")))
-    rows = rows.withColumn("anchors", found(F.col("norm"), t.java(r"(?<=\s)v\.(?=\s)")))
-    every = [F.transform(found(F.col("norm"), t.java(p), n, need), said_too(n)).alias(name) for name, (p, n, need) in PATTERNS.items()]
-    return rows.select("doc_id", F.transform("anchors", around).alias("around"), *every).persist(StorageLevel.DISK_ONLY)
+    the original text has there. It is written once, as every detector reads its part of it,
+    and holds no texts but what lies around a `v.`."""
+    rows = docs.withColumn("norm", plain_spaces(unwrapped(F.col("text"))))
+    rows = rows.withColumn("anchors", found(F.col("norm"), r"(?<=\s)v\.(?=\s)", need=r"v\."))
+    every = [F.transform(found(F.col("norm"), p, n, need), said_too(n)).alias(name) for name, (p, n, need) in PATTERNS.items()]
+    return stored(rows.select("doc_id", F.transform("anchors", around).alias("around"), *every), "spotted")
 
 
 def around(z: Column, i: Column) -> Column:
@@ -112,8 +131,10 @@ def anchored(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", F.inline("around"))
     rows = rows.withColumn("at", name_start(F.col("left"))).where("at IS NOT NULL")
     for form, pattern in t.TAILS.items():
-        whole = t.java(rf"(?s)^(.{{0,{t.TAIL_REACH}}}?)(?-s:({pattern}))")
-        rows = rows.withColumn(form, F.when(F.col("rest").rlike(whole), F.struct(*[F.regexp_extract("rest", whole, k).alias(f"g{k}") for k in range(7 if form in ("csm", "bb", "flat") else 6 if form != "slip" else 5)])))
+        n = 6 if form in ("csm", "bb", "flat") else 5 if form != "slip" else 4
+        reach = rf"(?s)^(.{{0,{t.TAIL_REACH}}}?)(?-s:({pattern})).*"
+        rows = rows.withColumn("parts", F.when(F.col("rest").rlike(TAIL_NEEDS[form]), parts_of(F.col("rest"), reach, n)))
+        rows = rows.withColumn(form, F.when(F.col("parts").isNotNull(), F.struct(*[F.get("parts", F.lit(k)).alias(f"g{k}") for k in range(n + 1)])))
     forms = [f for f in t.TAILS if f != "slip"]
     best = F.array_min(F.filter(F.array(*[F.when(F.col(f).isNotNull(), F.struct(F.length(F.col(f)["g1"]).alias("n"), F.lit(i).alias("i"))) for i, f in enumerate(forms)]), lambda x: x.isNotNull()))
     rows = rows.withColumn("form", F.coalesce(F.get(F.array(*[F.lit(f) for f in forms]), best["i"]), F.when(F.col("slip").isNotNull(), "slip"))).where("form IS NOT NULL")
@@ -165,7 +186,7 @@ def unanchored(docs: DataFrame) -> DataFrame:
 def chained(rows: DataFrame, group: str, item: str, key) -> DataFrame:
     """The further numbers of a chain, which `group` holds and the match ends with."""
     end = F.col("stop") - F.length(group)
-    links = found(F.col(group), t.java(rf"(?i){t.AND}({item})"), 1)
+    links = found(F.col(group), rf"(?i){t.AND}({item})", 1)
     rows = rows.withColumn("end", end).withColumn("link", F.explode(links))
     said = F.substring("said", (F.col("end") - F.col("start") + F.col("link.start") + 1).cast("int"), F.length("link.g0"))
     return rows.withColumn("said", said).withColumn("start", F.col("end") + F.col("link.start")).withColumn("stop", F.col("end") + F.col("link.stop")).withColumn("key", key(F.col("link.g1")))
@@ -182,8 +203,9 @@ def statutes(docs: DataFrame) -> DataFrame:
     uniform = matches(docs, "uniform")
     taken = uniform.select("doc_id", F.col("start").alias("s"), F.col("stop").alias("e"))
     rows = matches(docs, "statute")
-    code = [F.when(F.col("g1").rlike(t.java(f"(?i)^(?:{p})$")), a) for p, a in sorted(t.CODES, key=lambda c: -len(c[0]))]
-    rows = rows.withColumn("code", F.coalesce(*code))
+    names = F.create_map(*[F.lit(x) for pair in CODE_NAMES.items() for x in pair])
+    flat = F.replace(F.lower(F.regexp_replace("g1", r"[\s.]+", "")), F.lit("&"), F.lit("and"))
+    rows = rows.withColumn("code", F.try_element_at(names, flat))
     head = headed(rows, "g3")
     apart = (head["doc_id"] == taken["doc_id"]) & (head["start"] < taken["e"]) & (head["stop"] > taken["s"])
     head = head.join(taken, apart, "left_anti")
@@ -251,10 +273,16 @@ def short_forms(docs: DataFrame, full: DataFrame) -> DataFrame:
 
 def without_overlaps(all_cites: DataFrame) -> DataFrame:
     """Per document by start, then detector: a citation stays if it starts at or after the
-    end of the last that stayed."""
+    end of the last that stayed. A citation that starts at or after the end of all before it
+    stays whatever they do, so that a document falls apart there; parts of several citations
+    are few and short, and each is gone through by itself."""
     fields = [c for c in COLUMNS if c != "doc_id"]
     order = ["start", "rank", "seq", *[c for c in fields if c not in ("start", "rank", "seq")]]
-    rows = all_cites.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(*order))).alias("all"))
+    by = Window.partitionBy("doc_id").orderBy("start", "rank", "seq", "stop")
+    reach = F.max("stop").over(by.rowsBetween(Window.unboundedPreceding, -1))
+    rows = all_cites.withColumn("part", F.coalesce((F.col("start") >= reach).cast("int"), F.lit(1)))
+    rows = rows.withColumn("part", F.sum("part").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.groupBy("doc_id", "part").agg(F.array_sort(F.collect_list(F.struct(*order))).alias("all"))
     first = F.struct(F.lit(-1).cast("bigint").alias("end"), F.filter("all", lambda x: F.lit(False)).alias("kept"))
     kept = F.aggregate(
         "all",
@@ -262,6 +290,7 @@ def without_overlaps(all_cites: DataFrame) -> DataFrame:
         lambda s, x: F.when(x["start"] >= s["end"], F.struct(x["stop"].alias("end"), F.concat(s["kept"], F.array(x)).alias("kept"))).otherwise(s),
         lambda s: s["kept"],
     )
+    kept = F.when(F.size("all") == 1, F.col("all")).otherwise(kept)
     return rows.select("doc_id", F.inline(kept)).select(*[c for c in COLUMNS if c not in ("rank", "seq")])
 
 
@@ -270,7 +299,7 @@ def find_citations(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = spotted(rows)
     # References are joined to the full citations in several ways: these are found once.
-    full = anchored(rows).unionByName(unanchored(rows)).persist(StorageLevel.DISK_ONLY)
+    full = stored(anchored(rows).unionByName(unanchored(rows)), "full-citations")
     every = full.unionByName(statutes(rows)).unionByName(rules(rows)).unionByName(instructions(rows))
     return without_overlaps(every.unionByName(supras(rows, full)).unionByName(short_forms(rows, full)))
 

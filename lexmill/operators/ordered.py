@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import partial
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.storage import stored
+
+cut = partial(stored, name="spans")
+
 
 def carry_forward(rows: DataFrame, value: Column, by: list, order: list, name: str) -> DataFrame:
     """The last value that is not null, up to and including the row."""
@@ -38,17 +46,48 @@ def printed_offset(rows: DataFrame, doc: str, slot: str, page: str, number: str)
     return seen.groupBy(doc).agg(best.alias("best")).select(doc, "best.*")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """`df` computed once, its lineage ended: in the checkpoint folder where there is one."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
+def greedy_spans(rows: DataFrame, by: list, start: str, stop: str, tie: str, stretch: int = 100_000) -> DataFrame:
+    """Keeps a span that starts at or after the end of the last that was kept; by start, `tie`, stop.
+
+    A key of at most `stretch` spans is gone through by one task; only larger ones are taken
+    apart into ranges."""
+    spans = rows.select(*by, start, tie, stop)
+    sizes = spans.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
+    most = sizes.agg(F.max("__n")).first()[0] or 0
+    if most <= stretch:
+        return _spans_of_small_keys(spans, by, start, stop, tie)
+    large = sizes.where(F.col("__n") > stretch).select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(by)])
+    same = F.lit(True)
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"__k{i}"))
+    small = _spans_of_small_keys(spans.join(large, same, "left_anti"), by, start, stop, tie)
+    return small.unionByName(_spans_of_large_keys(spans.join(large, same, "left_semi"), by, start, stop, tie, stretch))
 
 
-def greedy_spans(rows: DataFrame, by: list, start: str, stop: str, tie: str, stretch: int = 100_000) -> DataFrame:
-    """Keeps a span that starts at or after the end of the last that was kept.
+def _spans_of_small_keys(spans: DataFrame, by: list, start: str, stop: str, tie: str) -> DataFrame:
+    """Keys in order stream through tasks, which hold no more than the end of the last span kept."""
+    n, (a, z) = len(by), (spans.columns.index(start), spans.columns.index(stop))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, end = None, None
+        for batch in batches:
+            kept = []
+            columns = [c.to_pylist() for c in batch.columns]
+            for k, first, last in zip(zip(*columns[:n], strict=True), columns[a], columns[z], strict=True):
+                free = k != key or (first is not None and end is not None and first >= end)
+                if free:
+                    key, end = k, last
+                kept.append(free)
+            yield batch.filter(pa.array(kept, pa.bool_()))
+
+    return spans.repartition(*by).sortWithinPartitions(*by, start, tie, stop).mapInArrow(keep, spans.schema)
+
 
-    Each span's successor (the next that can be kept after it) is found inside ranges of
+def _spans_of_large_keys(spans: DataFrame, by: list, start: str, stop: str, tie: str, stretch: int) -> DataFrame:
+    """Each span's successor (the next that can be kept after it) is found inside ranges of
     about `stretch` spans, so that no task holds a whole key; what is kept is then marked
     from each key's first span by doubling the successors."""
+    rows = spans
     spans = cut(rows.select(*by, start, tie, stop).withColumn("__id", F.monotonically_increasing_id()))
     parts = spans.count() // stretch
     cuts = spans.agg(F.percentile_approx(start, [i / (parts + 1) for i in range(1, parts + 1)])).first()[0] if parts else None

@@ -10,12 +10,12 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import tables as t
 from ..functions.arrays import found
+from ..functions.storage import stored
 from ..operators import citations as ct
 from ..operators.ordered import carry_forward
 
@@ -76,7 +76,8 @@ def block_citations(rows: DataFrame) -> DataFrame:
     bare sections of the model code, and bare sections of the code named last before them
     on the page."""
     docs = rows.select(F.struct("page_id", "block_ix").alias("doc_id"), "text")
-    named = ct.find_citations(docs).select("doc_id", "kind", "key", "start", "stop").persist(StorageLevel.DISK_ONLY)
+    named = ct.find_citations(docs).select("doc_id", "kind", "key", "start", "stop")
+    named = stored(named, "block-citations")
 
     def bare(pattern):
         spans = found(F.coalesce("text", F.lit("")), t.java(pattern), 1)
