@@ -23,7 +23,7 @@ import hashlib
 import heapq
 import re
 from collections.abc import Iterable, Iterator
-from itertools import chain
+from itertools import chain, groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -76,8 +76,10 @@ class Vocabulary:
             raise ValueError(f"{path}: not a plain merge-type vocabulary")
         self.prefix = MARK if normalizer.get(3, 1) else ""
         pieces = [sp.id_to_piece(i) for i in range(len(kinds))]
-        #: piece -> (minus score, id)
-        self.normal = {p: (-sp.get_score(i), i) for i, p in enumerate(pieces) if kinds[i] == 1}
+        self.normal = {p: i for i, p in enumerate(pieces) if kinds[i] == 1}
+        self.silent = {i for i, kind in enumerate(kinds) if kind == 3}
+        self.marked = {i for p, i in self.normal.items() if p[0] == MARK}
+        self.ranks = {p: -sp.get_score(i) for p, i in self.normal.items()}
         self.unknown, self.bytes = sp.unk_id(), {}
         self.written: list[bytes] = []
         for i, (p, kind) in enumerate(zip(pieces, kinds, strict=True)):
@@ -91,35 +93,33 @@ class Vocabulary:
 
     def merged(self, text: str) -> tuple[int, ...]:
         """The ids of a text whose white space is marked."""
-        symbols, n = list(text), len(text)
+        ranks, symbols, n = self.ranks, list(text), len(text)
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
-        agenda: list[tuple[float, int, int, int]] = []
-
-        def pair(left: int, right: int) -> None:
-            if left >= 0 and right < n:
-                both = symbols[left] + symbols[right]
-                if both in self.normal:
-                    heapq.heappush(agenda, (self.normal[both][0], left, right, len(both)))
-
-        for i in range(n - 1):
-            pair(i, i + 1)
+        # Entries are (minus score, left, right, length of both).
+        agenda = [(ranks[both], i, i + 1, 2) for i in range(n - 1) if (both := text[i : i + 2]) in ranks]
+        heapq.heapify(agenda)
         while agenda:
             _, left, right, size = heapq.heappop(agenda)
+            both = symbols[left] + symbols[right]
             # A pair one of whose symbols was merged since is another pair by now.
-            if not symbols[left] or not symbols[right] or len(symbols[left]) + len(symbols[right]) != size:
+            if len(both) != size or not symbols[left] or not symbols[right]:
                 continue
-            symbols[left] += symbols[right]
-            symbols[right] = ""
-            after[left] = after[right]
-            if after[right] < n:
-                before[after[right]] = left
-            pair(before[left], left)
-            pair(left, after[left])
-        return tuple(chain.from_iterable(self.ids_of(s) for s in symbols if s))
-
-    def ids_of(self, symbol: str) -> Iterable[int]:
-        if symbol in self.normal:
-            return (self.normal[symbol][1],)
+            symbols[left], symbols[right] = both, ""
+            last, first = after[right], before[left]
+            after[left] = last
+            if last < n:
+                before[last] = left
+                if (more := both + symbols[last]) in ranks:
+                    heapq.heappush(agenda, (ranks[more], left, last, len(more)))
+            if first >= 0 and (more := symbols[first] + both) in ranks:
+                heapq.heappush(agenda, (ranks[more], first, left, len(more)))
+        parts = [s for s in symbols if s]
+        if all(s in ranks for s in parts):
+            return tuple([self.normal[s] for s in parts])
+        return tuple(chain.from_iterable((self.normal[s],) if s in ranks else self.spelt(s) for s in parts))
+
+    def spelt(self, symbol: str) -> Iterable[int]:
+        """The ids of a code point that is no piece."""
         return [self.bytes[b] for b in symbol.encode()] if self.bytes else (self.unknown,)
 
     def encode(self, text: str) -> list[int]:
@@ -136,10 +136,13 @@ class Vocabulary:
         return list(chain.from_iterable(new[w] if w in new else self.held[w] for w in words))
 
     def decode(self, ids: list[int]) -> str:
-        """What pieces and bytes say, without the mark put before the text; each byte that is
-        no part of a code point becomes U+FFFD."""
-        out = b"".join(map(self.written.__getitem__, ids)).decode(errors="each_byte")
-        return out[1:] if self.prefix and out.startswith(" ") and ids[0] not in self.bytes.values() else out
+        """What pieces and bytes say, without the mark that the first piece begins with; each byte
+        that is no part of a code point becomes U+FFFD."""
+        # A control piece says nothing, but bytes on both sides of it make no code point.
+        runs = [ids] if self.silent.isdisjoint(ids) else [list(run) for silent, run in groupby(ids, self.silent.__contains__) if not silent]
+        out = "".join(b"".join(map(self.written.__getitem__, run)).decode(errors="each_byte") for run in runs)
+        first = next((i for i in ids if self.written[i]), None)
+        return out[1:] if self.prefix and first in self.marked else out
 
 
 @functools.lru_cache(maxsize=2)
