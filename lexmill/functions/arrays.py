@@ -36,7 +36,10 @@ def starts_of(lengths: Column, step: int = 256) -> Column:
             lambda i: F.get(before, chunk(i)) + total(F.slice(a, chunk(i) * step + 1, i % step)),
         )
 
-    return F.when(F.size(lengths) > 0, let(lengths, of)).otherwise(F.array().cast("array<bigint>"))
+    def few(a):
+        return F.transform(a, lambda _, i: total(F.slice(a, F.lit(1), i)))
+
+    return F.when(F.size(lengths) > 16, let(lengths, of)).when(F.size(lengths) > 0, let(lengths, few)).otherwise(F.array().cast("array<bigint>"))
 
 
 #: Stand around matches and before their groups while a text is taken apart; a text's own are
@@ -45,24 +48,24 @@ MARK, PART, OTHER = "\ufdd0", "\ufdd1", "\ufdd2"
 
 
 def unmarked(text: Column) -> Column:
-    return F.when(text.rlike(f"[{MARK}{PART}]"), F.translate(text, MARK + PART, OTHER * 2)).otherwise(text)
+    return F.when(F.contains(text, F.lit(MARK)) | F.contains(text, F.lit(PART)), F.translate(text, MARK + PART, OTHER * 2)).otherwise(text)
 
 
 def parts_of(text: Column, pattern: str, groups: int) -> Column:
-    """What the pattern's groups match, in one pass, where the pattern matches all of the text
-    from where it begins; else null. A group that takes no part is empty."""
-    said = F.regexp_replace(unmarked(text), pattern, PART + PART.join(f"${k}" for k in range(1, groups + 1)))
+    """What the pattern's groups match, in one pass, where the pattern matches all of an
+    unmarked text from where it begins; else null. A group that takes no part is empty."""
+    said = F.regexp_replace(text, pattern, PART + PART.join(f"${k}" for k in range(1, groups + 1)))
     return F.when(F.contains(said, F.lit(PART)), F.split(said, PART, -1))
 
 
-def found(text: Column, pattern: str, groups: int = 0, need: str | None = None) -> Column:
+def found(text: Column, pattern: str, groups: int = 0, need: str | None = None, clean: bool = False) -> Column:
     """Matches of a pattern that never matches empty, in order: array of (start, stop,
     g0, ..., g<groups>), offsets in code points; groups that took no part are empty. One pass
     marks the matches and names their groups; what lies between the marks gives the places.
-    Texts without `need`, a cheaper pattern, are not searched."""
+    Texts without `need`, a cheaper pattern, are not searched; a `clean` text is unmarked."""
     kind = "array<struct<start:bigint,stop:bigint," + ",".join(f"g{k}:string" for k in range(groups + 1)) + ">>"
     none = F.array().cast(kind)
-    marked = F.regexp_replace(unmarked(text), pattern, MARK + PART.join(f"${k}" for k in range(groups + 1)) + MARK)
+    marked = F.regexp_replace(text if clean else unmarked(text), pattern, MARK + PART.join(f"${k}" for k in range(groups + 1)) + MARK)
 
     def spans(pieces):
         def part(i):
@@ -78,7 +81,7 @@ def found(text: Column, pattern: str, groups: int = 0, need: str | None = None)
         fields = [(b + x["gap"]).alias("start"), (b + whole(x)).alias("stop")]
         return F.struct(*fields, *[F.get(x["said"], F.lit(k)).alias(f"g{k}") for k in range(groups + 1)])
 
-    some = let(F.split(marked, MARK, -1), lambda p: F.when(F.size(p) > 1, spans(p)).otherwise(none))
+    some = let(marked, lambda m: F.when(F.contains(m, F.lit(MARK)), let(F.split(m, MARK, -1), spans)).otherwise(none))
     if need is not None:
         some = F.when(text.rlike(need), some)
     return F.coalesce(some, none)

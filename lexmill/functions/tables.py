@@ -150,7 +150,14 @@ CASES = rf"{FROM}((?!(?:The|In|See|Cf|But){TO})[A-Z][a-z][A-Za-z]*(?:\s+[A-Z][a-
 SUPRA = rf"{FROM}((?:(?:{NO_V})\s+)?[A-Z][A-Za-z0-9.\-'’&]+(?:\s+v\.\s+[A-Z][A-Za-z0-9.\-'’&]+)?),\s*supra{TO}"
 SECTION = r"\d+(?:\.\d+)?[a-z]?(?:\([a-z0-9]+\))*"
 SIGN = r"(?:§§?|sections?|secs?\.?)\s*"
-CODE = "|".join(p for p, _ in sorted(CODES, key=lambda c: -len(c[0])))
+
+
+def by_letter(patterns: list[str]) -> str:
+    """Alternatives under their first letters, which they all begin with; in order for each."""
+    return "|".join(f"{c}(?:{'|'.join(p[1:] for p in patterns if p[0] == c)})" for c in sorted({p[0] for p in patterns}))
+
+
+CODE = by_letter([p for p, _ in sorted(CODES, key=lambda c: -len(c[0]))])
 AND = r"\s*(?:,\s*and|,|\s+and)\s+"
 STATUTE = rf"(?i){FROM}(?:Cal\.\s*|California\s+)?({CODE}),?\s*{SIGN}({SECTION})((?:{AND}{SECTION})*)"
 FEDERAL = rf"(?i){FROM}(\d{{1,3}})\s+U\.\s*S\.\s*C\.(?:\s*App\.)?\s*{SIGN}({SECTION})"

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import tables as t
 from ..functions.arrays import found, parts_of
-from ..functions.names import name_start, plain_spaces, unwrapped
+from ..functions.names import name_start, unwrapped
 from ..functions.storage import stored
 
 FLAGS = ("is_supra", "is_short_form", "wl_only", "lexis_only", "slip_only")
@@ -68,9 +68,9 @@ def spotted(docs: DataFrame) -> DataFrame:
     """doc_id, the surroundings of each `v.`, and each detector's matches with `said`, what
     the original text has there. It is written once, as every detector reads its part of it,
     and holds no texts but what lies around a `v.`."""
-    rows = docs.withColumn("norm", plain_spaces(unwrapped(F.col("text"))))
-    rows = rows.withColumn("anchors", found(F.col("norm"), r"(?<=\s)v\.(?=\s)", need=r"v\."))
-    every = [F.transform(found(F.col("norm"), p, n, need), said_too(n)).alias(name) for name, (p, n, need) in PATTERNS.items()]
+    rows = docs.withColumn("norm", unwrapped(F.col("text")))
+    rows = rows.withColumn("anchors", found(F.col("norm"), r"v\.(?<=\sv\.)(?=\s)", need=r"v\.", clean=True))
+    every = [F.transform(found(F.col("norm"), p, n, need, clean=True), said_too(n)).alias(name) for name, (p, n, need) in PATTERNS.items()]
     return stored(rows.select("doc_id", F.transform("anchors", around).alias("around"), *every), "spotted")
 
 
