@@ -48,14 +48,17 @@ MARK, PART, OTHER = "\ufdd0", "\ufdd1", "\ufdd2"
 
 
 def unmarked(text: Column) -> Column:
-    return F.when(F.contains(text, F.lit(MARK)) | F.contains(text, F.lit(PART)), F.translate(text, MARK + PART, OTHER * 2)).otherwise(text)
+    def of(said):
+        return F.when(F.contains(said, F.lit(MARK)) | F.contains(said, F.lit(PART)), F.translate(said, MARK + PART, OTHER * 2)).otherwise(said)
+
+    return let(text, of)
 
 
 def parts_of(text: Column, pattern: str, groups: int) -> Column:
     """What the pattern's groups match, in one pass, where the pattern matches all of an
     unmarked text from where it begins; else null. A group that takes no part is empty."""
     said = F.regexp_replace(text, pattern, PART + PART.join(f"${k}" for k in range(1, groups + 1)))
-    return F.when(F.contains(said, F.lit(PART)), F.split(said, PART, -1))
+    return let(F.split(said, PART, -1), lambda p: F.when(F.size(p) > 1, p))
 
 
 def found(text: Column, pattern: str, groups: int = 0, need: str | None = None, clean: bool = False) -> Column:
