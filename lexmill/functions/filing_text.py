@@ -150,3 +150,8 @@ def roman_value(s: Column) -> Column:
     """1 to 39 for a well-formed numeral, else null."""
     place = F.array_position(F.array(*[F.lit(r) for r in ROMAN]), F.upper(s)).cast("int")
     return F.when(place > 0, place)
+
+
+def site_patterns(sites: Column) -> Column:
+    """The valid patterns of an array of sites as typed, each once, in the order first met."""
+    return F.array_distinct(F.filter(F.transform(F.coalesce(sites, F.array().cast("array<string>")), site_pattern), lambda p: p.isNotNull()))

@@ -85,3 +85,15 @@ def without_page(plan: DataFrame, at: int) -> DataFrame:
 
 def part_name(base: Column, first: Column, last: Column) -> Column:
     return F.when(first == last, F.format_string("%s p%d.pdf", base, first)).otherwise(F.format_string("%s p%d-%d.pdf", base, first, last))
+
+
+def touched_pages(marked: Column, total: Column) -> Column:
+    """The pages, from 1, whose highlights are written: those that have or had any, and all of
+    the document's, each once and in order."""
+    every = F.when(total > 0, F.sequence(F.lit(1), total.cast("int"))).otherwise(F.array().cast("array<int>"))
+    return F.array_sort(F.array_union(F.coalesce(marked.cast("array<int>"), F.array().cast("array<int>")), every))
+
+
+def page_counts(plan: DataFrame) -> DataFrame:
+    """doc_id, n_pages of a plan."""
+    return plan.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_pages"))

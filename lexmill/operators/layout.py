@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import tables as t
+from ..functions.arrays import let
 from ..functions.filing_text import could_be_title_line, looks_like_title, normalized_line, trim
 from .ordered import gap_groups
 
@@ -22,27 +21,30 @@ SPACES = t.java(r"\s+")
 def lines(items: DataFrame) -> DataFrame:
     """doc_id, page_no, line_ix, y, text: items on the first line whose first item is within
     SAME_LINE of theirs, left to right. A page is a group; its items are few."""
+    said = items.where(trim(F.col("str")) != "")
+    pages = said.groupBy("doc_id", "page_no").agg(F.array_sort(F.collect_list(F.struct("item_ix", "x", "y", "str"))).alias("items"))
+    none = F.struct(F.array().cast("array<double>").alias("seeds"), F.array().cast("array<int>").alias("of"))
+
+    def seat(s: Column, i: Column) -> Column:
+        def put(near: Column) -> Column:
+            of = F.coalesce(near, F.size(s["seeds"]))
+            return F.struct(F.when(near.isNull(), F.array_append(s["seeds"], i["y"])).otherwise(s["seeds"]).alias("seeds"), F.array_append(s["of"], of).alias("of"))
+
+        within = F.transform(s["seeds"], lambda seed, k: F.when(F.abs(seed - i["y"]) <= SAME_LINE, k))
+        return let(F.array_min(within), put)
+
+    pages = pages.withColumn("seated", F.aggregate("items", none, seat))
+    placed = F.zip_with("items", "seated.of", lambda i, k: F.struct(k.alias("line_ix"), i["x"].alias("x"), i["item_ix"].alias("item_ix"), i["str"].alias("str")))
+    rows = pages.select("doc_id", "page_no", F.col("seated.seeds").alias("seeds"), F.explode(placed).alias("i")).select("doc_id", "page_no", "i.*", F.get("seeds", F.col("i.line_ix")).alias("y"))
+    rows = rows.groupBy("doc_id", "page_no", "line_ix", "y").agg(F.array_sort(F.collect_list(F.struct("x", "item_ix", "str"))).alias("row"))
+    start = F.struct(F.lit("").alias("text"), F.lit(float("-inf")).alias("end"))
 
-    def one(df: pd.DataFrame) -> pd.DataFrame:
-        seeds, rows = [], []
-        for s, x, y in df.sort_values("item_ix")[["str", "x", "y"]].itertuples(index=False):
-            if not s or not s.strip():
-                continue
-            at = next((i for i, seed in enumerate(seeds) if abs(seed - y) <= SAME_LINE), len(seeds))
-            if at == len(seeds):
-                seeds.append(y)
-                rows.append([])
-            rows[at].append((x, s))
-        out = []
-        for y, row in zip(seeds, rows, strict=True):
-            text, end = "", float("-inf")
-            for x, s in sorted(row, key=lambda r: r[0]):
-                apart = text and x - end > SPACE_FROM and s[0] not in "'’,.;:!?)" and text[-1] not in "(["
-                text, end = text + (" " if apart else "") + s, x + 4 * len(s)
-            out.append((df["doc_id"].iloc[0], df["page_no"].iloc[0], len(out), y, " ".join(text.split())))
-        return pd.DataFrame(out, columns=["doc_id", "page_no", "line_ix", "y", "text"])
-
-    return items.groupBy("doc_id", "page_no").applyInPandas(one, "doc_id long, page_no int, line_ix int, y double, text string")
+    def join(s: Column, i: Column) -> Column:
+        apart = (s["text"] != "") & (i["x"] - s["end"] > SPACE_FROM) & ~i["str"].rlike(r"^['’,.;:!?)]") & ~s["text"].rlike(r"[(\[]\z")
+        return F.struct(F.concat(s["text"], F.when(apart, " ").otherwise(""), i["str"]).alias("text"), (i["x"] + F.length(i["str"]) * 4.0).alias("end"))
+
+    text = F.aggregate("row", start, join, lambda s: trim(F.regexp_replace(s["text"], SPACES, " ")))
+    return rows.select("doc_id", "page_no", "line_ix", "y", text.alias("text"))
 
 
 def footers(page_lines: DataFrame, pages: DataFrame) -> DataFrame:
@@ -135,3 +137,50 @@ def on_pages(cites: DataFrame, ranges: DataFrame) -> DataFrame:
     r = ranges.select(F.col("doc_id").alias("__doc"), "page_no", F.col("start").alias("__start"), F.col("stop").alias("__stop"))
     inside = (F.col("doc_id") == F.col("__doc")) & (F.col("start") >= F.col("__start")) & (F.col("stop") <= F.col("__stop") - 3)
     return cites.join(r, inside).drop("__doc", "__start", "__stop")
+
+
+# Of paragraph marks and page numbers: their forms, how far right of the line numbers,
+# the part of the page that they may begin in, the width of a column, the margins, the width of a slot.
+MARK_FORM, MARK_GAP, MARK_REACH, MARK_COLUMN, LEAST_MARKS = r"^(\d{1,3})[.)](?:\s|\z)", 4, 0.5, 0.03, 3
+TOP_MARGIN, BOTTOM_MARGIN, SLOT = 0.12, 0.85, 0.08
+
+
+def _beside(spans: DataFrame, pages: DataFrame, numbers: DataFrame) -> DataFrame:
+    """Spans right of their page's column of line numbers."""
+    edge = numbers.groupBy("doc_id", "page_no").agg(F.max(F.col("left") + F.coalesce("width", F.lit(0.0))).alias("edge"))
+    rows = spans.join(pages.select("doc_id", "page_no", F.col("width").alias("page_width"), F.col("height").alias("page_height")).where("height > 0"), ["doc_id", "page_no"])
+    rows = rows.join(edge, ["doc_id", "page_no"], "left").where(F.col("left") > F.coalesce("edge", F.lit(0.0)) + MARK_GAP)
+    return rows.withColumn("said", trim(F.col("said"))).withColumn("y", F.col("top") / F.col("page_height"))
+
+
+def paragraph_candidates(spans: DataFrame, pages: DataFrame, numbers: DataFrame) -> DataFrame:
+    """doc_id, page, y, num, left (parts of the page), seq: spans (doc_id, page_no, seq, said, left,
+    top) of the left half that begin with a number and a full stop or bracket. `numbers` are
+    the line numbers' places (doc_id, page_no, left, width)."""
+    rows = _beside(spans, pages, numbers).where(F.col("left") <= F.col("page_width") * MARK_REACH)
+    num = F.nullif(F.regexp_extract("said", t.java(MARK_FORM), 1), F.lit("")).cast("int")
+    return rows.select("doc_id", F.col("page_no").alias("page"), "y", num.alias("num"), (F.col("left") / F.col("page_width")).alias("left"), "seq").where("num IS NOT NULL")
+
+
+def number_candidates(spans: DataFrame, pages: DataFrame, numbers: DataFrame) -> DataFrame:
+    """doc_id, page, slot, number: what could be printed page numbers in the margins above and
+    below, by the slot they stand in; `ordered.printed_offset` finds the slot that counts pages."""
+    rows = _beside(spans, pages, numbers).where((F.col("y") < TOP_MARGIN) | (F.col("y") > BOTTOM_MARGIN))
+    slot = F.concat(F.when(F.col("y") < 0.5, "t:").otherwise("b:"), F.floor(F.col("left") / F.col("page_width") / SLOT + 0.5).cast("string"))
+    return rows.select("doc_id", F.col("page_no").alias("page"), slot.alias("slot"), page_number(F.col("said")).alias("number")).where("number IS NOT NULL")
+
+
+def paragraph_marks(candidates: DataFrame) -> DataFrame:
+    """doc_id, page, y, num, seq: the marks of a document's numbered paragraphs: of all columns of
+    candidates (doc_id, page, y, num, left, seq) the longest run in which each number is one more
+    than the one before it on the pages, if there are three. Of equally long runs the one whose
+    column is seen first counts, then the earlier."""
+    rows = candidates.withColumn("column", F.floor(F.col("left") / MARK_COLUMN + 0.5))
+    by = ["doc_id", "column"]
+    rows = gap_groups(rows, by, ["page", "y", "seq"], lambda w: F.col("num") != F.lag("num").over(w) + 1, "run")
+    runs = rows.groupBy(*by, "run").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("page", "seq")).alias("at"))
+    seen = runs.groupBy(*by).agg(F.min("at").alias("seen"))
+    best = runs.join(seen, by).groupBy("doc_id").agg(F.min(F.struct((-F.col("n")).alias("less"), "seen", "run", "column")).alias("one")).where(-F.col("one.less") >= LEAST_MARKS)
+    kept = rows.join(best.select("doc_id", "one.column", "one.run"), [*by, "run"], "left_semi")
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("page", "y", "seq")).cast("bigint")
+    return kept.select("doc_id", "page", "y", "num", place.alias("seq"))

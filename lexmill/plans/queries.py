@@ -16,7 +16,7 @@ from ..operators import naming as nm
 from ..operators import ordered as od
 from ..operators import titles as tl
 from ..sources import web
-from . import grammar_queries, name_queries, record_queries
+from . import grammar_queries, name_queries, page_queries, record_queries
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -328,6 +328,6 @@ ORACLE = {
     """,
 }
 
-for more in (record_queries, name_queries, grammar_queries):
+for more in (record_queries, name_queries, grammar_queries, page_queries):
     QUERIES |= more.QUERIES
     ORACLE |= more.ORACLE
