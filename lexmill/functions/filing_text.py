@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import tables as t
+from .arrays import let
 
 SPACE = t.java(r"\s+")
 #: White space as a class, its opposite, and its characters.
@@ -40,10 +41,19 @@ def could_be_title_line(text: Column) -> Column:
 def gibberish(title: Column) -> Column:
     """Few letters, one very long run of them, or few vowels."""
     s = F.coalesce(title, F.lit(""))
-    dense = F.length(F.regexp_replace(s, f"{LIGHT}++", ""))
-    n = F.length(letters(s))
-    vowels = F.length(F.regexp_replace(s, "[^aeiouAEIOU]++", ""))
-    return F.when(dense == 0, True).otherwise((n < dense * 0.55) | s.rlike("[A-Za-z]{21}") | ((n >= 6) & (vowels < n * 0.30)))
+
+    def of(v: Column) -> Column:
+        few = (v["n"] < v["dense"] * 0.55) | ((v["n"] >= 6) & (v["vowels"] < v["n"] * 0.30))
+        return F.when(v["dense"] == 0, True).otherwise(few | s.rlike("[A-Za-z]{21}"))
+
+    # Each count goes over what the one before left.
+    def counts(dense: Column) -> Column:
+        def vowels(said: Column) -> Column:
+            return F.struct(F.length(dense).alias("dense"), F.length(said).alias("n"), F.length(F.regexp_replace(said, "[^aeiouAEIOU]++", "")).alias("vowels"))
+
+        return let(letters(dense), vowels)
+
+    return let(let(F.regexp_replace(s, f"{LIGHT}++", ""), counts), of)
 
 
 def normalized_line(text: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.filing_text import csv_escaped, html_escaped
+from ..functions.storage import stored
 
 # Fixed values.
 REGISTERED = "titledoc:"
@@ -79,20 +80,17 @@ def changed_lists(lists: DataFrame, keys: list[str], order: list[str]) -> DataFr
 
 def outline(nodes: DataFrame) -> DataFrame:
     """doc_id, id, depth, position, title: a table of nodes (doc_id, id, parent_id, ordinal,
-    title) depth first. A level is a join; a node whose parents don't reach a root has no place.
-    """
-    nodes.createOrReplaceTempView("__outline_nodes")
-    walked = nodes.sparkSession.sql(
-        """
-        WITH RECURSIVE w(doc_id, id, title, path) AS (
-            SELECT doc_id, id, title, array(struct(CAST(ordinal AS bigint) AS ordinal, id)) FROM __outline_nodes WHERE parent_id IS NULL
-            UNION ALL
-            SELECT n.doc_id, n.id, n.title, w.path || array(struct(CAST(n.ordinal AS bigint) AS ordinal, n.id))
-            FROM w JOIN __outline_nodes n ON n.doc_id = w.doc_id AND n.parent_id = w.id
-        )
-        SELECT * FROM w
-        """
-    )
+    title) depth first. Each level is a join with the one above it, written before the next;
+    a node whose parents don't reach a root has no place."""
+    step = F.struct(F.col("ordinal").cast("bigint").alias("ordinal"), "id")
+    rows = stored(nodes.select("doc_id", "id", "parent_id", "title", step.alias("step")), "outline-nodes")
+    level = stored(rows.where("parent_id IS NULL").select("doc_id", "id", "title", F.array("step").alias("path")), "outline-level")
+    walked = level
+    while not level.isEmpty():
+        above = level.select("doc_id", F.col("id").alias("parent_id"), "path")
+        level = rows.join(above, ["doc_id", "parent_id"]).select("doc_id", "id", "title", F.array_append("path", F.col("step")).alias("path"))
+        level = stored(level, "outline-level")
+        walked = walked.unionByName(level)
     place = F.row_number().over(Window.partitionBy("doc_id").orderBy("path")).cast("long")
     title = F.when(F.coalesce("title", F.lit("")) == "", "(untitled)").otherwise(F.col("title"))
     return walked.select("doc_id", "id", F.size("path").cast("long").alias("depth"), place.alias("position"), title.alias("title"))

@@ -16,6 +16,7 @@ from ..operators import naming as nm
 from ..operators import ordered as od
 from ..operators import titles as tl
 from ..sources import web
+from ..streaming import registry as rg
 from . import grammar_queries, name_queries, page_queries, record_queries
 
 
@@ -67,7 +68,7 @@ CITED = """
 
 
 def authorities(spark, d):
-    return ct.authorities(ct.find_citations(filings(spark, d))).select("doc_id", "kind", "key", "n_cites")
+    return ct.authorities(ct.find_citations(filings(spark, d))).select("doc_id", "kind", "key", "n_cites", "position")
 
 
 def resolved(spark, d):
@@ -128,6 +129,12 @@ def debounced(spark, d):
     return rows.groupBy("user_id", "burst").agg(F.count(F.lit(1)).alias("n_events"), F.max("event_id").alias("last_event"))
 
 
+def rescans(spark, d):
+    """When each burst of a user's changes is due for a rescan."""
+    rows = rg.debounced(table(spark, d, "events").withColumn("ts", instant("ts")), "user_id")
+    return rows.select("user_id", F.unix_micros("due").alias("due_us"), "n_changes")
+
+
 def paragraph_runs(spark, d):
     return od.longest_run(table(spark, d, "lineitem").dropDuplicates(["l_suppkey", "l_orderkey", "l_linenumber"]), ["l_suppkey"], ["l_orderkey", "l_linenumber"], "l_linenumber", 2)
 
@@ -226,7 +233,7 @@ def page_blocks(spark, d):
     return web.blocks(table(spark, d, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (authorities, resolved, page_names, site_globs, text_checks, escaped, encoded_names, carried, debounced, paragraph_runs, printed_pages, kept_spans, first_of_part, as_of_markers, clear_spans, open_entries, newest, page_offsets, stamped, ranges, ladder, part_volumes, titles, page_blocks)}
+QUERIES = {f.__name__: f for f in (authorities, resolved, page_names, site_globs, text_checks, escaped, encoded_names, carried, debounced, rescans, paragraph_runs, printed_pages, kept_spans, first_of_part, as_of_markers, clear_spans, open_entries, newest, page_offsets, stamped, ranges, ladder, part_volumes, titles, page_blocks)}
 
 ORACLE = {
     "titles": """
@@ -237,7 +244,16 @@ ORACLE = {
             CASE o_orderkey % 6 WHEN 0 THEN 'Mot.' WHEN 1 THEN 'Opp.' WHEN 2 THEN n || ' Decl.' WHEN 3 THEN 'Reply' WHEN 4 THEN 'Demurrer' ELSE 'Order' END AS short_form
         FROM (SELECT *, ['Aguilar','Barton','Chen','Delgado','Evans','Foster','Garcia','Hughes'][1 + o_custkey % 8] AS n FROM orders)
     """,
-    "authorities": f"SELECT doc_id, kind, key, count(*) AS n_cites FROM ({CITED}) GROUP BY ALL",
+    "authorities": f"""
+        SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY list_position(['case', 'statute', 'rule', 'caci'], kind), key) AS position
+        FROM (SELECT doc_id, kind, key, count(*) AS n_cites FROM ({CITED}) GROUP BY ALL)
+    """,
+    "rescans": """
+        WITH e AS (SELECT user_id, event_id, epoch_us(ts) AS t FROM events), g AS (
+            SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY user_id ORDER BY t, event_id) <= 400000 THEN 0 ELSE 1 END AS b FROM e
+        ), s AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS burst FROM g)
+        SELECT user_id, max(t) + 400000 AS due_us, count(*) AS n_changes FROM s GROUP BY user_id, burst
+    """,
     "resolved": f"""
         WITH c AS (SELECT DISTINCT kind, key FROM ({CITED})), p AS (SELECT DISTINCT 'CACI No. ' || (100 + p_partkey % 3900) AS k, p_partkey % 3900 AS n FROM part WHERE p_partkey % 10 = 0),
         e AS (SELECT c.*, p.n, CASE kind WHEN 'case' THEN regexp_extract(key, '\\) (.*)$', 1)

@@ -111,8 +111,9 @@ HISTORY = """
 
 
 def outlines(spark, d):
-    part = table(spark, d, "part")
-    return rc.outline(part.select(F.lit(1).alias("doc_id"), F.col("p_partkey").alias("id"), e("IF(p_partkey < 5, NULL, p_partkey DIV 5)", "parent_id"), e("p_partkey % 5", "ordinal"), e("IF(p_partkey % 10 = 0, '', p_name)", "title")))
+    """Trees of a hundred parts each; under every node are up to five."""
+    rows = table(spark, d, "part").selectExpr("p_partkey DIV 100 AS doc_id", "p_partkey % 100 AS id", "IF(p_partkey % 100 < 5, NULL, p_partkey % 100 DIV 5) AS parent_id", "p_partkey % 5 AS ordinal", "IF(p_partkey % 10 = 0, '', p_name) AS title")
+    return rc.outline(rows)
 
 
 def native_links(spark, d):
@@ -262,10 +263,12 @@ ORACLE = {
             || '</td><td>' || CASE WHEN k % 5 = 0 THEN '<em style=''color:#aaa''>—</em>' ELSE pr || chr(10) END || '</td><td>F' || k || '</td></tr>' AS line FROM n
     """,
     "outlines": """
-        WITH RECURSIVE w AS (
-            SELECT p_partkey AS id, p_name, 1 AS depth, [p_partkey % 5] AS path FROM part WHERE p_partkey < 5
-            UNION ALL SELECT p.p_partkey, p.p_name, w.depth + 1, list_append(w.path, p.p_partkey % 5) FROM w JOIN part p ON p.p_partkey >= 5 AND p.p_partkey // 5 = w.id
-        ) SELECT 1 AS doc_id, id, CAST(depth AS BIGINT) AS depth, row_number() OVER (ORDER BY path) AS position, CASE WHEN id % 10 = 0 OR p_name = '' THEN '(untitled)' ELSE p_name END AS title FROM w
+        WITH RECURSIVE n AS (
+            SELECT p_partkey // 100 AS doc_id, p_partkey % 100 AS id, p_partkey % 5 AS ordinal, p_name FROM part
+        ), w AS (
+            SELECT doc_id, id, p_name, 1 AS depth, [ordinal] AS path FROM n WHERE id < 5
+            UNION ALL SELECT n.doc_id, n.id, n.p_name, w.depth + 1, list_append(w.path, n.ordinal) FROM w JOIN n ON n.id >= 5 AND n.id // 5 = w.id AND n.doc_id = w.doc_id
+        ) SELECT doc_id, id, CAST(depth AS BIGINT) AS depth, row_number() OVER (PARTITION BY doc_id ORDER BY path) AS position, CASE WHEN id % 10 = 0 OR p_name = '' THEN '(untitled)' ELSE p_name END AS title FROM w
     """,
     "native_links": """
         SELECT l_orderkey, l_linenumber, least(l_quantity, l_partkey % 50) AS left, abs(CAST(l_partkey % 50 AS DOUBLE) - l_quantity) AS width FROM lineitem
