@@ -35,6 +35,8 @@ from .common import free
 MARK = "▁"
 #: Words that a worker remembers, of at most `LONGEST` code points.
 HELD, LONGEST = 500_000, 64
+#: Code points of a short text; above all scores.
+SHORT, NONE = 32, float("inf")
 
 codecs.register_error("each_byte", lambda e: ("�", e.start + 1))
 
@@ -93,6 +95,28 @@ class Vocabulary:
 
     def merged(self, text: str) -> tuple[int, ...]:
         """The ids of a text whose white space is marked."""
+        return self.ids_of(self.merged_word(text) if len(text) <= SHORT else self.merged_text(text))
+
+    def merged_word(self, text: str) -> list[str]:
+        """Of a short text the agenda is a list, from which the least is taken by looking."""
+        get, symbols = self.ranks.get, list(text)
+        agenda = [get(text[i : i + 2], NONE) for i in range(len(text) - 1)]
+        while agenda:
+            best = min(agenda)
+            if best == NONE:
+                break
+            i = agenda.index(best)  # the leftmost
+            both = symbols[i] + symbols.pop(i + 1)
+            symbols[i] = both
+            del agenda[i]
+            if i < len(agenda):
+                agenda[i] = get(both + symbols[i + 1], NONE)
+            if i:
+                agenda[i - 1] = get(symbols[i - 1] + both, NONE)
+        return symbols
+
+    def merged_text(self, text: str) -> list[str]:
+        """Of any text, in time that grows little more than its length."""
         ranks, symbols, n = self.ranks, list(text), len(text)
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
         # Entries are (minus score, left, right, length of both).
@@ -113,10 +137,13 @@ class Vocabulary:
                     heapq.heappush(agenda, (ranks[more], left, last, len(more)))
             if first >= 0 and (more := symbols[first] + both) in ranks:
                 heapq.heappush(agenda, (ranks[more], first, left, len(more)))
-        parts = [s for s in symbols if s]
-        if all(s in ranks for s in parts):
-            return tuple([self.normal[s] for s in parts])
-        return tuple(chain.from_iterable((self.normal[s],) if s in ranks else self.spelt(s) for s in parts))
+        return [s for s in symbols if s]
+
+    def ids_of(self, symbols: list[str]) -> tuple[int, ...]:
+        ids = [*map(self.normal.get, symbols)]
+        if None not in ids:
+            return tuple(ids)
+        return tuple(chain.from_iterable((i,) if i is not None else self.spelt(s) for i, s in zip(ids, symbols, strict=True)))
 
     def spelt(self, symbol: str) -> Iterable[int]:
         """The ids of a code point that is no piece."""

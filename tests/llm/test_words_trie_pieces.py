@@ -227,7 +227,8 @@ def test_merging_whole_texts_is_merging_words():
     v = pieces.Vocabulary(MODEL)
     assert v.words is not None
     for t in hard_texts()[:800]:
-        assert list(v.merged(pieces.MARK + t.replace(" ", pieces.MARK))) == v.encode(t)
+        marked = pieces.MARK + t.replace(" ", pieces.MARK)
+        assert list(v.ids_of(v.merged_text(marked))) == list(v.ids_of(v.merged_word(marked))) == v.encode(t)
 
 
 def test_decoding_any_ids():
