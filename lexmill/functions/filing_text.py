@@ -130,7 +130,7 @@ def site_pattern(raw: Column) -> Column:
     return F.when((host != "") & out.rlike(t.java(r"^(\*|https?)://(\*|(\*\.)?[^/*\s]+)/[^\s]*$")), out)
 
 
-def bates_label(prefix: Column, number: Column, digits: int = 6) -> Column:
+def bates_label(prefix: Column, number: Column, digits: int | Column = 6) -> Column:
     n = F.greatest(number, F.lit(0)).cast("string")
     return F.concat(prefix, F.lpad(n, F.greatest(F.lit(digits), F.length(n)), F.lit("0")))
 
@@ -165,3 +165,20 @@ def roman_value(s: Column) -> Column:
 def site_patterns(sites: Column) -> Column:
     """The valid patterns of an array of sites as typed, each once, in the order first met."""
     return F.array_distinct(F.filter(F.transform(F.coalesce(sites, F.array().cast("array<string>")), site_pattern), lambda p: p.isNotNull()))
+
+
+def _leading_number(text: Column) -> Column:
+    """The whole number that a text begins with; null without one."""
+    return F.nullif(F.regexp_extract(F.coalesce(text, F.lit("")), t.java(r"^\s*([+-]?\d{1,30})"), 1), F.lit("")).try_cast("decimal(38,0)")
+
+
+def bates_digits(typed: Column) -> Column:
+    """How many digits a label has: what is typed, from 1 to 12; 6 for nothing, or 0."""
+    n = _leading_number(typed)
+    return F.when(F.coalesce(n, F.lit(0)) == 0, 6).otherwise(F.greatest(F.lit(1), F.least(F.lit(12), n))).cast("int")
+
+
+def bates_start(typed: Column) -> Column:
+    """The first label's number: what is typed, or 1 for nothing or less than 0."""
+    n = _leading_number(typed)
+    return F.when(n >= 0, n).otherwise(1).cast("bigint")

@@ -153,9 +153,22 @@ def form_controls(spark, d):
     return rc.form_fields(widgets).select("p_partkey", "control")
 
 
-QUERIES = {f.__name__: f for f in (page_lines, footer_names, captions, line_columns, cites_on_pages, paragraph_references, page_plans, page_geometry, name_fields, form_controls)}
+def first_labels(spark, d):
+    """The first label of numberings as they are typed."""
+    typed = e("CASE p_partkey % 6 WHEN 0 THEN p_size || 'x' WHEN 1 THEN '' WHEN 2 THEN '-' || p_size WHEN 3 THEN ' 0' WHEN 4 THEN p_name ELSE p_partkey || '' END", "typed")
+    rows = table(spark, d, "part").select("p_partkey", "p_brand", typed)
+    digits, start = ft.bates_digits(F.col("typed")), ft.bates_start(F.col("typed"))
+    return rows.select("p_partkey", digits.alias("digits"), start.alias("start"), ft.bates_label(F.col("p_brand"), start, digits).alias("label"))
+
+
+QUERIES = {f.__name__: f for f in (first_labels, page_lines, footer_names, captions, line_columns, cites_on_pages, paragraph_references, page_plans, page_geometry, name_fields, form_controls)}
 
 ORACLE = {
+    "first_labels": """
+        WITH t AS (SELECT p_partkey, p_brand, CASE p_partkey % 6 WHEN 0 THEN p_size WHEN 2 THEN -p_size WHEN 3 THEN 0 WHEN 5 THEN p_partkey END AS n FROM part),
+        c AS (SELECT p_partkey, p_brand, CAST(CASE WHEN coalesce(n, 0) = 0 THEN 6 ELSE greatest(1, least(12, n)) END AS INTEGER) AS digits, CAST(CASE WHEN n >= 0 THEN n ELSE 1 END AS BIGINT) AS start FROM t)
+        SELECT p_partkey, digits, start, p_brand || lpad(start::VARCHAR, greatest(digits, length(start::VARCHAR))::INTEGER, '0') AS label FROM c
+    """,
     "page_lines": """
         WITH i AS (
             SELECT l_orderkey AS doc_id, 1 + l_linenumber // 5 AS page_no, l_linenumber AS ix, l_linenumber % 3 AS row, CASE WHEN l_linenumber % 4 = 3 THEN '''s' ELSE l_linestatus || ' ' || l_returnflag END AS s

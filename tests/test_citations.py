@@ -132,3 +132,20 @@ def test_line_ends(spark):
     joined = ["one two three four five six seven eight\nnine", "see Smith v. Jones\nhere", "at 12 Cal\nHeading\nis none"]
     assert each(spark, unwrapped, kept) == kept
     assert each(spark, unwrapped, joined) == [x.replace("\n", " ") for x in joined]
+
+
+def test_many_citations_of_one_document(spark):
+    """Overlaps of twenty thousand citations of one document, against going through them in order."""
+    import random
+
+    rng = random.Random(9)
+    spans = sorted((rng.randrange(60_000), rank, i) for i, rank in enumerate(rng.choices(range(11), k=20_000)))
+    rows = [(1, "case", f"k{i}", a, a + rng.choice((1, 2, 5, 40)), "m", None, False, False, False, False, False, rank, a) for a, rank, i in spans]
+    kinds = "doc_id long, kind string, key string, start long, stop long, match_text string, short string, is_supra boolean, is_short_form boolean, wl_only boolean, lexis_only boolean, slip_only boolean, rank int, seq long"
+    got = [(r.start, r.stop, r.key) for r in ct.without_overlaps(spark.createDataFrame(rows, kinds)).collect()]
+    want, end = [], -1
+    for r in sorted(rows, key=lambda r: (r[3], r[12], r[13], r[0], r[1], r[2])):
+        if r[3] >= end:
+            want.append((r[3], r[4], r[2]))
+            end = r[4]
+    assert sorted(got) == sorted(want)
