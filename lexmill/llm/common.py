@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from lexmill.functions.arrays import let, starts_of  # noqa: F401
@@ -55,3 +58,16 @@ def renamed(docs: DataFrame, *wanted: str) -> tuple[DataFrame, list[str], list[s
     whatever columns a caller has, none clashes with one that an operator adds."""
     names = [f"c{i}" for i in range(len(docs.columns))]
     return docs.toDF(*names), names, [names[docs.columns.index(w)] for w in wanted]
+
+
+def slices(batch: pa.RecordBatch, column: int, rows: int = 1000, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of at most `rows` rows and, unless it is one row, about `size` bytes of a
+    column: very long texts don't meet in one worker's memory."""
+    start = total = 0
+    for i, n in enumerate(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()):
+        if i > start and (total + n > size or i - start >= rows):
+            yield batch.slice(start, i - start)
+            start, total = i, 0
+        total += n
+    if batch.num_rows > start:
+        yield batch.slice(start)

@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import renamed, stored
+from .common import renamed, slices, stored
 from .components import connected_components
 
 #: Words of an n-gram and least similarity in per cent, unless a caller has its own.
@@ -188,8 +188,7 @@ def _members(n: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for b in batches:
-            for at in range(0, b.num_rows, 1000):
-                part = b.slice(at, 1000)
+            for part in slices(b, 1):
                 got = _batch(part.column(0).to_pylist(), part.column(1).to_pylist(), n, percent, seen)
                 yield pa.RecordBatch.from_pydict(got, schema=_ARROW)
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import free
+from .common import free, slices
 
 #: White space in pieces.
 MARK = "▁"
@@ -190,7 +190,7 @@ def encoded(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
 
     def run(batches):
         v = vocabulary(path)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, at)):
             texts = [t or "" for t in batch.column(at).to_pylist()]
             ids = [v.encode(t) for t in texts]
             decoded = [v.decode(i) for i in ids]
@@ -211,7 +211,7 @@ def encoding_digests(docs: DataFrame, path: str, text: str = "text", doc_id: str
 
     def run(batches):
         v = vocabulary(path)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             rows = []
             for t in batch.column(1).to_pylist():
                 ids = v.encode(t or "")
