@@ -16,6 +16,7 @@ def encoded(s: Column) -> Column:
     return out
 
 
+# How the keys of cases end.
 REPORTED = t.java(r"\((\d{4})\)\s+(\d{1,4})\s+(\S+?)\s+(\d{1,5})\s*$")
 ON_WESTLAW = t.java(r"(\d{4})\s+WL\s+(\d{4,8})\s*$")
 ON_LEXIS = t.java(r"(\d{4})\s+U\.S\.\s*Dist\.\s*LEXIS\s+(\d{4,8})\s*$")

@@ -85,7 +85,33 @@ CODES = (
     (r"Civ\.\s*Proc\.\s*Code", "CCP"),
     (r"Civil\s+Procedure\s+Code", "CCP"),
     (r"C\.?C\.?P\.?", "CCP"),
-    *((x, x) for x in ("CIV", "PEN", "EVID", "BPC", "FAM", "GOV", "HSC", "LAB", "PROB", "VEH", "WIC", "CORP", "INS", "RTC", "EDC", "ELEC", "FIN", "FGC", "HNC", "MVC", "PCC", "PRC", "PUC", "SHC", "UIC", "WAT", "COM")),
+    (r"CIV", "CIV"),
+    (r"PEN", "PEN"),
+    (r"EVID", "EVID"),
+    (r"BPC", "BPC"),
+    (r"FAM", "FAM"),
+    (r"GOV", "GOV"),
+    (r"HSC", "HSC"),
+    (r"LAB", "LAB"),
+    (r"PROB", "PROB"),
+    (r"VEH", "VEH"),
+    (r"WIC", "WIC"),
+    (r"CORP", "CORP"),
+    (r"INS", "INS"),
+    (r"RTC", "RTC"),
+    (r"EDC", "EDC"),
+    (r"ELEC", "ELEC"),
+    (r"FIN", "FIN"),
+    (r"FGC", "FGC"),
+    (r"HNC", "HNC"),
+    (r"MVC", "MVC"),
+    (r"PCC", "PCC"),
+    (r"PRC", "PRC"),
+    (r"PUC", "PUC"),
+    (r"SHC", "SHC"),
+    (r"UIC", "UIC"),
+    (r"WAT", "WAT"),
+    (r"COM", "COM"),
 )
 
 # How the two providers name the codes in searches.
@@ -113,15 +139,15 @@ WESTLAW_DOCUMENT = "https://1.next.westlaw.com/Link/Document/FullText?findType=Y
 LEXIS_SEARCH = "https://plus.lexis.com/search/?pdmfid=1530671&pdsearchterms="
 
 # Words that end, join or precede the name of a party.
-SIGNALS = frozenset("see cf cf. per in but compare accord e.g. also n of the and to by for with from as if when while since because though although court supreme federal state california".split())
-CONNECTORS = frozenset("of the and & de la du von van re ex rel".split())
-ABBREVIATIONS = frozenset("co. inc. corp. ltd. ass'n. rel.".split())
-STOPPERS = frozenset("e.g i.e cf etc viz supra eg ie see accord compare".split())
-HEADINGS = frozenset("cases statutes rules authorities treatises regulations constitutional miscellaneous".split())
-COMPANY_LOWER = frozenset("inc co corp ltd grp ass'n assn lp".split())
-COMPANY_UPPER = frozenset("LLC LLP LP LLLP PLLC PC PLC".split())
-FIRMS = frozenset("LLP LLC LLLP PLLC PC PLC".split())
-NUMBERED = frozenset("local loc no chapter ch".split())
+SIGNALS = frozenset(("see", "cf", "cf.", "per", "in", "but", "compare", "accord", "e.g.", "also", "n", "of", "the", "and", "to", "by", "for", "with", "from", "as", "if", "when", "while", "since", "because", "though", "although", "court", "supreme", "federal", "state", "california"))
+CONNECTORS = frozenset(("of", "the", "and", "&", "de", "la", "du", "von", "van", "re", "ex", "rel"))
+ABBREVIATIONS = frozenset(("co.", "inc.", "corp.", "ltd.", "ass'n.", "rel."))
+STOPPERS = frozenset(("e.g", "i.e", "cf", "etc", "viz", "supra", "eg", "ie", "see", "accord", "compare"))
+HEADINGS = frozenset(("cases", "statutes", "rules", "authorities", "treatises", "regulations", "constitutional", "miscellaneous"))
+COMPANY_LOWER = frozenset(("inc", "co", "corp", "ltd", "grp", "ass'n", "assn", "lp"))
+COMPANY_UPPER = frozenset(("LLC", "LLP", "LP", "LLLP", "PLLC", "PC", "PLC"))
+FIRMS = frozenset(("LLP", "LLC", "LLLP", "PLLC", "PC", "PLC"))
+NUMBERED = frozenset(("local", "loc", "no", "chapter", "ch"))
 TAIL_REACH = 80
 
 #: Where an ASCII word begins or ends, before or after one of its characters.

@@ -10,7 +10,7 @@ from ..functions.arrays import found
 from ..functions.filing_text import roman_value
 
 # Numbers as words, filings told apart by the ladder, amended pleadings, plural roles.
-WORDS = "one two three four five six seven eight nine ten eleven twelve".split()
+WORDS = ["one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve"]
 LADDER = (
     "Demurrer", "Motion", "Petition", "Notice of Motion", "Opposition", "Reply", "Ex Parte Application",
     "Separate Statement", "Reply Separate Statement", "AUMF", "UMF", "Answer", "Cross-Complaint", "Trial Brief",

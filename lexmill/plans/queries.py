@@ -29,8 +29,8 @@ def instant(name: str):
     return F.col(name).cast("timestamp")
 
 
-FIRST = "Aguilar Barton Chen Delgado Evans Foster Garcia Hughes".split()
-SECOND = "Acme Beacon Cascade Dorado Everest Fulton Granite Harbor".split()
+FIRST = ["Aguilar", "Barton", "Chen", "Delgado", "Evans", "Foster", "Garcia", "Hughes"]
+SECOND = ["Acme", "Beacon", "Cascade", "Dorado", "Everest", "Fulton", "Granite", "Harbor"]
 CODED = (("Code of Civil Procedure section ", "CCP"), ("Pen. Code, § ", "PEN"), ("Evidence Code, § ", "EVID"), ("Bus. & Prof. Code, § ", "BPC"), ("Government Code sections ", "GOV"))
 
 

@@ -20,9 +20,9 @@ from ..operators import citations as ct
 from ..operators.ordered import carry_forward
 
 # Elements that are blocks, that are left out, and that have no end; the least block.
-BLOCKS = frozenset("p li td th blockquote h1 h2 h3 h4 h5 h6 dd dt figcaption".split())
-SKIPPED = frozenset("a code pre kbd samp script style textarea".split())
-VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+BLOCKS = frozenset(("p", "li", "td", "th", "blockquote", "h1", "h2", "h3", "h4", "h5", "h6", "dd", "dt", "figcaption"))
+SKIPPED = frozenset(("a", "code", "pre", "kbd", "samp", "script", "style", "textarea"))
+VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"))
 LEAST = 6
 BARE_UNIFORM = r"(?i)(?:(?<!§)§(?!§)|\bsections?|\bsecs?\.?)\s*(\d+-\d+(?:\([a-z0-9]+\))*)"
 BARE_SECTION = rf"(?i){t.SIGN}({t.SECTION})"

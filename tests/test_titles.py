@@ -1,91 +1,12 @@
-"""Titles: printed title: what must be found (only the fields given)."""
+"""Titles, short forms and designators, and names that tell filings apart."""
 
 import pytest
+from title_cases import GROUPS, TITLES
 
 from lexmill.operators import naming as nm
 from lexmill.operators import titles as tt
 
 FIELDS = ("canonical", "target", "party_label", "party_name", "party")
-# Title, kind, and where given target (- for any), label, name, party.
-TITLES = """
-Plaintiff's Complaint for Damages|Complaint|-|Plaintiff
-PLAINTIFF'S OPPOSITION TO DEFENDANT'S DEMURRER TO SECOND AMENDED COMPLAINT|Opposition|Demurrer
-SECOND AMENDED COMPLAINT|SAC
-PACIFIC INSURANCE'S NOTICE OF DEMURRER AND DEMURRER TO PLAINTIFF'S SAC CASE NO. 30STCV12345|Demurrer|SAC
-DEFENDANT PACIFIC INSURANCE'S MOTION TO STRIKE PUNITIVE DAMAGES IN SECOND AMENDED COMPLAINT CASE NO. 30STCV12346|Motion|Mot. to Strike Punitive Damages
-CREDITCO'S MOTION TO COMPEL ARBITRATION AND FOR A STAY|Motion|Mot. to Compel Arbitration and for a Stay
-SMITH DECL. I/S/O CREDITCO'S MOTION TO COMPEL ARBITRATION AND FOR A STAY|Smith Decl. ISO Mot.
-DECLARATION OF OLIVIA BENNETT IN SUPPORT OF PLAINTIFF'S OPPOSITION TO CREDITCO'S MOTION TO COMPEL ARBITRATION|Bennett Decl. ISO Opp.
-CONNORS DECLARATION|Connors Decl.
-DEFENDANT THE BOARD OF TRUSTEES OF EXAMPLE UNIVERSITY'S NOTICE OF DEMURRER AND DEMURRER TO PLAINTIFF'S First Amended Complaint (FAC)|Demurrer|FAC
-COMPLAINT FOR COMPENSATORY, PUNITIVE, AND LIQUIDATED DAMAGES, INJUNCTIVE RELIEF, AND CIVIL PENALTIES HOPKINS V. BRIGHT TUTORS LLC, ET AL|Complaint|-|-|-|Hopkins
-Defendant's Reply to Opposition to Motion to Compel Arbitration|Reply|Opp. to Mot.
-Defendant's Reply to Plaintiff's Opposition to Demurrer|Reply|Opp. to Demurrer
-Defendant's Notice of Motion and Motion to Compel Arbitration|Motion|Mot. to Compel Arbitration
-Notice of Motion for Summary Judgment|Motion|Mot. for Summary Judgment
-Plaintiff's Notice of Motion and Motion to Strike Defendant's Answer|Motion|Mot. to Strike Defendant's Answer
-Petitioner's Petition to Confirm Arbitration Award|Petition|Pet. to Confirm Arbitration Award
-Petition for Writ of Mandate|Petition|Pet. for Writ of Mandate
-Respondent's Opposition to Petition to Compel Arbitration|Opposition|Pet.
-Petitioner's Reply to Opposition to Petition for Writ of Mandate|Reply|Opp. to Pet.
-Declaration of Jane Smith in Support of Reply to Opposition to Motion to Compel Arbitration|Smith Decl. ISO Reply
-DECLARATION OF MARIA GARCIA-LOPEZ IN SUPPORT OF OPPOSITION|Garcia-Lopez Decl. ISO Opp.
-Defendant's Ex Parte Application for Order Shortening Time|Ex Parte Application|Ex Parte App. for Order Shortening Time
-RECEIVER'S OPPOSITION TO DEFENDANTS' EX PARTE APPLICATION|Opposition|Ex Parte App.|Receiver
-Defendant Pacific Insurance's Reply to Opposition to Ex Parte Application|Reply|Opp. to Ex Parte App.|Defendant|Pacific Insurance
-Plaintiff Jordan Avery's Opposition to Defendant's Motion|Opposition|Mot.|Plaintiff|Jordan Avery
-Plaintiff's Opposition to Demurrer|Opposition|Demurrer|Plaintiff|~
-Acme Corp LLC's Motion to Dismiss|Motion|-|Acme Corp LLC
-Plaintiffs Req for Judicial Notice in Support Opp to Demurrer by Example & Partners TAC|RJN ISO Opp.|Opp. to Demurrer
-RJN ISO Motion to Compel|RJN ISO Mot.
-Defendant's Request for Judicial Notice|RJN|~|Defendant
-Smith Declaration ISO RJN|Smith Decl. ISO RJN
-EXAMPLE BUILDING PRODUCTS, INC.'S SEPARATE STATEMENT IN REPLY TO PLAINTIFF'S ADDITIONAL MATERIAL FACTS RE: MOTION FOR SUMMARY JUDGMENT|Reply Separate Statement
-Plaintiff's Separate Statement in Opposition to Motion for Summary Judgment|UMF|-|Plaintiff
-Separate Statement of Undisputed Material Facts|Separate Statement
-PLAINTIFF'S SEPARATE STATEMENT OF ADDITIONAL UNDISPUTED MATERIAL FACTS IN SUPPORT OF OPPOSITION TO MSJ|AUMF|-|Plaintiff
-PLAINTIFF'S RESPONSE TO DEFENSE SEPARATE STATEMENT OF UNDISPUTED MATERIAL FACTS|UMF|-|Plaintiff
-DECLARATION OF DANIEL FISHER, ESQ AND PLAINTIFF'S COMPENDIUM OF EXHIBITS IN SUPPORT OF PLAINTIFF'S OPPOSITION TO MOTION SUMMARY JUDGMENT|Fisher Decl. ISO Opp.
-OBJECTIONS TO ANDERSON DECL - MOTION TO VACATE DEFAULT|Obj. to Anderson Decl.
-Defendant's Objection to Plaintiff's Request For Judicial Notice|Obj. to RJN|-|Defendant
-Objection to Declaration of Jane Smith|Obj. to Smith Decl.
-Plaintiff's Evidence in Support of Opposition to Motion for Summary Judgment|Evidence ISO Opp.|-|Plaintiff
-Defendant's Compendium of Evidence|Evidence|-|Defendant
-[PROPOSED] ORDER RE PLAINTIFF'S MOTION FOR LEAVE TO AMEND COMPLAINT|Proposed Order
-PROOF OF SERVICE RE NOTICE OF MOTION AND MOTION TO VACATE|Proof of Service
-REQUEST FOR DISMISSAL|Request for Dismissal
-AMENDMENT TO COMPLAINT|Amendment to Complaint
-PLAINTIFF'SOPPOSITION TO DEFENDANT'SMOTION FOR SUMMARY ADJUDICATION|Opposition
-YUDECLARATION IN SUPPORT OF PLAINTIFF'SOPPOSITION TO DEFENDANT'SMSA|Yu Decl. ISO Opp.
-25STCV32877 KOSLYNDECLARATION REDEMURRER|Koslyn Decl.
-DECLARATION OF PAUL V. CARELLI IV IN SUPPORT OF DEFENDANT'S OPPOSITION|Carelli Decl. ISO Opp.
-PLAINTIFF’S EVIDENTIARY OBJECTIONS INSUPPORT OF OPPOSITION TO DEFENDANT’S MOTION FOR SUMMARY JUDGMENT/ADJUDICATION|Obj. to Evidence|-|Plaintiff
-DEFENDANTS’ OBJECTION TO PLAINTIFF’S SEPARATE STATEMENT OF ADDITIONAL UNDISPUTED MATERIAL FACTS|Obj. to AUMF|-|Defendants
-DEFENDANT’S RESPONSE TO PLAINTIFF’S OBJECTIONS TO EVIDENCE IN SUPPORT OF MOTION TO COMPEL ARBITRATION|Response to Evid. Objs.|-|Defendant
-PLAINTIFFS'SEPARATE STATEMENT INOPPOSITION TODEFENDANT AMERICAN HONDA MOTOR CO.,INC.'SMOTION FOR SUMMARY ADJUDICATION|UMF
-GM’S RESPONSE TO PLAINTIFF’S SEPARATE STATEMENT OF DISPUTED MATERIAL FACTS ISO OPPOSITION TO MOTION FOR SUMMARY JUDGMENT OR ADJUDICATION|Reply Separate Statement
-DEFENDANTS’ COMPENDIUM OF EVIDENCE ISO MSJ|Evidence ISO Mot.|-|Defendants
-PLAINTIFF’S COMPENDIUM OF EXHIBITS IN SUPPORT OF PLAINTIFF’S OPPOSITION TO DEFENDANTS JACK GERLACH, SANTA FE RANCH, LLC, AND LIGHTSOURCE ENTERTAINMENT, LLC’S MOTION FOR SUMMARY JUDGMENT|Evidence ISO Opp.
-DEFENDANTS’ ERRATA RE: COMPENDIUM OF EVIDENCE ISO MSJ|Errata|-|Defendants
-NOTICE OF NON -OPPOSITION TO DEFENDANT GLENDALE ADVENTIST MEDICAL CENTER’S MOTION TO ENFORCE SETTLEMENT|Notice of Non-Opposition
-ANSWER TO COMPLAINT|Answer
-CROSS-COMPLAINANT RESCORE HOLLYWOOD, LLC’S SECOND AMENDED CROSS-COMPLAINT|SACC
-THOMPSONHINELLP ATTORNEYS ATLAW LOSANGELES NOTICE OF RULING AND CONTINUANCE OF CASE MANAGEMENT CONFERENCE|Notice of Ruling
-THOMPSONHINELLP ATTORNEYS ATLAW LOSANGELES BERNARDS BUILDER’S REQUEST FOR JUDICIAL NOTICE IN SUPPORT OF DEMURRER TO SECOND AMENDED CROSS-COMPLAINT OF RESCORE HOLLYWOOD, INC.|RJN ISO Demurrer|-|Bernards Builder
-DECLARATION OF SHANÉ JACKSON IN SUPPORT OF DEFENDANTS DSV AIR & SEA INC. AND ANTOINE BELOTE’S MOTION TO COMPEL ARBITRATION|Jackson Decl. ISO Mot.
-DECLARATION OF DEBORAH R.TOGA|Toga Decl.
-DEFENDANTS’ NOTICE OF MOTION AND MOTION FOR SUMMARY JUDGMENT OR, IN THE ALTERNATIVE, SUMMARY ADJUDICATION|Motion|Mot. for Summary Judgment
-PLAINTIFF’S OPPOSITION TO MSJ/MSA|Opposition|Mot.
-PLAINTIFF'S REQUEST FOR JUDICIALNOTICE OF MORATAYA V. FORTADES (B341752)— PUBLISHED COURT OF APPEAL OPINION|RJN
-PLAINTIFFS V ADIM SARKISYAN AND SERGEY MIRZOYANS' REPLY BRIEF IN SUPPORT OF PLAINTIFFS' MOTION FOR ATTORNEYS' FEES, AND COSTS; DECLARATION OF DAVID N. BARRY, ESQ., WITH EXHIBITS|Reply
-MEMORANDUM OF COSTS (WORKSHEET)|Memorandum of Costs Worksheet
-UNLIMITED JURISDICTION NOTICE OF HEARING ON PETITION FOR APPROVAL FOR TRANSFER OF PAYMENT RIGHTS|Notice of Hearing
-PLAINTIFF’S RESPONSE TO ORDER TO SHOW CAUSE|Response to Order to Show Cause|-|Plaintiff
-GENERAL ORDER RE MANDATORY ELECTRONIC FILING FOR CIVIL|General Order re Mandatory Electronic Filing for Civil
-MEMORANDUM OF POINTS AND AUTHORITIES|Memorandum of Points and Authorities
-DEFENDANT AMERICAN HONDA MOTOR CO., INC.’S MEMORANDUM OF POINTS AND AUTHORITIES IN SUPPORT OF ITS MOTION FOR SUMMARY ADJUDICATION|Motion
-"""
-CASES = [line.split("|") for line in TITLES.strip().splitlines()]
 # Names and their short forms, texts and their designators.
 SHORT = {
     "Motion": "Mot.", "Mot. to Strike": "Mot.", "Opposition to Demurrer": "Opp.", "Reply to Opp. to Mot.": "Reply", "Demurrer to SAC": "Demurrer",
@@ -104,15 +25,31 @@ PARTS = {
 
 @pytest.fixture(scope="module")
 def parsed(spark):
-    rows = spark.createDataFrame([(c[0],) for c in CASES] + [(None,)], "raw string")
+    rows = spark.createDataFrame([(raw,) for raw, _ in TITLES] + [(None,)], "raw string")
     return {r.raw: r for r in tt.parsed(rows).collect()}
 
 
-@pytest.mark.parametrize("case", CASES, ids=[c[0][:60] for c in CASES])
-def test_title(parsed, case):
-    for field, want in zip(FIELDS, case[1:], strict=False):
-        if want != "-":
-            assert parsed[case[0]][field] == (None if want == "~" else want), field
+@pytest.mark.parametrize(("raw", "want"), TITLES, ids=[raw[:60] for raw, _ in TITLES])
+def test_title(parsed, raw, want):
+    got = parsed[raw]
+    assert {field: got[field] for field in want} == want
+
+
+@pytest.fixture(scope="module")
+def told_apart(spark):
+    """All groups at once, each a group of its own."""
+    columns = ("canonical", "target", "party", "party_label", "party_name", "part_vol")
+    rows = [(i, e["id"], *[e.get(c) for c in columns]) for i, (_, entries, _) in enumerate(GROUPS) for e in entries]
+    kinds = "group int, id string, canonical string, target string, party string, party_label string, party_name string, part_vol string"
+    out = {}
+    for r in nm.disambiguated(spark.createDataFrame(rows, kinds)).collect():
+        out.setdefault(r.group, {})[r.id] = r.name
+    return out
+
+
+@pytest.mark.parametrize("i", range(len(GROUPS)), ids=[what for what, _, _ in GROUPS])
+def test_told_apart(told_apart, i):
+    assert told_apart[i] == GROUPS[i][2]
 
 
 def test_no_title(parsed):
