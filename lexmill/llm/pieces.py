@@ -4,8 +4,7 @@ A text is a list of symbols, one a code point. An agenda holds every two adjacen
 that make a piece of the vocabulary; the pair of the best score, and of such the leftmost,
 is merged, and the pairs with its new neighbours join the agenda. What is no piece in the
 end is spelt in bytes. Where no piece of the vocabulary goes on past a word's end, no merge
-crosses one either: words are then merged apart and remembered (up to `HELD` in a worker),
-so a text costs one look-up a word.
+crosses one either: words are then merged apart and remembered, so a text costs one look-up a word.
 
 Texts are encoded in Arrow batches, whole, and inside the same batches compared with what
 the sentencepiece library makes of them: `agrees` says for each text whether ids and decoded
@@ -33,8 +32,9 @@ from .common import free, slices
 
 #: White space in pieces.
 MARK = "▁"
-#: Words that a worker remembers, of at most `LONGEST` code points.
-HELD, LONGEST = 500_000, 64
+#: Words that a worker remembers, twice over, of at most `LONGEST` code points: when the newer
+#: half is full it becomes the older one, from which words that are met again come back.
+HELD, LONGEST = 400_000, 64
 #: Code points of a short text; above all scores.
 SHORT, NONE = 32, float("inf")
 
@@ -92,6 +92,7 @@ class Vocabulary:
         self.digits = [str(i) for i in range(len(pieces))]
         self.words = None if any(re.search(f"[^{MARK}]{MARK}", p) for p in self.normal) else re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
         self.held: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
 
     def merged(self, text: str) -> tuple[int, ...]:
         """The ids of a text whose white space is marked."""
@@ -157,8 +158,8 @@ class Vocabulary:
             return list(self.merged(marked))
         words = self.words.findall(marked)
         if len(self.held) > HELD:
-            self.held.clear()
-        new = {w: self.merged(w) for w in set(words) if w not in self.held}
+            self.older, self.held = self.held, {}
+        new = {w: self.older.get(w) or self.merged(w) for w in set(words) if w not in self.held}
         self.held |= {w: ids for w, ids in new.items() if len(w) <= LONGEST}
         return list(chain.from_iterable(new[w] if w in new else self.held[w] for w in words))
 
