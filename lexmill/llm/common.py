@@ -7,7 +7,6 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from lexmill.functions.arrays import let, starts_of  # noqa: F401
@@ -63,6 +62,8 @@ def renamed(docs: DataFrame, *wanted: str) -> tuple[DataFrame, list[str], list[s
 def slices(batch: pa.RecordBatch, column: int, rows: int = 1000, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """A batch in parts of at most `rows` rows and, unless it is one row, about `size` bytes of a
     column: very long texts don't meet in one worker's memory."""
+    import pyarrow.compute as pc  # in workers only: the driver needs none of it
+
     start = total = 0
     for i, n in enumerate(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()):
         if i > start and (total + n > size or i - start >= rows):
