@@ -81,7 +81,8 @@ def changed_lists(lists: DataFrame, keys: list[str], order: list[str]) -> DataFr
 def outline(nodes: DataFrame) -> DataFrame:
     """doc_id, id, depth, position, title: a table of nodes (doc_id, id, parent_id, ordinal,
     title) depth first. Each level is a join with the one above it, written before the next;
-    a node whose parents don't reach a root has no place."""
+    a node whose parents don't reach a root has no place. Nodes are numbered inside ranges of
+    (doc_id, path), so that a document may be as large as the table."""
     step = F.struct(F.col("ordinal").cast("bigint").alias("ordinal"), "id")
     rows = stored(nodes.select("doc_id", "id", "parent_id", "title", step.alias("step")), "outline-nodes")
     level = stored(rows.where("parent_id IS NULL").select("doc_id", "id", "title", F.array("step").alias("path")), "outline-level")
@@ -91,9 +92,14 @@ def outline(nodes: DataFrame) -> DataFrame:
         level = rows.join(above, ["doc_id", "parent_id"]).select("doc_id", "id", "title", F.array_append("path", F.col("step")).alias("path"))
         level = stored(level, "outline-level")
         walked = walked.unionByName(level)
-    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("path")).cast("long")
+    ranges = stored(walked.repartitionByRange("doc_id", "path").withColumn("range", F.spark_partition_id()), "outline-ranges")
+    sizes = ranges.groupBy("doc_id", "range").agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy("doc_id").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select(F.col("doc_id").alias("__doc"), F.col("range").alias("__range"), F.coalesce(F.sum("n").over(w), F.lit(0)).alias("before"))
+    inside = F.row_number().over(Window.partitionBy("doc_id", "range").orderBy("path"))
+    rows = ranges.withColumn("inside", inside).join(before, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("range") == F.col("__range")))
     title = F.when(F.coalesce("title", F.lit("")) == "", "(untitled)").otherwise(F.col("title"))
-    return walked.select("doc_id", "id", F.size("path").cast("long").alias("depth"), place.alias("position"), title.alias("title"))
+    return rows.select("doc_id", "id", F.size("path").cast("long").alias("depth"), (F.col("before") + F.col("inside")).cast("long").alias("position"), title.alias("title"))
 
 
 def native_links(annotations: DataFrame) -> DataFrame:
