@@ -5,6 +5,7 @@ that make a piece of the vocabulary; the pair of the best score, and of such the
 is merged, and the pairs with its new neighbours join the agenda. What is no piece in the
 end is spelt in bytes. Where no piece of the vocabulary goes on past a word's end, no merge
 crosses one either: words are then merged apart and remembered, so a text costs one look-up a word.
+New words of one length are merged together, a pair of each at a time: the agenda is a row of ranks.
 
 Texts are encoded in Arrow batches, whole, and inside the same batches compared with what
 the sentencepiece library makes of them: `agrees` says for each text whether ids and decoded
@@ -24,6 +25,7 @@ import re
 from collections.abc import Iterable, Iterator
 from itertools import chain, groupby
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -37,6 +39,8 @@ MARK = "▁"
 HELD, LONGEST = 400_000, 64
 #: Code points of a short text; above all scores.
 SHORT, NONE = 32, float("inf")
+#: Fewer words than these are merged one by one.
+TOGETHER = 24
 
 codecs.register_error("each_byte", lambda e: ("�", e.start + 1))
 
@@ -63,6 +67,77 @@ def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
         yield tag >> 3, value
 
 
+class Pairs:
+    """Ranks of pairs of symbols (pieces, and code points of pieces), in a table by hash."""
+
+    def __init__(self, normal: dict[str, int], ranks: dict[str, float]) -> None:
+        symbols = list(dict.fromkeys(chain(normal, chain.from_iterable(normal))))
+        place = {s: i for i, s in enumerate(symbols)}
+        self.other = len(symbols)  # any code point that is in no piece
+        self.number = self.other + 1
+        #: By symbol, its id (None: no piece); by code point, its symbol.
+        self.ids = np.array([*map(normal.get, symbols), None], object)
+        self.whole = np.array([s in normal for s in symbols] + [False])
+        #: Every code point of a piece is a piece, too.
+        self.plain = bool(self.whole[:-1].all())
+        self.of_code = np.full(0x110000, self.other, np.int64)
+        for s in symbols:
+            if len(s) == 1:
+                self.of_code[ord(s)] = place[s]
+        level = {x: i for i, x in enumerate(sorted(set(ranks.values())))}
+        pairs = [(place[p[:i]] * self.number + place[p[i:]], level[ranks[p]], place[p]) for p in normal for i in range(1, len(p)) if p[:i] in place and p[i:] in place]
+        bits = max(4, (8 * len(pairs)).bit_length())
+        self.shift, self.last = np.uint64(64 - bits), (1 << bits) - 1
+        self.none = len(level)
+        self.keys = np.full(self.last + 1, -1, np.int64)
+        self.ranks = np.full(self.last + 1, self.none, np.int32)
+        self.both = np.zeros(self.last + 1, np.int64)
+        for (key, rank, both), at in zip(pairs, self.slots(np.array([p[0] for p in pairs], np.int64)).tolist(), strict=True):
+            while self.keys[at] >= 0:
+                at = (at + 1) & self.last
+            self.keys[at], self.ranks[at], self.both[at] = key, rank, both
+
+    def slots(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
+
+    def find(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ranks of pairs (`none`: no piece), and what they make."""
+        key = left * self.number + right
+        at = self.slots(key)
+        far = np.flatnonzero((self.keys[at] != key) & (self.keys[at] >= 0))
+        while len(far):
+            at[far] = (at[far] + 1) & self.last
+            there = self.keys[at[far]]
+            far = far[(there != key[far]) & (there >= 0)]
+        return np.where(self.keys[at] == key, self.ranks[at], self.none), self.both[at]
+
+    def merged(self, symbols: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Of texts of one length (a row each): rows that are done, and their last symbols."""
+        rows, n = np.arange(len(symbols)), symbols.shape[1]
+        ranks = self.find(symbols[:, :-1].ravel(), symbols[:, 1:].ravel())[0].reshape(len(symbols), n - 1)
+        while len(rows):
+            best = ranks.argmin(1) if ranks.shape[1] else np.zeros(len(rows), np.int64)  # the leftmost
+            each = np.arange(len(rows))
+            live = ranks[each, best] < self.none if ranks.shape[1] else np.zeros(len(rows), bool)
+            if not live.all():
+                yield rows[~live], symbols[~live]
+                rows, symbols, ranks, best = rows[live], symbols[live], ranks[live], best[live]
+                each = each[: len(rows)]
+                if not len(rows):
+                    return
+            n = symbols.shape[1]
+            symbols[each, best] = self.find(symbols[each, best], symbols[each, best + 1])[1]
+            kept = np.ones(symbols.shape, bool)
+            kept[each, best + 1] = False
+            symbols = symbols[kept].reshape(len(rows), n - 1)
+            kept = np.ones(ranks.shape, bool)
+            kept[each, best] = False
+            ranks = ranks[kept].reshape(len(rows), n - 2)
+            for near, at in ((best < n - 2, best), (best > 0, best - 1)):
+                i, j = each[near], at[near]
+                ranks[i, j] = self.find(symbols[i, j], symbols[i, j + 1])[0]
+
+
 class Vocabulary:
     """Pieces, scores and kinds of a model file. Raises ValueError for models whose texts are
     not merged by score: other types, normalised texts, pieces that the user fixed."""
@@ -91,6 +166,7 @@ class Vocabulary:
             self.written.append(shown.get(kind, p.replace(MARK, " ").encode()))
         self.digits = [str(i) for i in range(len(pieces))]
         self.words = None if any(re.search(f"[^{MARK}]{MARK}", p) for p in self.normal) else re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+        self.pairs = Pairs(self.normal, self.ranks)
         self.held: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
 
@@ -150,18 +226,50 @@ class Vocabulary:
         """The ids of a code point that is no piece."""
         return [self.bytes[b] for b in symbol.encode()] if self.bytes else (self.unknown,)
 
+    def merged_words(self, words: list[str]) -> dict[str, tuple[int, ...]]:
+        """The ids of words: short ones of a length together, if there are enough."""
+        out, pairs = {}, self.pairs
+        by_length: dict[int, list[str]] = {}
+        for w in words:
+            by_length.setdefault(len(w), []).append(w)
+        for n, own in by_length.items():
+            if n <= SHORT and len(own) >= TOGETHER:
+                codes = np.frombuffer("".join(own).encode("utf-32-le", "surrogatepass"), np.uint32)
+                for rows, last in pairs.merged(pairs.of_code[codes].reshape(len(own), n)):
+                    ids, whole = pairs.ids[last].tolist(), pairs.whole[last].all(1)
+                    out |= zip(map(own.__getitem__, rows.tolist()), map(tuple, ids), strict=True)
+                    for i in np.flatnonzero(~whole).tolist():
+                        w = own[rows[i]]
+                        out[w] = self.filled(w, ids[i]) if pairs.plain else self.merged(w)
+            else:
+                out |= {w: self.merged(w) for w in own}
+        return out
+
+    def filled(self, word: str, ids: list[int | None]) -> tuple[int, ...]:
+        """`ids` with what is no piece spelt: code points, in the order in which a word has them."""
+        alone = (c for c in word if c not in self.normal)
+        return tuple(chain.from_iterable((i,) if i is not None else self.spelt(next(alone)) for i in ids))
+
     def encode(self, text: str) -> list[int]:
-        if not text:
-            return []
-        marked = self.prefix + text.replace(" ", MARK)
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[list[int]]:
+        marked = [self.prefix + t.replace(" ", MARK) if t else "" for t in texts]
         if self.words is None:
-            return list(self.merged(marked))
-        words = self.words.findall(marked)
+            return [list(self.merged(m)) if m else [] for m in marked]
+        words = [self.words.findall(m) for m in marked]
         if len(self.held) > HELD:
             self.older, self.held = self.held, {}
-        new = {w: self.older.get(w) or self.merged(w) for w in set(words) if w not in self.held}
-        self.held |= {w: ids for w, ids in new.items() if len(w) <= LONGEST}
-        return list(chain.from_iterable(new[w] if w in new else self.held[w] for w in words))
+        held = self.held
+        new = [w for w in set().union(*words) if w not in held]
+        again = {w: ids for w in new if (ids := self.older.get(w))}
+        held |= again
+        held |= self.merged_words([w for w in new if w not in again] if again else new)
+        out = [list(chain.from_iterable(map(held.__getitem__, own))) for own in words]
+        for w in new:
+            if len(w) > LONGEST:
+                del held[w]
+        return out
 
     def decode(self, ids: list[int]) -> str:
         """What pieces and bytes say, without the mark that the first piece begins with; each byte
@@ -193,7 +301,7 @@ def encoded(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
         v = vocabulary(path)
         for batch in (part for whole in batches for part in slices(whole, at)):
             texts = [t or "" for t in batch.column(at).to_pylist()]
-            ids = [v.encode(t) for t in texts]
+            ids = v.encode_all(texts)
             decoded = [v.decode(i) for i in ids]
             theirs = ((v.library.encode(t), t) for t in texts)
             agrees = [i == e and d == v.library.decode(e) for i, d, (e, _) in zip(ids, decoded, theirs, strict=True)]
@@ -214,9 +322,9 @@ def encoding_digests(docs: DataFrame, path: str, text: str = "text", doc_id: str
         v = vocabulary(path)
         for batch in (part for whole in batches for part in slices(whole, 1)):
             rows = []
-            for t in batch.column(1).to_pylist():
-                ids = v.encode(t or "")
-                decoded, theirs = v.decode(ids), v.library.encode(t or "")
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            for t, ids in zip(texts, v.encode_all(texts), strict=True):
+                decoded, theirs = v.decode(ids), v.library.encode(t)
                 rows.append((len(ids), _sha(",".join(map(v.digits.__getitem__, ids))), _sha(decoded), ids == theirs and decoded == v.library.decode(theirs)))
             columns = zip(*rows, strict=True) if rows else ([], [], [], [])
             types = (pa.int64(), pa.string(), pa.string(), pa.bool_())
