@@ -4,7 +4,8 @@ A text's subwords are all runs of 2, 3 and 4 bytes of its lower-cased UTF-8 form
 everything in ASCII but letters is one separator; each is hashed to a bucket with an
 embedding. The mean embedding of all subwords of the whole text goes through a linear
 softmax. Embeddings and softmax are trained together by stochastic gradient descent in
-numpy, on a bounded sample of the documents of every label. On a part of the sample that is not
+numpy, in one task, on a bounded sample of the documents of every label; the driver gets the
+model alone. On a part of the sample that is not
 trained on, a temperature calibrates the scores, and the score below which a prediction is
 rejected is set so that no more than `REJECT` of correctly predicted texts are.
 
@@ -25,6 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -144,6 +146,24 @@ def fit(examples: list, languages: list[str]) -> Model:
     return Model(tuple(languages), (emb @ out / heat).astype(np.float32), (bias / heat).astype(np.float32), least)
 
 
+def _fitted(languages: list[str]):
+    place = {k: i for i, k in enumerate(languages)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        examples = ([], [])
+        for b in batches:
+            for k, part, at, share in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
+                examples[part].append((place[k], at.values.to_numpy(), share.values.to_numpy()))
+        # A label that fell to the calibration part alone is learned from there.
+        learned = {e[0] for e in examples[0]}
+        examples[0].extend(e for e in examples[1] if e[0] not in learned)
+        m = fit(examples, languages)
+        made = [pa.array([m.table.tobytes()], pa.binary()), pa.array([m.bias.tobytes()], pa.binary()), pa.array([m.least], pa.float64())]
+        yield pa.RecordBatch.from_arrays(made, ["table", "bias", "least"])
+
+    return run
+
+
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
@@ -162,16 +182,10 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str =
     drawn = rows.join(F.broadcast(shares), "lang").where(draw < F.col("share"))
     drawn = drawn.orderBy(F.xxhash64("doc_id", F.lit(SEED))).limit(2 * PER_LANGUAGE * len(languages))
     drawn = drawn.select("lang", (F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(5)) == 0).alias("part"), "text")
-    got = drawn.mapInPandas(_examples, "lang string, part boolean, at array<int>, share array<float>").toArrow()
-    place = {k: i for i, k in enumerate(languages)}
-    examples = ([], [])
-    columns = (got.column("lang").to_pylist(), got.column("part").to_pylist(), got.column("at"), got.column("share"))
-    for k, part, at, share in zip(*columns, strict=True):
-        examples[part].append((place[k], at.values.to_numpy(), share.values.to_numpy()))
-    # A label that fell to the calibration part alone is learned from there.
-    learned = {e[0] for e in examples[0]}
-    examples[0].extend(e for e in examples[1] if e[0] not in learned)
-    return fit(examples, languages)
+    drawn = drawn.coalesce(1).mapInPandas(_examples, "lang string, part boolean, at array<int>, share array<float>")
+    got = drawn.mapInArrow(_fitted(languages), "table binary, bias binary, least double").first()
+    weights = np.frombuffer(got["table"], np.float32).reshape(BUCKETS, len(languages))
+    return Model(tuple(languages), weights, np.frombuffer(got["bias"], np.float32), got["least"])
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
