@@ -31,10 +31,8 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +47,8 @@ NOISE, INSIDE = 32, 2
 #: Tokens that a trainer goes through, about.
 TRAINER = 8_000_000
 STEP, RATE, SEED = 4096, 0.1, 7
+#: Contexts that are normalised at a time, small enough for a core's cache.
+NORMED = 512
 #: Documents that a task scores or trains on at a time.
 DOCS = 400
 
@@ -57,16 +57,26 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 1, F.lit(False))
 
 
-def words_of(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of a column of texts, one after another, and how many each text has."""
+    import pyarrow.compute as pc  # in workers only: the driver needs none of it
+
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    words = lists.flatten().cast(pa.binary())
+    each = np.diff(np.asarray(lists.offsets).astype(np.int64))
+    # White space at a text's ends, and an empty text, leave empty words.
+    real = np.asarray(pc.binary_length(words)) > 0
+    if not real.all():
+        before = np.r_[0, np.cumsum(real)]
+        ends = np.cumsum(each)
+        words, each = words.filter(pa.array(real)), before[ends] - before[ends - each]
+    return words, each
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        c: Counter = Counter()
-        for t in b.column(0).to_pylist():
-            c.update(words_of(t))
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.binary()), pa.array(list(c.values()), pa.int64())], ["word", "c"])
+        c = words_of(b.column(0))[0].value_counts()
+        yield pa.RecordBatch.from_arrays([c.field(0), c.field(1)], ["word", "c"])
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
@@ -99,16 +109,18 @@ class Vocabulary:
 
     def __post_init__(self):
         self.place = {w: i for i, w in enumerate(self.words)}
+        self.known_words = pa.array(self.words, pa.binary())
         self.buckets = len(self.rest)
         self.end = self.size + self.buckets
         self.width = math.isqrt(self.end) + 1  # outputs in a class
         self.classes = -(-(self.end + 1) // self.width)
         self.start = self.classes * self.width
-        self.floor = math.log10(0.5)
         self.base = math.log10(self.total + 0.5 * (self.distinct + 1))
         self.inside = np.log10(self.rest + 0.5 * (self.kinds + 1))
-        # By id; a bucket's words have counts of their own.
-        self.count = np.r_[self.of, np.zeros(self.buckets, np.int64), self.texts]
+        # By id; a bucket's words have counts of their own, which are left out here.
+        self.known = np.r_[self.of, np.zeros(self.buckets, np.int64), self.texts] > 0
+        self.log = np.r_[np.log10(self.of + 0.5), np.zeros(self.buckets), math.log10(self.texts + 0.5)]
+        self.share = np.r_[np.zeros(self.size), self.inside, 0]
 
     def counts(self) -> np.ndarray:
         """By class and place in it; 0 where a class has no output."""
@@ -117,14 +129,24 @@ class Vocabulary:
         return c.reshape(self.classes, self.width)
 
 
-def look_up(words: list[bytes], v: Vocabulary):
-    """Ids, counts (0: not known), and the words beyond the known."""
-    at = np.fromiter(map(v.place.get, words, repeat(-1)), np.int64, len(words))
-    beyond = np.flatnonzero(at < 0)
-    far = [words[i] for i in beyond]
-    at[beyond] = np.fromiter(map(bucket, far, repeat(v.buckets)), np.int64, len(far)) + v.size
-    at = np.r_[at, v.end]
-    return at, v.count[at], far
+def look_up(texts: pa.Array, v: Vocabulary):
+    """Ids of the tokens of a column of texts, where each text's begin, the words beyond the
+    known, and the places of their tokens."""
+    import pyarrow.compute as pc
+
+    words, each = words_of(texts)
+    at = pc.fill_null(pc.index_in(words, value_set=v.known_words), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    beyond = at < 0
+    far = words.filter(pa.array(beyond))
+    tails = pc.binary_slice(far, -3).dictionary_encode()
+    of = np.fromiter((bucket(w, v.buckets) for w in tails.dictionary.to_pylist()), np.int64, len(tails.dictionary))
+    at[beyond] = of[tails.indices.to_numpy()] + v.size
+    ends = np.cumsum(each + 1) - 1
+    inner = np.ones(len(at) + len(each), bool)
+    inner[ends] = False
+    ids = np.full(len(inner), v.end)
+    ids[inner] = at
+    return ids, ends - each, far, np.flatnonzero(inner)[beyond]
 
 
 def initial(v: Vocabulary) -> dict[str, np.ndarray]:
@@ -142,60 +164,91 @@ def initial(v: Vocabulary) -> dict[str, np.ndarray]:
     }
 
 
-def contexts(inp: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
-    """Input ids of the last and the one before for each token of a text."""
-    last = np.r_[v.start, inp[:-1]]
-    return last, np.r_[v.start, last[:-1]]
+def contexts(ids: np.ndarray, v: Vocabulary, begin: np.ndarray | int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Input ids of the last and the one before for each token of texts that begin there."""
+    last, before = np.empty_like(ids), np.empty_like(ids)
+    last[1:], last[begin] = ids[:-1], v.start
+    before[1:], before[begin] = last[:-1], v.start
+    return last, before
 
 
-def _gathered(at: np.ndarray, rows: np.ndarray):
-    """Different ids, and the sums of their rows."""
+def _gathered(at: np.ndarray, rows: np.ndarray, few: int = 4):
+    """Different ids, and the sums of their rows: of the first few rows of an id by rows at a
+    time, of more by id."""
     order = np.argsort(at)
     ranked = at[order]
-    new = np.empty(len(at), bool)
-    new[:1] = True
-    np.not_equal(ranked[1:], ranked[:-1], out=new[1:])
+    new = np.ones(len(at) + 1, bool)
+    np.not_equal(ranked[1:], ranked[:-1], out=new[1:-1])
     first = np.flatnonzero(new)
-    return ranked[first], np.add.reduceat(rows[order], first, axis=0)
-
-
-def _pull(x: np.ndarray, of: np.ndarray) -> np.ndarray:
-    """What NCE adds to a score that is `of` (1 of data, 0 of noise)."""
-    np.clip(x, -30, 30, out=x)
-    return np.float32(of) - np.float32(1) / (np.float32(1) + np.exp(-x))
+    size, first = np.diff(first), first[:-1]
+    by = np.argsort(np.minimum(size, few + 1))[::-1]
+    size, first = size[by], first[by]
+    sums = rows.take(order[first], axis=0)
+    for i in range(1, few):
+        m = np.count_nonzero(size > i)
+        sums[:m] += rows.take(order[first[:m] + i], axis=0)
+    if m := np.count_nonzero(size > few):
+        more = size[:m] - few
+        begin = np.cumsum(more) - more
+        rest = np.arange(more.sum()) + np.repeat(first[:m] + few - begin, more)
+        sums[:m] += np.add.reduceat(rows.take(order[rest], axis=0), begin, axis=0)
+    return ranked[first], sums
+
+
+def _noise(x: np.ndarray) -> np.ndarray:
+    """What NCE adds to a score of noise, in place; for one of data it is 1 more."""
+    x *= np.float32(0.5)
+    np.tanh(x, out=x)
+    x += np.float32(1)
+    x *= np.float32(-0.5)
+    return x
+
+
+def _dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.einsum("ij,ij->i", a, b)
 
 
 def _step(p, seen, v, rng, cdf, noise_log, sizes, c1, c2, target):
     """One step of noise-contrastive estimation with AdaGrad: of the class against noise that
-    all tokens share, of the output against others of its class."""
+    all tokens share, of the output against others of its class. Here outputs and classes hold
+    their bias as a last column."""
     n, k = len(target), target // v.width
     drawn = np.searchsorted(cdf, rng.random(NOISE)).clip(0, v.classes - 1)
-    near = k[:, None] * v.width + (rng.random((n, INSIDE), np.float32) * sizes[k][:, None]).astype(np.int64).clip(0, sizes[k][:, None] - 1)
-    inside_log = np.log(INSIDE / sizes[k]).astype(np.float32)
-    q1, q2 = p["q"][c1], p["q"][c2]
-    r = q1 * p["w"][0] + q2 * p["w"][1]
-    u, d, t, o = p["u"][k], p["u"][drawn], p["t"][target], p["t"][near]
-    u_pos = _pull((r * u).sum(1) + p["a"][k] - noise_log[k], 1)
-    u_neg = _pull(r @ d.T + p["a"][drawn] - noise_log[drawn], 0)
-    t_pos = _pull((r * t).sum(1) + p["b"][target] - inside_log, 1)
-    t_neg = _pull((o @ r[:, :, None])[:, :, 0] + p["b"][near] - inside_log[:, None], 0)
-    g_r = u_pos[:, None] * u
-    g_r += u_neg @ d
-    g_r += t_pos[:, None] * t
-    g_r += (t_neg[:, None, :] @ o)[:, 0]
-    with_one = np.empty((n, DIM + 1), np.float32)
-    with_one[:, :DIM], with_one[:, DIM] = r, 1
-    rows = np.empty((n, 1 + INSIDE, DIM + 1), np.float32)
-    np.multiply(with_one[:, None], np.concatenate([t_pos[:, None], t_neg], axis=1)[:, :, None], out=rows)
-    at, g = _gathered(np.concatenate([target[:, None], near], axis=1).ravel(), rows.reshape(-1, DIM + 1))
-    at_c, g_c = _gathered(np.concatenate([k, drawn]), np.concatenate([u_pos[:, None] * with_one, u_neg.T @ with_one]))
+    own = sizes.take(k)
+    outputs = np.empty((1 + INSIDE, n), np.int64)
+    outputs[0] = target
+    outputs[1:] = k * v.width + np.minimum((rng.random((INSIDE, n), np.float32) * own).astype(np.int64), own - 1)
+    q1, q2 = p["q"].take(c1, axis=0), p["q"].take(c2, axis=0)
+    r = np.empty((n, DIM + 1), np.float32)
+    r[:, :DIM], r[:, DIM] = q1 * p["w"][0] + q2 * p["w"][1], 1
+    u, d = p["u"].take(k, axis=0), p["u"].take(drawn, axis=0)
+    o = p["t"].take(outputs, axis=0)
+    u_pos = _noise(_dot(r, u) - noise_log.take(k)) + np.float32(1)
+    u_neg = _noise(r @ d.T - noise_log[drawn])
+    inside_log = np.log(INSIDE / own).astype(np.float32)
+    t = _noise(np.stack([_dot(r, x) for x in o]) - inside_log)
+    t[0] += 1
+    rows = np.empty((1 + INSIDE, n, DIM + 1), np.float32)
+    np.multiply(t[:, :, None], r, out=rows)
+    at, g = _gathered(outputs.ravel(), rows.reshape(-1, DIM + 1))
+    g_u = np.concatenate([u_pos[:, None] * r, u_neg.T @ r])
+    at_c, g_c = _gathered(np.concatenate([k, drawn]), g_u)
+    o *= t[:, :, None]
+    u *= u_pos[:, None]
+    u += u_neg @ d
+    for x in o:
+        u += x
+    g_r = u[:, :DIM]
     at_q, g_q = _gathered(np.concatenate([c1, c2]), np.concatenate([g_r * p["w"][0], g_r * p["w"][1]]))
-    every = slice(None)
-    g_w = np.stack([(g_r * q1).sum(0), (g_r * q2).sum(0)]) / n * 8
-    for name, i, x in (("t", at, g[:, :DIM]), ("b", at, g[:, DIM]), ("u", at_c, g_c[:, :DIM]), ("a", at_c, g_c[:, DIM]), ("q", at_q, g_q), ("w", every, g_w)):
-        sums = seen[name][i] + x * x
+    g_w = np.stack([np.einsum("ij,ij->j", g_r, q1), np.einsum("ij,ij->j", g_r, q2)]) / n * 8
+    for name, i, x in (("t", at, g), ("u", at_c, g_c), ("q", at_q, g_q), ("w", np.arange(2), g_w)):
+        sums = seen[name].take(i, axis=0)
+        sums += x * x
         seen[name][i] = sums
-        p[name][i] += RATE * x / np.sqrt(sums)
+        x /= np.sqrt(sums, out=sums)
+        x *= np.float32(RATE)
+        x += p[name].take(i, axis=0)
+        p[name][i] = x
 
 
 #: A row of parameters: an id's q, t and b, a class's u and a, or w.
@@ -222,6 +275,7 @@ def _trained(known):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = known.value
         p, c = initial(v), v.counts()
+        p["t"], p["u"] = np.c_[p["t"], p.pop("b")], np.c_[p["u"], p.pop("a")]
         seen = {k: np.full(x.shape, 1e-2, np.float32) for k, x in p.items()}
         share, sizes = c.sum(1) / c.sum(), (c > 0).sum(1)
         cdf, noise_log = np.cumsum(share), np.log(NOISE * share).astype(np.float32)
@@ -229,11 +283,8 @@ def _trained(known):
         uses = np.zeros(v.start + 1)
         for b in batches:
             for at in range(0, b.num_rows, DOCS):
-                held = []
-                for t in b.column(0).slice(at, DOCS).to_pylist():
-                    ids, *_ = look_up(words_of(t), v)
-                    held.append((ids, *contexts(ids, v)))
-                target, c1, c2 = (np.concatenate(x) for x in zip(*held, strict=True))
+                target, begin, *_ = look_up(b.column(0).slice(at, DOCS), v)
+                c1, c2 = contexts(target, v, begin)
                 order = rng.permutation(len(target))
                 for i in range(0, len(order), STEP):
                     o = order[i : i + STEP]
@@ -243,6 +294,7 @@ def _trained(known):
                 n += len(target)
         if n:
             weight = np.r_[uses, np.full(v.classes + 1, n)]
+            p |= {"t": p["t"][:, :DIM], "b": p["t"][:, DIM], "u": p["u"][:, :DIM], "a": p["u"][:, DIM]}
             rows = _rows(p, v)
             used = np.flatnonzero(weight)
             for i in range(0, len(used), 10_000):
@@ -274,15 +326,17 @@ def _norm(r: np.ndarray, t: np.ndarray, b: np.ndarray) -> np.ndarray:
     out = np.empty(len(r), np.float32)
     # No score is above the product of the norms and the greatest bias; that is taken off
     # inside the product, unless it is so far above that the sum might vanish.
-    high = np.sqrt((r * r).sum(1) * (t * t).sum(1).max()) + b.max()
+    high = np.sqrt(_dot(r, r) * _dot(t, t).max()) + b.max()
     outputs = np.vstack([t.T, b, np.ones(len(b), np.float32)])
-    for i in range(0, len(r), STEP):
-        part = r[i : i + STEP]
-        x = np.empty((len(part), part.shape[1] + 2), np.float32)
-        x[:, :-2], x[:, -2], x[:, -1] = part, 1, -high[i : i + STEP]
-        z = x @ outputs
-        with np.errstate(divide="ignore"):
-            out[i : i + STEP] = high[i : i + STEP] + np.log(np.exp(z, out=z).sum(1))
+    x = np.empty((len(r), r.shape[1] + 2), np.float32)
+    x[:, :-2], x[:, -2], x[:, -1] = r, 1, -high
+    one = np.ones(len(b), np.float32)
+    for i in range(0, len(r), NORMED):
+        z = x[i : i + NORMED] @ outputs
+        np.matmul(np.exp(z, out=z), one, out=out[i : i + NORMED])
+    with np.errstate(divide="ignore"):
+        np.log(out, out=out)
+    out += high
     far = np.flatnonzero(~(out > high - 60))
     for i in range(0, len(far), STEP):
         z = r[far[i : i + STEP]] @ t.T + b
@@ -297,7 +351,8 @@ def log_probabilities(p, c1: np.ndarray, c2: np.ndarray, target: np.ndarray) ->
     classes = len(p["u"])
     width = len(p["t"]) // classes
     pair, where = np.unique(c1 * len(p["q"]) + c2, return_inverse=True)
-    r = p["q"][pair // len(p["q"])] * p["w"][0] + p["q"][pair % len(p["q"])] * p["w"][1]
+    last, before = np.divmod(pair, len(p["q"]))
+    r = p["q"].take(last, axis=0) * p["w"][0] + p["q"].take(before, axis=0) * p["w"][1]
     k = target // width
     met, inside = np.unique(k * len(pair) + where, return_inverse=True)
     norm = np.empty(len(met), np.float32)
@@ -305,10 +360,10 @@ def log_probabilities(p, c1: np.ndarray, c2: np.ndarray, target: np.ndarray) ->
     for i in np.flatnonzero(np.diff(cut)):
         own = slice(cut[i], cut[i + 1])
         outs = slice(i * width, (i + 1) * width)
-        norm[own] = _norm(r[met[own] - i * len(pair)], p["t"][outs], p["b"][outs])
+        norm[own] = _norm(r.take(met[own] - i * len(pair), axis=0), p["t"][outs], p["b"][outs])
     of_class = _norm(r, p["u"], p["a"])
-    score = (r[where] * (p["u"][k] + p["t"][target])).sum(1) + p["a"][k] + p["b"][target]
-    return (score - of_class[where] - norm[inside]).astype(np.float64) / math.log(10)
+    score = _dot(r.take(where, axis=0), p["u"].take(k, axis=0) + p["t"].take(target, axis=0)) + p["a"].take(k) + p["b"].take(target)
+    return (score - of_class.take(where) - norm.take(inside)).astype(np.float64) / math.log(10)
 
 
 def _scored(known, shared):
@@ -317,36 +372,23 @@ def _scored(known, shared):
         for b in batches:
             for at in range(0, b.num_rows, DOCS):
                 part = b.slice(at, DOCS)
-                held, rows = [], []
-                far_words, far_counts, far_ends = [], [], [0]
-                for i, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    ids, count, far = look_up(words_of(t), v)
-                    held.append((ids, *contexts(ids, v)))
-                    # A far word's own count comes later; here it is left out.
-                    base = float(np.log10(count + 0.5).sum()) - len(far) * v.floor - len(ids) * v.base
-                    rare = ids[(ids >= v.size) & (ids < v.end)] - v.size
-                    rows.append((i, len(ids), int((count > 0).sum()), base, -float(v.inside[rare].sum())))
-                    each = Counter(far)
-                    far_words.extend(each)
-                    far_counts.extend(each.values())
-                    far_ends.append(len(far_words))
-                target, c1, c2 = (np.concatenate(x) for x in zip(*held, strict=True))
-                lp = log_probabilities(p, c1, c2, target)
-                ends = np.cumsum([len(h[0]) for h in held])
-                own = np.add.reduceat(lp, np.r_[0, ends[:-1]])
-                cols = list(zip(*rows, strict=True))
-                beyond = pa.StructArray.from_arrays([pa.array(far_words, pa.binary()), pa.array(far_counts, pa.int64())], ["word", "n"])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(cols[0], pa.int64()),
-                        pa.array(cols[1], pa.int64()),
-                        pa.array(cols[2], pa.int64()),
-                        pa.array(cols[3], pa.float64()),
-                        pa.array(own + np.array(cols[4]), pa.float64()),
-                        pa.ListArray.from_arrays(pa.array(far_ends, pa.int32()), beyond),
-                    ],
-                    ["doc_id", "n_tokens", "n_known", "base", "score", "far"],
-                )
+                target, begin, far, places = look_up(part.column(1), v)
+                lp = log_probabilities(p, *contexts(target, v, begin), target)
+                tokens = np.diff(np.r_[begin, len(target)])
+                # Far words' own counts come later; here they are left out.
+                base = np.add.reduceat(v.log[target], begin) - tokens * v.base
+                own = np.add.reduceat(lp - v.share[target], begin)
+                seen = np.add.reduceat(v.known[target].astype(np.int64), begin)
+                # Each text's different far words.
+                far = far.dictionary_encode()
+                kinds = max(1, len(far.dictionary))
+                text = np.searchsorted(begin, places, "right") - 1
+                met, n = np.unique(text * kinds + far.indices.to_numpy(), return_counts=True)
+                word = far.dictionary.take(pa.array(met % kinds))
+                ends = np.searchsorted(met, np.arange(part.num_rows + 1) * kinds)
+                beyond = pa.StructArray.from_arrays([word, pa.array(n, pa.int64())], ["word", "n"])
+                columns = [part.column(0), pa.array(tokens, pa.int64()), pa.array(seen, pa.int64()), pa.array(base), pa.array(own), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), beyond)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "n_known", "base", "score", "far"])
 
     return run
 
