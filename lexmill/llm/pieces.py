@@ -22,6 +22,7 @@ import functools
 import hashlib
 import heapq
 import re
+from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from itertools import chain, groupby
 
@@ -85,6 +86,12 @@ class Pairs:
             if len(s) == 1:
                 self.of_code[ord(s)] = place[s]
         level = {x: i for i, x in enumerate(sorted(set(ranks.values())))}
+        #: By rank what pairs make; -1 where several pieces have one rank.
+        self.made = np.full(len(level), -1, np.int64)
+        of = Counter(ranks[p] for p in normal)
+        for p in normal:
+            if of[ranks[p]] == 1:
+                self.made[level[ranks[p]]] = place[p]
         pairs = [(place[p[:i]] * self.number + place[p[i:]], level[ranks[p]], place[p]) for p in normal for i in range(1, len(p)) if p[:i] in place and p[i:] in place]
         bits = max(4, (8 * len(pairs)).bit_length())
         self.shift, self.last = np.uint64(64 - bits), (1 << bits) - 1
@@ -100,21 +107,22 @@ class Pairs:
     def slots(self, keys: np.ndarray) -> np.ndarray:
         return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
 
-    def find(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ranks of pairs (`none`: no piece), and what they make."""
+    def places(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Where in the table pairs are; of those that make no piece, an empty place."""
         key = left * self.number + right
         at = self.slots(key)
-        far = np.flatnonzero((self.keys[at] != key) & (self.keys[at] >= 0))
+        there = self.keys.take(at)
+        far = np.flatnonzero((there != key) & (there >= 0))
         while len(far):
             at[far] = (at[far] + 1) & self.last
             there = self.keys[at[far]]
             far = far[(there != key[far]) & (there >= 0)]
-        return np.where(self.keys[at] == key, self.ranks[at], self.none), self.both[at]
+        return at
 
     def merged(self, symbols: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Of texts of one length (a row each): rows that are done, and their last symbols."""
         rows, n = np.arange(len(symbols)), symbols.shape[1]
-        ranks = self.find(symbols[:, :-1].ravel(), symbols[:, 1:].ravel())[0].reshape(len(symbols), n - 1)
+        ranks = self.ranks.take(self.places(symbols[:, :-1].ravel(), symbols[:, 1:].ravel())).reshape(len(symbols), n - 1)
         while len(rows):
             best = ranks.argmin(1) if ranks.shape[1] else np.zeros(len(rows), np.int64)  # the leftmost
             each = np.arange(len(rows))
@@ -126,16 +134,19 @@ class Pairs:
                 if not len(rows):
                     return
             n = symbols.shape[1]
-            symbols[each, best] = self.find(symbols[each, best], symbols[each, best + 1])[1]
+            made = self.made.take(ranks[each, best])
+            if len(i := np.flatnonzero(made < 0)):
+                made[i] = self.both.take(self.places(symbols[i, best[i]], symbols[i, best[i] + 1]))
+            symbols[each, best] = made
             kept = np.ones(symbols.shape, bool)
             kept[each, best + 1] = False
             symbols = symbols[kept].reshape(len(rows), n - 1)
             kept = np.ones(ranks.shape, bool)
             kept[each, best] = False
             ranks = ranks[kept].reshape(len(rows), n - 2)
-            for near, at in ((best < n - 2, best), (best > 0, best - 1)):
-                i, j = each[near], at[near]
-                ranks[i, j] = self.find(symbols[i, j], symbols[i, j + 1])[0]
+            after, before = np.flatnonzero(best < n - 2), np.flatnonzero(best)
+            i, j = np.concatenate([after, before]), np.concatenate([best[after], best[before] - 1])
+            ranks[i, j] = self.ranks.take(self.places(symbols[i, j], symbols[i, j + 1]))
 
 
 class Vocabulary:
@@ -226,23 +237,28 @@ class Vocabulary:
         """The ids of a code point that is no piece."""
         return [self.bytes[b] for b in symbol.encode()] if self.bytes else (self.unknown,)
 
-    def merged_words(self, words: list[str]) -> dict[str, tuple[int, ...]]:
-        """The ids of words: short ones of a length together, if there are enough."""
-        out, pairs = {}, self.pairs
-        by_length: dict[int, list[str]] = {}
+    def merged_words(self, words: Iterable[str], mark: str = "") -> dict[str, tuple[int, ...]]:
+        """The ids of words, each with a mark before it: short ones of a length together, if
+        there are enough."""
+        out, pairs, begin = {}, self.pairs, len(mark)
+        by_length: dict[int, list[str]] = defaultdict(list)
         for w in words:
-            by_length.setdefault(len(w), []).append(w)
+            by_length[len(w)].append(w)
         for n, own in by_length.items():
-            if n <= SHORT and len(own) >= TOGETHER:
+            if begin + n <= SHORT and len(own) >= TOGETHER:
                 codes = np.frombuffer("".join(own).encode("utf-32-le", "surrogatepass"), np.uint32)
-                for rows, last in pairs.merged(pairs.of_code[codes].reshape(len(own), n)):
-                    ids, whole = pairs.ids[last].tolist(), pairs.whole[last].all(1)
-                    out |= zip(map(own.__getitem__, rows.tolist()), map(tuple, ids), strict=True)
-                    for i in np.flatnonzero(~whole).tolist():
+                symbols = np.empty((len(own), begin + n), np.int64)
+                symbols[:, :begin] = [pairs.of_code[ord(c)] for c in mark]
+                symbols[:, begin:] = pairs.of_code.take(codes).reshape(len(own), n)
+                for rows, last in pairs.merged(symbols):
+                    # A list for each place, of which the words' ids are made.
+                    ids = pairs.ids.take(last.T).tolist()
+                    out |= zip(map(own.__getitem__, rows.tolist()), zip(*ids, strict=True), strict=True)
+                    for i in np.unique(np.flatnonzero(~pairs.whole.take(last)) // last.shape[1]).tolist():
                         w = own[rows[i]]
-                        out[w] = self.filled(w, ids[i]) if pairs.plain else self.merged(w)
+                        out[w] = self.filled(mark + w, [x[i] for x in ids]) if pairs.plain else self.merged(mark + w)
             else:
-                out |= {w: self.merged(w) for w in own}
+                out |= {w: self.merged(mark + w) for w in own}
         return out
 
     def filled(self, word: str, ids: list[int | None]) -> tuple[int, ...]:
@@ -254,22 +270,38 @@ class Vocabulary:
         return self.encode_all([text])[0]
 
     def encode_all(self, texts: list[str]) -> list[list[int]]:
-        marked = [self.prefix + t.replace(" ", MARK) if t else "" for t in texts]
         if self.words is None:
-            return [list(self.merged(m)) if m else [] for m in marked]
-        words = [self.words.findall(m) for m in marked]
+            return [list(self.merged(self.prefix + t.replace(" ", MARK))) if t else [] for t in texts]
+        words = [self.words_of(t) for t in texts]
         if len(self.held) > HELD:
             self.older, self.held = self.held, {}
         held = self.held
-        new = [w for w in set().union(*words) if w not in held]
-        again = {w: ids for w in new if (ids := self.older.get(w))}
-        held |= again
-        held |= self.merged_words([w for w in new if w not in again] if again else new)
-        out = [list(chain.from_iterable(map(held.__getitem__, own))) for own in words]
-        for w in new:
-            if len(w) > LONGEST:
-                del held[w]
-        return out
+        # What is not remembered yet is filled in below.
+        found = [list(map(held.get, own)) for own in words]
+        gaps = [[i for i, ids in enumerate(f) if ids is None] for f in found]
+        new = {own[i] for own, at in zip(words, gaps, strict=True) for i in at}
+        again = new.intersection(self.older)
+        held |= zip(again, map(self.older.__getitem__, again), strict=True)
+        new -= again
+        marked = {w for w in new if MARK in w} if self.prefix else new
+        held |= self.merged_words(marked)
+        held |= self.merged_words(new - marked, MARK)
+        for own, f, at in zip(words, found, gaps, strict=True):
+            for i in at:
+                f[i] = held[own[i]]
+        for w in [w for w in new if len(w) > LONGEST]:
+            del held[w]
+        return [list(chain.from_iterable(f)) for f in found]
+
+    def words_of(self, text: str) -> list[str]:
+        """The words of a text. Where texts begin with a mark so do all words, and those with no
+        other are named without it: most texts are then split at their spaces."""
+        if not text:
+            return []
+        if self.prefix and "  " not in text and MARK not in text and text[0] != " " != text[-1]:
+            return text.split(" ")
+        words = self.words.findall(self.prefix + text.replace(" ", MARK))
+        return [w[1:] if len(w) > 1 and w.rfind(MARK) == 0 else w for w in words] if self.prefix else words
 
     def decode(self, ids: list[int]) -> str:
         """What pieces and bytes say, without the mark that the first piece begins with; each byte
