@@ -175,7 +175,9 @@ class Vocabulary:
                 self.bytes[int(p[3:5], 16)] = i
             shown = {2: trainer.get(44, " ⁇ ".encode()), 3: b"", 6: bytes([int(p[3:5], 16)]) if kind == 6 else b""}
             self.written.append(shown.get(kind, p.replace(MARK, " ").encode()))
-        self.digits = [str(i) for i in range(len(pieces))]
+        #: By id, in one column, for texts in batches.
+        self.shown = pa.array(self.written, pa.large_binary())
+        self.digits = pa.array([b"%d," % i for i in range(len(pieces))], pa.large_binary())
         self.words = None if any(re.search(f"[^{MARK}]{MARK}", p) for p in self.normal) else re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
         self.pairs = Pairs(self.normal, self.ranks)
         self.held: dict[str, tuple[int, ...]] = {}
@@ -313,6 +315,29 @@ class Vocabulary:
         return out[1:] if self.prefix and first in self.marked else out
 
 
+    def decode_all(self, texts: list[list[int]]) -> list[str]:
+        """`decode` of each text: the bytes of all texts are joined at once."""
+        data, ends = joined(self.shown, texts)
+        out = []
+        for ids, begin, end in zip(texts, ends, ends[1:], strict=False):
+            if not ids or not self.written[ids[0]] or self.silent and not self.silent.isdisjoint(ids):
+                out.append(self.decode(ids))
+                continue
+            said = data[begin:end].decode(errors="each_byte")
+            out.append(said[1:] if self.prefix and ids[0] in self.marked else said)
+        return out
+
+
+def joined(table: pa.Array, texts: list[list[int]]) -> tuple[bytes, list[int]]:
+    """Of texts of ids, what a table holds for each id, joined, and where texts end."""
+    at = np.cumsum([0, *map(len, texts)])
+    if not at[-1]:
+        return b"", at.tolist()
+    made = table.take(pa.array(np.fromiter(chain.from_iterable(texts), np.int32, at[-1])))
+    _, ends, data = made.buffers()
+    return data.to_pybytes() if data else b"", np.frombuffer(ends, np.int64, len(made) + 1)[at].tolist()
+
+
 @functools.lru_cache(maxsize=2)
 def vocabulary(path: str) -> Vocabulary:
     """One for each worker and file."""
@@ -334,7 +359,7 @@ def encoded(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
         for batch in (part for whole in batches for part in slices(whole, at)):
             texts = [t or "" for t in batch.column(at).to_pylist()]
             ids = v.encode_all(texts)
-            decoded = [v.decode(i) for i in ids]
+            decoded = v.decode_all(ids)
             theirs = ((v.library.encode(t), t) for t in texts)
             agrees = [i == e and d == v.library.decode(e) for i, d, (e, _) in zip(ids, decoded, theirs, strict=True)]
             more = [pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string()), pa.array(agrees, pa.bool_())]
@@ -355,9 +380,12 @@ def encoding_digests(docs: DataFrame, path: str, text: str = "text", doc_id: str
         for batch in (part for whole in batches for part in slices(whole, 1)):
             rows = []
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            for t, ids in zip(texts, v.encode_all(texts), strict=True):
-                decoded, theirs = v.decode(ids), v.library.encode(t)
-                rows.append((len(ids), _sha(",".join(map(v.digits.__getitem__, ids))), _sha(decoded), ids == theirs and decoded == v.library.decode(theirs)))
+            every = v.encode_all(texts)
+            data, ends = joined(v.digits, every)
+            for t, ids, decoded, begin, end in zip(texts, every, v.decode_all(every), ends, ends[1:], strict=False):
+                theirs = v.library.encode(t)
+                digits = data[begin : max(begin, end - 1)]  # without the last comma
+                rows.append((len(ids), hashlib.sha256(digits).hexdigest(), _sha(decoded), ids == theirs and decoded == v.library.decode(theirs)))
             columns = zip(*rows, strict=True) if rows else ([], [], [], [])
             types = (pa.int64(), pa.string(), pa.string(), pa.bool_())
             made = [pa.array(c, k) for c, k in zip(columns, types, strict=True)]

@@ -1,5 +1,7 @@
-"""Words are named without their mark, and what a pair makes is known from its rank."""
+"""Words are named without their mark, what a pair makes is known from its rank, and texts of a
+batch are joined together."""
 
+import hashlib
 import random
 
 import public_tokenizers
@@ -59,3 +61,29 @@ def test_a_round_of_merges_looks_pairs_up_once():
     v.pairs = pieces.Pairs(v.normal, v.ranks)
     assert (v.pairs.made < 0).any()
     assert v.merged_words(words, MARK) == {w: v.merged(MARK + w) for w in words} != want
+
+
+def test_texts_of_a_batch_are_decoded_together():
+    v = pieces.Vocabulary(MODEL)
+    rng = random.Random(11)
+    special = [v.unknown, *v.silent, *v.bytes.values(), *(v.normal[p] for p in (MARK, MARK + "the", "e"))]
+    texts = [[rng.choice(special) if rng.random() < 0.6 else rng.randrange(len(v.written)) for _ in range(rng.randrange(9))] for _ in range(3000)]
+    for part in (texts, [[]], [[], []], [], [[*v.silent]], [[], [v.unknown], []]):
+        assert v.decode_all(part) == [v.decode(ids) for ids in part] == [v.library.decode(ids) if ids else "" for ids in part]
+    # Texts without control ids are not decoded one by one.
+    plain = [v.encode(t) for t in odd_texts(rng) if t]
+    want = [v.decode(ids) for ids in plain]
+    v.decode = None
+    assert v.decode_all(plain) == want
+
+
+def test_digests_of_odd_texts(spark):
+    texts = [None, "", " ", "a", "the  end ", "x\ny", "q" * 500, *odd_texts(random.Random(12))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    library = pieces.Vocabulary(MODEL).library
+    for rows in (pieces.encoding_digests(docs, MODEL).collect(), pieces.encoding_digests(docs.where("doc_id < 2"), MODEL).collect()):
+        for r in rows:
+            ids = library.encode(texts[r.doc_id] or "")
+            assert (r.n_tokens, r.ids_sha256, r.decoded_sha256, r.agrees) == (len(ids), sha(",".join(map(str, ids))), sha(library.decode(ids) if ids else ""), True)
+    assert len(rows) == 2
