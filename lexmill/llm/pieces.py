@@ -4,8 +4,9 @@ A text is a list of symbols, one a code point. An agenda holds every two adjacen
 that make a piece of the vocabulary; the pair of the best score, and of such the leftmost,
 is merged, and the pairs with its new neighbours join the agenda. What is no piece in the
 end is spelt in bytes. Where no piece of the vocabulary goes on past a word's end, no merge
-crosses one either: words are then merged apart and remembered, so a text costs one look-up a word.
-New words of one length are merged together, a pair of each at a time: the agenda is a row of ranks.
+crosses one either: words are then merged apart. The texts of a batch are numbers of its different
+words, each of which is merged once. Words of one length are merged together, a pair of each at a
+time: the agenda is a column of ranks. Long and few ones are merged one by one and remembered.
 
 Texts are encoded in Arrow batches, whole, and inside the same batches compared with what
 the sentencepiece library makes of them: `agrees` says for each text whether ids and decoded
@@ -24,7 +25,7 @@ import heapq
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
-from itertools import chain, groupby
+from itertools import chain, groupby, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -35,13 +36,15 @@ from .common import free, slices
 
 #: White space in pieces.
 MARK = "▁"
-#: Words that a worker remembers, twice over, of at most `LONGEST` code points: when the newer
-#: half is full it becomes the older one, from which words that are met again come back.
+#: Words merged one by one that a worker remembers, twice over, of at most `LONGEST` code points:
+#: when the newer half is full it becomes the older one, from which words that are met again come back.
 HELD, LONGEST = 400_000, 64
 #: Code points of a short text; above all scores.
 SHORT, NONE = 32, float("inf")
-#: Fewer words than these are merged one by one.
-TOGETHER = 24
+#: Bits of a place in a short text, with one before its first and one after its last.
+BITS = 6
+#: Fewer words than these are merged one by one; more than those in turns.
+TOGETHER, AT_ONCE = 24, 4096
 
 codecs.register_error("each_byte", lambda e: ("�", e.start + 1))
 
@@ -76,11 +79,8 @@ class Pairs:
         place = {s: i for i, s in enumerate(symbols)}
         self.other = len(symbols)  # any code point that is in no piece
         self.number = self.other + 1
-        #: By symbol, its id (None: no piece); by code point, its symbol.
-        self.ids = np.array([*map(normal.get, symbols), None], object)
-        self.whole = np.array([s in normal for s in symbols] + [False])
-        #: Every code point of a piece is a piece, too.
-        self.plain = bool(self.whole[:-1].all())
+        #: By symbol, its id (-1: no piece); by code point, its symbol.
+        self.ids = np.array([*(normal.get(s, -1) for s in symbols), -1], np.int32)
         self.of_code = np.full(0x110000, self.other, np.int64)
         for s in symbols:
             if len(s) == 1:
@@ -119,34 +119,76 @@ class Pairs:
             far = far[(there != key[far]) & (there >= 0)]
         return at
 
-    def merged(self, symbols: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Of texts of one length (a row each): rows that are done, and their last symbols."""
-        rows, n = np.arange(len(symbols)), symbols.shape[1]
-        ranks = self.ranks.take(self.places(symbols[:, :-1].ravel(), symbols[:, 1:].ravel())).reshape(len(symbols), n - 1)
-        while len(rows):
-            best = ranks.argmin(1) if ranks.shape[1] else np.zeros(len(rows), np.int64)  # the leftmost
-            each = np.arange(len(rows))
-            live = ranks[each, best] < self.none if ranks.shape[1] else np.zeros(len(rows), bool)
-            if not live.all():
-                yield rows[~live], symbols[~live]
-                rows, symbols, ranks, best = rows[live], symbols[live], ranks[live], best[live]
-                each = each[: len(rows)]
-                if not len(rows):
-                    return
-            n = symbols.shape[1]
-            made = self.made.take(ranks[each, best])
+    def merged(self, symbols: np.ndarray) -> np.ndarray:
+        """Of texts of one length (a column each), the last symbols: each stays where it begins,
+        and other places hold -1."""
+        n, many = symbols.shape
+        # At both ends a symbol that is in no pair.
+        at = np.full((n + 2, many), self.other, np.int64)
+        at[1:-1] = symbols
+        place = np.arange(n + 2, dtype=np.int32)[:, None]
+        before, after = (np.repeat(place + x, many, 1).ravel() for x in (-1, 1))
+        # By place the rank of the pair that begins there, with the place in the last bits: the
+        # least is the best pair, and of such the leftmost.
+        agenda = self.ranks.take(self.places(at[:-1].ravel(), at[1:].ravel())).reshape(n + 1, many) << BITS | place[:-1]
+        at, ranks, none = at.ravel(), agenda.ravel(), self.none << BITS
+        while True:
+            best = agenda.min(0)
+            live = np.flatnonzero(best < none)
+            if not len(live):
+                return at.reshape(n + 2, many)[1:-1]
+            best = best[live]
+            left = (best & (1 << BITS) - 1) * many + live
+            right = after.take(left) * many + live
+            first, last = before.take(left), after.take(right)
+            made = self.made.take(best >> BITS)
             if len(i := np.flatnonzero(made < 0)):
-                made[i] = self.both.take(self.places(symbols[i, best[i]], symbols[i, best[i] + 1]))
-            symbols[each, best] = made
-            kept = np.ones(symbols.shape, bool)
-            kept[each, best + 1] = False
-            symbols = symbols[kept].reshape(len(rows), n - 1)
-            kept = np.ones(ranks.shape, bool)
-            kept[each, best] = False
-            ranks = ranks[kept].reshape(len(rows), n - 2)
-            after, before = np.flatnonzero(best < n - 2), np.flatnonzero(best)
-            i, j = np.concatenate([after, before]), np.concatenate([best[after], best[before] - 1])
-            ranks[i, j] = self.ranks.take(self.places(symbols[i, j], symbols[i, j + 1]))
+                made[i] = self.both.take(self.places(at[left[i]], at[right[i]]))
+            at[left], at[right], ranks[right] = made, -1, none
+            after[left], before[last * many + live] = last, best & (1 << BITS) - 1
+            pairs = self.places(np.concatenate([at.take(first * many + live), made]), np.concatenate([made, at.take(last * many + live)]))
+            new = self.ranks.take(pairs) << BITS
+            ranks[first * many + live] = new[: len(live)] | first
+            ranks[left] = new[len(live) :] | best & (1 << BITS) - 1
+
+
+def flat(texts: list[Iterable[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of some texts, and where each text's end."""
+    return np.fromiter(chain.from_iterable(texts), np.int32), np.cumsum([0, *map(len, texts)])
+
+
+class Batch:
+    """Ids of the texts of a batch: those of its different words with where each word's end, the
+    numbers of the words that texts have, and how many each text has."""
+
+    def __init__(self, ids: np.ndarray, ends: np.ndarray, words: np.ndarray, counts: list[int]) -> None:
+        self.ids, self.ends, self.words, self.counts = ids, ends, pa.array(words), np.cumsum([0, *counts])
+
+    @classmethod
+    def of_lists(cls, texts: list[Iterable[int]]) -> Batch:
+        """Texts that are a word each."""
+        return cls(*flat(texts), np.arange(len(texts)), [1] * len(texts))
+
+    def laid(self, data: pa.Buffer, ends: np.ndarray) -> tuple[pa.Buffer, np.ndarray]:
+        """The bytes of different words, put where texts have these; where texts end."""
+        each = pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends), data])
+        made = each.take(self.words)
+        _, ends, data = made.buffers()
+        return data or pa.py_buffer(b""), np.frombuffer(ends, np.int64, len(made) + 1)[self.counts] if len(made) else 0 * self.counts
+
+    def joined(self, table: pa.Array) -> tuple[bytes, list[int]]:
+        """What a table holds for each id, joined, and where texts end."""
+        data, ends = self.laid(*taken(table, self.ids, self.ends))
+        return data.to_pybytes(), ends.tolist()
+
+    def numbers(self) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, and where each text's end."""
+        data, ends = self.laid(pa.py_buffer(self.ids), 4 * self.ends)
+        return np.frombuffer(data, np.int32, ends[-1] // 4), ends // 4
+
+    def texts(self) -> list[np.ndarray]:
+        ids, ends = self.numbers()
+        return [ids[i:j] for i, j in pairwise(ends.tolist())]
 
 
 class Vocabulary:
@@ -178,6 +220,8 @@ class Vocabulary:
         #: By id, in one column, for texts in batches.
         self.shown = pa.array(self.written, pa.large_binary())
         self.digits = pa.array([b"%d," % i for i in range(len(pieces))], pa.large_binary())
+        #: By byte, its id.
+        self.of_byte = np.array([self.bytes.get(b, self.unknown) for b in range(256)], np.int32)
         self.words = None if any(re.search(f"[^{MARK}]{MARK}", p) for p in self.normal) else re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
         self.pairs = Pairs(self.normal, self.ranks)
         self.held: dict[str, tuple[int, ...]] = {}
@@ -240,70 +284,96 @@ class Vocabulary:
         return [self.bytes[b] for b in symbol.encode()] if self.bytes else (self.unknown,)
 
     def merged_words(self, words: Iterable[str], mark: str = "") -> dict[str, tuple[int, ...]]:
-        """The ids of words, each with a mark before it: short ones of a length together, if
-        there are enough."""
-        out, pairs, begin = {}, self.pairs, len(mark)
-        by_length: dict[int, list[str]] = defaultdict(list)
-        for w in words:
-            by_length[len(w)].append(w)
-        for n, own in by_length.items():
-            if begin + n <= SHORT and len(own) >= TOGETHER:
-                codes = np.frombuffer("".join(own).encode("utf-32-le", "surrogatepass"), np.uint32)
-                symbols = np.empty((len(own), begin + n), np.int64)
-                symbols[:, :begin] = [pairs.of_code[ord(c)] for c in mark]
-                symbols[:, begin:] = pairs.of_code.take(codes).reshape(len(own), n)
-                for rows, last in pairs.merged(symbols):
-                    # A list for each place, of which the words' ids are made.
-                    ids = pairs.ids.take(last.T).tolist()
-                    out |= zip(map(own.__getitem__, rows.tolist()), zip(*ids, strict=True), strict=True)
-                    for i in np.unique(np.flatnonzero(~pairs.whole.take(last)) // last.shape[1]).tolist():
-                        w = own[rows[i]]
-                        out[w] = self.filled(mark + w, [x[i] for x in ids]) if pairs.plain else self.merged(mark + w)
-            else:
-                out |= {w: self.merged(mark + w) for w in own}
-        return out
-
-    def filled(self, word: str, ids: list[int | None]) -> tuple[int, ...]:
-        """`ids` with what is no piece spelt: code points, in the order in which a word has them."""
-        alone = (c for c in word if c not in self.normal)
-        return tuple(chain.from_iterable((i,) if i is not None else self.spelt(next(alone)) for i in ids))
+        """The ids of words, each with a mark before it."""
+        words = list(words)
+        ids, ends, number = self.merged_different(pa.array([mark + w for w in words], pa.large_string()))
+        return {w: tuple(ids[ends[i] : ends[i + 1]].tolist()) for w, i in zip(words, number.tolist(), strict=True)}
+
+    def merged_different(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All ids of different words, in an order of its own, where each word's end, and the place
+        of each word in that order: short words of a length are merged together, if there are enough."""
+        import pyarrow.compute as pc  # in workers only: the driver needs none of it
+
+        length = pc.utf8_length(words).to_numpy(zero_copy_only=False)
+        length = np.where(length > SHORT, 0, length)
+        length[np.bincount(length)[length] < TOGETHER if len(length) else []] = 0
+        order = np.argsort(length, kind="stable")
+        alone = np.count_nonzero(length == 0)
+        if len(self.held) > HELD:
+            self.older, self.held = self.held, {}
+        ids, ends = flat([self.remembered(w) for w in words.take(pa.array(order[:alone])).to_pylist()])
+        parts, sizes = [ids], [np.diff(ends)]
+        letters = words.take(pa.array(order[alone:])).buffers()[2]
+        codes = np.frombuffer((letters.to_pybytes() if letters else b"").decode().encode("utf-32-le"), np.uint32)
+        for n, many in zip(*np.unique(length[order[alone:]], return_counts=True), strict=True):
+            own, codes = np.split(codes, [n * many])
+            for i in range(0, many, AT_ONCE):
+                ids, size = self.merged_codes(own.reshape(many, n)[i : i + AT_ONCE])
+                parts.append(ids)
+                sizes.append(size)
+        number = np.empty(len(order), np.int32)
+        number[order] = np.arange(len(order))
+        return np.concatenate(parts), np.cumsum(np.concatenate([[0], *sizes])), number
+
+    def remembered(self, word: str) -> tuple[int, ...]:
+        ids = self.held.get(word) or self.older.get(word) or self.merged(word)
+        if len(word) <= LONGEST:
+            self.held[word] = ids
+        return ids
+
+    def merged_codes(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of texts of one length, each a row of code points, all ids, and how many each has."""
+        last = self.pairs.merged(self.pairs.of_code.take(codes.T)).T
+        kept = last >= 0
+        ids, sizes = self.pairs.ids.take(last[kept]), kept.sum(1)
+        # Code points that are no piece are spelt: they are where the texts have them.
+        if len(odd := np.flatnonzero(ids < 0)):
+            spelt = codes[kept][odd]
+            if not self.bytes:
+                ids[odd] = self.unknown
+                return ids, sizes
+            each = np.ones(len(ids), np.int64)
+            each[odd] += sum((spelt > most).astype(np.int64) for most in (0x7F, 0x7FF, 0xFFFF))
+            sizes = np.add.reduceat(each, np.cumsum(sizes) - sizes)
+            ids = np.repeat(ids, each)
+            ids[ids < 0] = self.of_byte.take(np.frombuffer(spelt.tobytes().decode("utf-32-le").encode(), np.uint8))
+        return ids, sizes
 
     def encode(self, text: str) -> list[int]:
         return self.encode_all([text])[0]
 
     def encode_all(self, texts: list[str]) -> list[list[int]]:
+        return [ids.tolist() for ids in self.encode_batch(texts).texts()]
+
+    def encode_batch(self, texts: list[str]) -> Batch:
+        import pyarrow.compute as pc  # in workers only, as above
+
         if self.words is None:
-            return [list(self.merged(self.prefix + t.replace(" ", MARK))) if t else [] for t in texts]
-        words = [self.words_of(t) for t in texts]
-        if len(self.held) > HELD:
-            self.older, self.held = self.held, {}
-        held = self.held
-        # What is not remembered yet is filled in below.
-        found = [list(map(held.get, own)) for own in words]
-        gaps = [[i for i, ids in enumerate(f) if ids is None] for f in found]
-        new = {own[i] for own, at in zip(words, gaps, strict=True) for i in at}
-        again = new.intersection(self.older)
-        held |= zip(again, map(self.older.__getitem__, again), strict=True)
-        new -= again
-        marked = {w for w in new if MARK in w} if self.prefix else new
-        held |= self.merged_words(marked)
-        held |= self.merged_words(new - marked, MARK)
-        for own, f, at in zip(words, found, gaps, strict=True):
-            for i in at:
-                f[i] = held[own[i]]
-        for w in [w for w in new if len(w) > LONGEST]:
-            del held[w]
-        return [list(chain.from_iterable(f)) for f in found]
+            return Batch.of_lists([self.merged(self.prefix + t.replace(" ", MARK)) if t else () for t in texts])
+        spaced = [self.spaced(t) for t in texts]
+        every = pa.array([" ".join(t for t in spaced if t)] if any(spaced) else [], pa.large_string())
+        every = pc.split_pattern(every, " ").flatten().dictionary_encode()
+        words = every.dictionary
+        if self.prefix:
+            words = pc.if_else(pc.match_substring(words, MARK), words, pc.binary_join_element_wise(pa.scalar(MARK, words.type), words, pa.scalar("", words.type)))
+        ids, ends, number = self.merged_different(words)
+        return Batch(ids, ends, number.take(every.indices.to_numpy()), [t.count(" ") + 1 if t else 0 for t in spaced])
+
+    def agree(self, texts: list[str], ids: list[np.ndarray], decoded: list[str]) -> list[bool]:
+        """Of each text, whether the library makes the same ids of it, and the same text of them."""
+        theirs = ((self.library.encode(t, return_type="numpy"), i, d) for t, i, d in zip(texts, ids, decoded, strict=True))
+        return [np.array_equal(e, i) and d == self.library.decode(e) for e, i, d in theirs]
 
     def words_of(self, text: str) -> list[str]:
-        """The words of a text. Where texts begin with a mark so do all words, and those with no
-        other are named without it: most texts are then split at their spaces."""
-        if not text:
-            return []
-        if self.prefix and "  " not in text and MARK not in text and text[0] != " " != text[-1]:
-            return text.split(" ")
+        return self.spaced(text).split(" ") if text else []
+
+    def spaced(self, text: str) -> str:
+        """The words of a text, with one space between them. Where texts begin with a mark so do all
+        words, and those with no other are named without it: most texts are then as they are."""
+        if not text or self.prefix and "  " not in text and MARK not in text and text[0] != " " != text[-1]:
+            return text
         words = self.words.findall(self.prefix + text.replace(" ", MARK))
-        return [w[1:] if len(w) > 1 and w.rfind(MARK) == 0 else w for w in words] if self.prefix else words
+        return " ".join([w[1:] if len(w) > 1 and w.rfind(MARK) == 0 else w for w in words] if self.prefix else words)
 
     def decode(self, ids: list[int]) -> str:
         """What pieces and bytes say, without the mark that the first piece begins with; each byte
@@ -314,28 +384,28 @@ class Vocabulary:
         first = next((i for i in ids if self.written[i]), None)
         return out[1:] if self.prefix and first in self.marked else out
 
-
     def decode_all(self, texts: list[list[int]]) -> list[str]:
         """`decode` of each text: the bytes of all texts are joined at once."""
-        data, ends = joined(self.shown, texts)
-        out = []
-        for ids, begin, end in zip(texts, ends, ends[1:], strict=False):
-            if not ids or not self.written[ids[0]] or self.silent and not self.silent.isdisjoint(ids):
-                out.append(self.decode(ids))
+        return self.decode_batch(Batch.of_lists(texts))
+
+    def decode_batch(self, batch: Batch) -> list[str]:
+        data, ends = batch.joined(self.shown)
+        out, silent = [], not self.silent.isdisjoint(np.unique(batch.ids).tolist())
+        for ids, begin, end in zip(batch.texts(), ends, ends[1:], strict=False):
+            if not len(ids) or silent or not self.written[ids[0]]:
+                out.append(self.decode(ids.tolist()))
                 continue
             said = data[begin:end].decode(errors="each_byte")
             out.append(said[1:] if self.prefix and ids[0] in self.marked else said)
         return out
 
 
-def joined(table: pa.Array, texts: list[list[int]]) -> tuple[bytes, list[int]]:
-    """Of texts of ids, what a table holds for each id, joined, and where texts end."""
-    at = np.cumsum([0, *map(len, texts)])
-    if not at[-1]:
-        return b"", at.tolist()
-    made = table.take(pa.array(np.fromiter(chain.from_iterable(texts), np.int32, at[-1])))
-    _, ends, data = made.buffers()
-    return data.to_pybytes() if data else b"", np.frombuffer(ends, np.int64, len(made) + 1)[at].tolist()
+def taken(table: pa.Array, ids: np.ndarray, ends: np.ndarray) -> tuple[pa.Buffer, np.ndarray]:
+    """What a table holds for each id, joined, and where what ends of `ends` ends in that."""
+    if not len(ids):
+        return pa.py_buffer(b""), ends
+    _, at, data = table.take(pa.array(ids)).buffers()
+    return data or pa.py_buffer(b""), np.frombuffer(at, np.int64, len(ids) + 1)[ends]
 
 
 @functools.lru_cache(maxsize=2)
@@ -358,11 +428,11 @@ def encoded(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
         v = vocabulary(path)
         for batch in (part for whole in batches for part in slices(whole, at)):
             texts = [t or "" for t in batch.column(at).to_pylist()]
-            ids = v.encode_all(texts)
-            decoded = v.decode_all(ids)
-            theirs = ((v.library.encode(t), t) for t in texts)
-            agrees = [i == e and d == v.library.decode(e) for i, d, (e, _) in zip(ids, decoded, theirs, strict=True)]
-            more = [pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string()), pa.array(agrees, pa.bool_())]
+            ours = v.encode_batch(texts)
+            decoded, (ids, ends) = v.decode_batch(ours), ours.numbers()
+            agrees = v.agree(texts, ours.texts(), decoded)
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
+            more = [lists, pa.array(decoded, pa.string()), pa.array(agrees, pa.bool_())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=every)
 
     kinds = (T.ArrayType(T.IntegerType()), T.StringType(), T.BooleanType())
@@ -378,15 +448,13 @@ def encoding_digests(docs: DataFrame, path: str, text: str = "text", doc_id: str
     def run(batches):
         v = vocabulary(path)
         for batch in (part for whole in batches for part in slices(whole, 1)):
-            rows = []
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            every = v.encode_all(texts)
-            data, ends = joined(v.digits, every)
-            for t, ids, decoded, begin, end in zip(texts, every, v.decode_all(every), ends, ends[1:], strict=False):
-                theirs = v.library.encode(t)
-                digits = data[begin : max(begin, end - 1)]  # without the last comma
-                rows.append((len(ids), hashlib.sha256(digits).hexdigest(), _sha(decoded), ids == theirs and decoded == v.library.decode(theirs)))
-            columns = zip(*rows, strict=True) if rows else ([], [], [], [])
+            ours = v.encode_batch(texts)
+            decoded, each = v.decode_batch(ours), ours.texts()
+            data, ends = ours.joined(v.digits)
+            # Without the last comma.
+            digits = [hashlib.sha256(data[begin : max(begin, end - 1)]).hexdigest() for begin, end in pairwise(ends)]
+            columns = [*map(len, each)], digits, [*map(_sha, decoded)], v.agree(texts, each, decoded)
             types = (pa.int64(), pa.string(), pa.string(), pa.bool_())
             made = [pa.array(c, k) for c, k in zip(columns, types, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *made], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "agrees"])
