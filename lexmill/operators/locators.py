@@ -17,6 +17,12 @@ LEAST_EXTENT, MOST_HEIGHT = 0.5, 0.25
 LINE_REACH, MARK_REACH, BAND = 0.004, 0.006, 4
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """Rows that a join deals out by its keys. Lines and boxes are often made by `explode`, whose
+    rows Spark doesn't count when it takes a side for small enough to be broadcast."""
+    return rows.hint("merge")
+
+
 def selection_bands(parts: DataFrame, pages: DataFrame) -> DataFrame:
     """doc_id, page, top, bottom: what a selection covers of each page. `parts` has (doc_id,
     x, y, width, height), `pages` (doc_id, page, left, top, right, bottom), in one frame of
@@ -25,7 +31,7 @@ def selection_bands(parts: DataFrame, pages: DataFrame) -> DataFrame:
     box = pages.select(F.col("doc_id").alias("of"), "page", *[F.col(c).alias(f"p_{c}") for c in ("left", "top", "right", "bottom")])
     middle_x, middle_y = F.col("x") + F.col("width") / 2, F.col("y") + F.col("height") / 2
     inside = middle_x.between(F.col("p_left"), F.col("p_right")) & middle_y.between(F.col("p_top"), F.col("p_bottom"))
-    hit = p.select("doc_id", "part", "x", "y", "width", "height").distinct().join(box, (F.col("doc_id") == F.col("of")) & inside)
+    hit = p.select("doc_id", "part", "x", "y", "width", "height").distinct().join(dealt(box), (F.col("doc_id") == F.col("of")) & inside)
     hit = hit.groupBy("doc_id", "part").agg(F.min(F.struct("page", "p_top", "p_bottom")).alias("on")).select("doc_id", "part.*", "on.*")
     tall = F.col("p_bottom") - F.col("p_top")
     hit = hit.where((tall > 0) & (F.col("height") <= tall * MOST_HEIGHT))
@@ -41,8 +47,8 @@ def line_places(bands: DataFrame, lines: DataFrame, offsets: DataFrame) -> DataF
     and the numbers of the line rows (doc_id, page, num, y0, y1) that a band touches."""
     row = lines.select(F.col("doc_id").alias("of"), F.col("page").alias("on"), "num", "y0", "y1")
     near = (F.col("doc_id") == F.col("of")) & (F.col("page") == F.col("on")) & (F.col("y1") >= F.col("top") - LINE_REACH) & (F.col("y0") <= F.col("bottom") + LINE_REACH)
-    per = bands.join(row, near, "left").groupBy("doc_id", "page").agg(F.min("num").alias("low"), F.max("num").alias("high"))
-    per = per.join(offsets.select("doc_id", "offset"), "doc_id", "left").withColumn("printed", (F.col("page") + F.coalesce("offset", F.lit(0))).cast("string"))
+    per = bands.join(dealt(row), near, "left").groupBy("doc_id", "page").agg(F.min("num").alias("low"), F.max("num").alias("high"))
+    per = per.join(dealt(offsets.select("doc_id", "offset")), "doc_id", "left").withColumn("printed", (F.col("page") + F.coalesce("offset", F.lit(0))).cast("string"))
     ends = per.groupBy("doc_id").agg(F.min(F.struct("page", "printed", "low", "high")).alias("a"), F.max(F.struct("page", "printed", "low", "high")).alias("z"), F.count("low").alias("numbered"))
     a, z = F.col("a.printed"), F.col("z.printed")
     first = F.concat_ws(":", a, F.col("a.low").cast("string"))
@@ -58,7 +64,7 @@ def paragraph_places(bands: DataFrame, marks: DataFrame) -> DataFrame:
     """doc_id, kind, place: `¶¶ 3-5`, for documents with three numbered paragraphs or more.
     `marks` has (doc_id, page, y, num, seq); the last mark at or above a position counts."""
     ends = bands.groupBy("doc_id").agg(F.min(F.struct("page", "top")).alias("a"), F.max(F.struct("page", "bottom")).alias("z"))
-    rows = marks.join(ends, "doc_id")
+    rows = marks.join(dealt(ends), "doc_id")
 
     def above(page: str, y: str) -> Column:
         return (F.col("page") < F.col(page)) | ((F.col("page") == F.col(page)) & (F.col("y") <= F.col(y) + MARK_REACH))
@@ -78,7 +84,7 @@ def paragraph_places(bands: DataFrame, marks: DataFrame) -> DataFrame:
 def places(bands: DataFrame, lines: DataFrame, marks: DataFrame, offsets: DataFrame) -> DataFrame:
     """doc_id, kind, place: paragraphs where a document numbers them, else pages and lines."""
     para = paragraph_places(bands, marks)
-    other = line_places(bands, lines, offsets).join(para.select("doc_id"), "doc_id", "left_anti")
+    other = line_places(bands, lines, offsets).join(dealt(para.select("doc_id")), "doc_id", "left_anti")
     return para.unionByName(other)
 
 
@@ -95,7 +101,7 @@ def selected_text(glyphs: DataFrame, boxes: DataFrame) -> DataFrame:
     box = boxes.select(F.col("doc_id").alias("of"), "left", "top", "right", "bottom")
     middle_x, middle_y = F.col("x") + F.col("width") / 2, F.col("y") + F.col("height") / 2
     inside = (F.col("width") > 0) & (F.col("height") > 0) & middle_x.between(F.col("left"), F.col("right")) & middle_y.between(F.col("top"), F.col("bottom"))
-    rows = glyphs.join(box, (F.col("doc_id") == F.col("of")) & inside)
+    rows = glyphs.join(dealt(box), (F.col("doc_id") == F.col("of")) & inside)
     by_span = Window.partitionBy("doc_id", "span").orderBy("place")
     rows = rows.withColumn("new", F.coalesce((F.col("place") - F.lag("place").over(by_span) > 1).cast("int"), F.lit(1)))
     rows = rows.withColumn("run", F.sum("new").over(by_span))
