@@ -117,7 +117,8 @@ _SECTION = r"\d+(?:\.\d+)?[a-z]?(?:\([a-z0-9]+\))*"
 DISTINCTIVE = (
     rf"§§?\s*{_SECTION}(?:\s*,\s*{_SECTION})?",
     rf"sections?\s+{_SECTION}",
-    r"\d{1,4}\s+(?:Cal|U\.S|F|S\.\s*Ct|L\.\s*Ed|P|A|N\.[YEW]|S\.[EW]|So)\.?(?:\s*(?:App|Rptr|Supp|2d|3d|4th|5th))*\.?\s*\d{1,5}",
+    # A volume's number is taken whole, however long.
+    r"(?<!\d)\d++\s+(?:Cal|U\.S|F|S\.\s*Ct|L\.\s*Ed|P|A|N\.[YEW]|S\.[EW]|So)\.?(?:\s*(?:App|Rptr|Supp|2d|3d|4th|5th))*\.?\s*\d{1,5}",
     r"\d{4}\s+(?:WL|U\.S\.\s*Dist\.\s*LEXIS)\s+\d{4,8}",
     r"rules?\s+\d+(?:\.\d+)*(?:\([a-z0-9]+\))*",
     rf"\d+\s+U\.\s*S\.\s*C\.[^a-z]*§§?\s*{_SECTION}",
