@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -61,11 +64,18 @@ def parts_of(text: Column, pattern: str, groups: int) -> Column:
     return let(F.split(said, PART, -1), lambda p: F.when(F.size(p) > 1, p))
 
 
-def found(text: Column, pattern: str, groups: int = 0, need: str | None = None, clean: bool = False) -> Column:
+def holds(text: Column, need: str | tuple[str, ...]) -> Column:
+    """Whether a text has a match of a pattern, or any of several strings."""
+    if isinstance(need, str):
+        return text.rlike(need)
+    return reduce(or_, (F.contains(text, F.lit(n)) for n in need))
+
+
+def found(text: Column, pattern: str, groups: int = 0, need: str | tuple[str, ...] | None = None, clean: bool = False) -> Column:
     """Matches of a pattern that never matches empty, in order: array of (start, stop,
     g0, ..., g<groups>), offsets in code points; groups that took no part are empty. One pass
     marks the matches and names their groups; what lies between the marks gives the places.
-    Texts without `need`, a cheaper pattern, are not searched; a `clean` text is unmarked."""
+    Texts without `need` (see `holds`) are not searched; a `clean` text is unmarked."""
     kind = "array<struct<start:bigint,stop:bigint," + ",".join(f"g{k}:string" for k in range(groups + 1)) + ">>"
     none = F.array().cast(kind)
     marked = F.regexp_replace(text if clean else unmarked(text), pattern, MARK + PART.join(f"${k}" for k in range(groups + 1)) + MARK)
@@ -86,5 +96,5 @@ def found(text: Column, pattern: str, groups: int = 0, need: str | None = None,
 
     some = let(marked, lambda m: F.when(F.contains(m, F.lit(MARK)), let(F.split(m, MARK, -1), spans)).otherwise(none))
     if need is not None:
-        some = F.when(text.rlike(need), some)
+        some = F.when(holds(text, need), some)
     return F.coalesce(some, none)

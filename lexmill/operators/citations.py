@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import tables as t
-from ..functions.arrays import found, parts_of
+from ..functions.arrays import found, let, parts_of
 from ..functions.names import name_start, unwrapped
 from ..functions.storage import stored
 
@@ -32,22 +32,24 @@ def trimmed(s: Column) -> Column:
     return F.regexp_replace(s, t.java(r"^\s+|\s+$"), "")
 
 
-#: The detectors' patterns, their numbers of groups, and what a text must hold for them.
+#: The detectors' patterns, their numbers of groups, and what a text must hold for them: a
+#: pattern, or any of several strings.
 PATTERNS = {
-    "non_v": (t.NON_V_CASE, 13, "In [Rr][Ee]|IN RE|(?:Estate|ship|Adoption|Marriage) of"),
-    "cases": (t.CASES, 9, "Cases"),
-    "uniform": (t.UNIFORM, 1, "(?i)§|sec"),
+    "non_v": (t.NON_V_CASE, 13, ("In re", "In Re", "In rE", "In RE", "IN RE", "Estate of", "ship of", "Adoption of", "Marriage of")),
+    "cases": (t.CASES, 9, ("Cases",)),
+    "uniform": (t.UNIFORM, 1, r"\d-\d"),
     "statute": (t.STATUTE, 3, "(?i)§|sec"),
-    "federal": (t.FEDERAL, 2, "(?i)§|sec"),
+    "federal": (t.FEDERAL, 2, r"(?i)S\.\s*C\."),
     "court": (t.COURT_RULE, 1, "(?i)court"),
     "conduct": (t.CONDUCT_RULE, 1, "(?i)conduct"),
     "instruction": (t.INSTRUCTION, 2, "(?i)caci"),
-    "supra": (t.SUPRA, 1, "supra"),
-    "short_form": (t.SHORT_FORM, 2, r"v\."),
+    "supra": (t.SUPRA, 1, ("supra",)),
+    "short_form": (t.SHORT_FORM, 2, ("v.",)),
 }
 
 #: What must come after a `v.` for a form of its tail.
 TAIL_NEEDS = {"csm": r"\(", "bb": r"\(", "wl": "WL", "lexis": "LEXIS", "flat": r"\(", "slip": "(?i)case"}
+TAIL_GROUPS = {"csm": 6, "bb": 6, "wl": 5, "lexis": 5, "flat": 6, "slip": 4}
 
 
 def code_names() -> dict[str, str]:
@@ -69,11 +71,17 @@ def spotted(docs: DataFrame) -> DataFrame:
     the original text has there. It is written once, as every detector reads its part of it,
     and holds no texts but what lies around a `v.`."""
     rows = docs.withColumn("norm", unwrapped(F.col("text")))
-    rows = rows.withColumn("anchors", found(F.col("norm"), r"v\.(?<=\sv\.)(?=\s)", need=r"v\.", clean=True))
+    rows = rows.withColumn("anchors", found(F.col("norm"), r"v\.(?<=\sv\.)(?=\s)", need=("v.",), clean=True))
     every = [F.transform(found(F.col("norm"), p, n, need, clean=True), said_too(n)).alias(name) for name, (p, n, need) in PATTERNS.items()]
     return stored(rows.select("doc_id", F.transform("anchors", around).alias("around"), *every), "spotted")
 
 
+def with_some(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """Rows whose value is not null, with it. It is worked out once: a filter on it would be
+    moved below, where it works out the value for itself."""
+    return rows.select("*", F.explode(F.filter(F.array(value), lambda x: x.isNotNull())).alias(name))
+
+
 def around(z: Column, i: Column) -> Column:
     """A `v.` and the text on its left and right, up to the next `v.` each."""
     low = F.when(i == 0, F.lit(0).cast("bigint")).otherwise(F.get(F.col("anchors"), i - 1)["stop"])
@@ -128,35 +136,39 @@ def compact(s: str) -> Column:
 def anchored(docs: DataFrame) -> DataFrame:
     """Full citations with a `v.`: the name walks back from it; of the citation forms after
     it, within reach and before the next `v.`, the earliest decides."""
-    rows = docs.select("doc_id", F.inline("around"))
-    rows = rows.withColumn("at", name_start(F.col("left"))).where("at IS NOT NULL")
-    for form, pattern in t.TAILS.items():
-        n = 6 if form in ("csm", "bb", "flat") else 5 if form != "slip" else 4
-        reach = rf"(?s)^(.{{0,{t.TAIL_REACH}}}?)(?-s:({pattern})).*"
-        rows = rows.withColumn("parts", F.when(F.col("rest").rlike(TAIL_NEEDS[form]), parts_of(F.col("rest"), reach, n)))
-        rows = rows.withColumn(form, F.when(F.col("parts").isNotNull(), F.struct(*[F.get("parts", F.lit(k)).alias(f"g{k}") for k in range(n + 1)])))
+    rows = with_some(docs.select("doc_id", F.inline("around")), "at", name_start(F.col("left")))
+
+    def tail_of(form: str) -> Column:
+        reach = rf"(?s)^(.{{0,{t.TAIL_REACH}}}?)(?-s:({t.TAILS[form]})).*"
+        return F.when(F.col("rest").rlike(TAIL_NEEDS[form]), parts_of(F.col("rest"), reach, TAIL_GROUPS[form]))
+
+    rows = with_some(rows, "tails", F.struct(*[tail_of(f).alias(f) for f in t.TAILS])).select("doc_id", "low", "v", "left", "real", "at", "tails.*")
+
+    def g(form: str, k: int) -> Column:
+        return F.get(F.col(form), F.lit(k))
+
     forms = [f for f in t.TAILS if f != "slip"]
-    best = F.array_min(F.filter(F.array(*[F.when(F.col(f).isNotNull(), F.struct(F.length(F.col(f)["g1"]).alias("n"), F.lit(i).alias("i"))) for i, f in enumerate(forms)]), lambda x: x.isNotNull()))
-    rows = rows.withColumn("form", F.coalesce(F.get(F.array(*[F.lit(f) for f in forms]), best["i"]), F.when(F.col("slip").isNotNull(), "slip"))).where("form IS NOT NULL")
+    best = F.array_min(F.filter(F.array(*[F.when(F.col(f).isNotNull(), F.struct(F.length(g(f, 1)).alias("n"), F.lit(i).alias("i"))) for i, f in enumerate(forms)]), lambda x: x.isNotNull()))
+    rows = with_some(rows, "form", F.coalesce(F.get(F.array(*[F.lit(f) for f in forms]), best["i"]), F.when(F.col("slip").isNotNull(), "slip")))
 
     def by_form(**value: Column) -> Column:
         return F.coalesce(*[F.when(F.col("form") == f, v) for f, v in value.items()])
 
     def reported(f: str, year: int, volume: int) -> Column:
-        g = F.col(f)
-        return F.format_string("(%s) %s %s %s", g[f"g{year}"], g[f"g{volume}"], F.regexp_replace(g[f"g{volume + 1}"], WHITE, ""), g[f"g{volume + 2}"])
+        return F.format_string("(%s) %s %s %s", g(f, year), g(f, volume), F.regexp_replace(g(f, volume + 1), WHITE, ""), g(f, volume + 2))
 
     tail = by_form(
         csm=reported("csm", 3, 4),
         bb=reported("bb", 6, 3),
         flat=reported("flat", 6, 3),
-        wl=F.format_string("%s WL %s", F.col("wl")["g3"], F.col("wl")["g4"]),
-        lexis=F.format_string("%s U.S. Dist. LEXIS %s", F.col("lexis")["g3"], F.col("lexis")["g4"]),
-        slip=F.format_string("Case No. %s (%s)", F.col("slip")["g3"], trimmed(F.col("slip")["g4"])),
+        wl=F.format_string("%s WL %s", g("wl", 3), g("wl", 4)),
+        lexis=F.format_string("%s U.S. Dist. LEXIS %s", g("lexis", 3), g("lexis", 4)),
+        slip=F.format_string("Case No. %s (%s)", g("slip", 3), trimmed(g("slip", 4))),
     )
-    before = by_form(**{f: F.col(f)["g1"] for f in t.TAILS})
-    length = by_form(**{f: F.length(F.col(f)["g1"]) + F.length(F.col(f)["g2"]) for f in t.TAILS})
-    rows = rows.withColumn("other", trimmed(F.regexp_replace(before, t.java(r"[,\s]+$"), ""))).where(F.col("other").rlike("^[A-Z]"))
+    before = by_form(**{f: g(f, 1) for f in t.TAILS})
+    length = by_form(**{f: F.length(g(f, 1)) + F.length(g(f, 2)) for f in t.TAILS})
+    other = trimmed(F.regexp_replace(before, t.java(r"[,\s]+$"), ""))
+    rows = with_some(rows, "other", let(other, lambda x: F.when(x.rlike("^[A-Z]"), x)))
     first = squeezed(F.expr("substring(left, at + 1)"))
     rows = rows.withColumn("first", first).withColumn("start", F.col("low") + F.col("at")).withColumn("stop", F.col("v") + 2 + length)
     rows = rows.withColumn("said", F.substring("real", F.col("at") + 1, (F.col("stop") - F.col("start")).cast("int")))
@@ -253,20 +265,19 @@ def short_forms(docs: DataFrame, full: DataFrame) -> DataFrame:
     """Bare `X v. Y` of a case that the document cites in full: both parties equal, or the
     first equal and one second a prefix of the other; then the registry's first."""
     parts = t.java(r"^(.+?)\s+v\.\s+(.+?)\s+(?:\(\d{4}\)|\d{4}\s+WL|\d{4}\s+U\.S\.\s*Dist\.\s*LEXIS|Case\s+No\.)")
-    known = full.withColumn("p", party(F.regexp_extract("key", parts, 1))).withColumn("d", party(F.regexp_extract("key", parts, 2)))
-    known = known.where("p <> '' AND d <> ''").groupBy(F.col("doc_id").alias("doc"), "p", "d")
+    known = with_some(full, "p", F.nullif(party(F.regexp_extract("key", parts, 1)), F.lit("")))
+    known = with_some(known, "d", F.nullif(party(F.regexp_extract("key", parts, 2)), F.lit(""))).groupBy(F.col("doc_id").alias("doc"), "p", "d")
     known = known.agg(F.min(F.struct("start", "rank", "key", "short", "wl_only", "lexis_only", "slip_only")).alias("target"))
-    rows = matches(docs, "short_form")
-    raw = trimmed(F.col("g1"))
-    bare = trimmed(F.regexp_replace(raw, t.java(t.LEAD), ""))
-    cut = F.length(raw) - F.length(bare)
-    rows = rows.withColumn("p1", party(bare)).withColumn("d1", party(F.col("g2"))).where("p1 <> ''")
-    rows = rows.withColumn("cut", cut).withColumn("said", F.expr("substring(said, cut + 1)")).withColumn("start", F.col("start") + F.col("cut"))
+    bare = let(trimmed(F.col("g1")), lambda raw: let(trimmed(F.regexp_replace(raw, t.java(t.LEAD), "")), lambda x: F.struct(x.alias("said"), (F.length(raw) - F.length(x)).alias("cut"))))
+    rows = with_some(matches(docs, "short_form"), "bare", bare)
+    rows = rows.withColumn("said", F.expr("substring(said, bare.cut + 1)")).withColumn("start", F.col("start") + F.col("bare.cut"))
+    # What lies in a full citation is no short form: most of what matches.
+    spans = full.select(F.col("doc_id").alias("doc"), F.col("start").alias("s"), F.col("stop").alias("e"))
+    rows = rows.join(spans, (F.col("doc_id") == F.col("doc")) & (F.col("start") < F.col("e")) & (F.col("stop") > F.col("s")), "left_anti")
+    rows = with_some(rows, "p1", F.nullif(party(F.col("bare.said")), F.lit(""))).withColumn("d1", party(F.col("g2")))
     fits = F.startswith("d", "d1") | F.startswith("d1", "d")
     rows = rows.join(known, (F.col("doc_id") == F.col("doc")) & (F.col("p1") == F.col("p")) & fits)
     rows = rows.groupBy("doc_id", "start", "stop", "said").agg(F.min(F.struct((F.col("d") != F.col("d1")).alias("loose"), "target")).alias("best"))
-    spans = full.select(F.col("doc_id").alias("doc"), F.col("start").alias("s"), F.col("stop").alias("e"))
-    rows = rows.join(spans, (F.col("doc_id") == F.col("doc")) & (F.col("start") < F.col("e")) & (F.col("stop") > F.col("s")), "left_anti")
     flags = {f: F.col(f"best.target.{f}") for f in FLAGS[2:]}
     return cites(rows, "case", F.col("best.target.key"), 10, F.col("best.target.short"), is_short_form=F.lit(True), **flags)
 
